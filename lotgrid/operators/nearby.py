@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lotgrid.operators.skew import heavy_keys
+from lotgrid.operators.skew import salted_join
 
 EARTH_M = 6_371_000.0
 
@@ -34,18 +34,6 @@ def _columns(row: Column, height: float) -> Column:
     return F.greatest(F.floor(F.lit(360.0 / height) * F.cos(F.radians(F.least(edge, F.lit(90.0))))), F.lit(1))
 
 
-def _salted(left: DataFrame, right: DataFrame, key: str, parts: int) -> DataFrame:
-    """Inner join on key in which cells that hold many rows of either side are spread over tasks."""
-    hot_l = F.broadcast(heavy_keys(left, key, 4 * parts).withColumn("lg_hl", F.lit(parts)))
-    hot_r = F.broadcast(heavy_keys(right, key, 4 * parts).withColumn("lg_hr", F.lit(parts)))
-    whole = lambda n: F.explode(F.sequence(F.lit(0), F.coalesce(F.col(n), F.lit(1)) - 1))
-    both = lambda df: df.join(hot_l, key, "left").join(hot_r, key, "left")
-    by_hash = lambda n, c: F.pmod(F.xxhash64(*[F.col(x) for x in c]), F.coalesce(F.col(n), F.lit(1)).cast("long")).cast("int")
-    a = both(left).withColumn("lg_a", by_hash("lg_hl", left.columns)).withColumn("lg_b", whole("lg_hr")).drop("lg_hl", "lg_hr")
-    b = both(right).withColumn("lg_b", by_hash("lg_hr", right.columns)).withColumn("lg_a", whole("lg_hl")).drop("lg_hl", "lg_hr")
-    return a.join(b, [key, "lg_a", "lg_b"]).drop("lg_a", "lg_b")
-
-
 def near_pairs(left: DataFrame, right: DataFrame, radius_m: float, parts: int = 8) -> DataFrame:
     """id_l, id_r, dist_m of all pairs at most ``radius_m`` apart on the sphere.
 
@@ -68,7 +56,7 @@ def near_pairs(left: DataFrame, right: DataFrame, radius_m: float, parts: int =
     last = F.least(F.floor((F.col("lon_l") + dlon) / (F.lit(360.0) / n)), first + n - 1)
     a = rows.select("id_l", "lat_l", "lon_l", "row", n.alias("n"), F.explode(F.sequence(first, last)).alias("col")).select("id_l", "lat_l", "lon_l", cell(F.col("row"), F.pmod(F.col("col"), F.col("n"))).alias("cell"))
     d = great_circle_m(F.col("lat_l"), F.col("lon_l"), F.col("lat_r"), F.col("lon_r"))
-    return _salted(a, b, "cell", parts).withColumn("dist_m", d).where(F.col("dist_m") <= radius_m).select("id_l", "id_r", "dist_m")
+    return salted_join(a, b, "cell", parts).withColumn("dist_m", d).where(F.col("dist_m") <= radius_m).select("id_l", "id_r", "dist_m")
 
 
 def rings(wkt: Column) -> Column:
