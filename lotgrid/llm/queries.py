@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lotgrid.functions.keys import parcel_key
-from lotgrid.llm import sentences, survivors, tokens
+from lotgrid.llm import entities, names, packing, sentences, survivors, tokens
 from lotgrid.session import table
 
 
@@ -19,13 +19,37 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return p1_survivors(spark, d).where("n_records >= 2").select(F.col("first_rec").alias("group_rec"), rec("land_rec").alias("land_rec"), rec("yr_rec").alias("yr_rec"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.same_owner(table(spark, d, "cama"), "OWNER")
+
+
+def p4_spellings(spark: SparkSession, d: str) -> DataFrame:
+    return names.spellings(table(spark, d, "cama"), "OWNER")
+
+
+def p5_links(spark: SparkSession, d: str) -> DataFrame:
+    return entities.links(table(spark, d, "round1_sample"), table(spark, d, "supplyfacilities"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p5_links(spark, d).select(F.col("sid").alias("sample_facility_id"), F.col("uid").alias("supply_facility_id"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(table(spark, d, "documents"))
 
 
+def p8_packed(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(tokens.count_tokens(table(spark, d, "documents")), table(spark, d, "containers"))
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill(p8_packed(spark, d), table(spark, d, "containers"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.split_documents(table(spark, d, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_survivors": p1_survivors, "p7_ids": p7_ids, "p9_found": p9_found}
+QUERIES = {"p1_found": p1_found, "p1_survivors": p1_survivors, "p4_found": p4_found, "p4_spellings": p4_spellings, "p5_found": p5_found, "p5_links": p5_links, "p7_ids": p7_ids, "p8_packed": p8_packed, "p8_fill": p8_fill, "p9_found": p9_found}
 ORACLE: dict[str, str] = {}
