@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -58,3 +58,22 @@ def whole_word(c: Column, words: list[str]) -> Column:
 def any_of(c: Column, wanted: list[str], delimiter: str = ";") -> Column:
     """Whether any value of a packed field is wanted."""
     return F.coalesce(F.arrays_overlap(F.split(c, delimiter), F.array(*map(F.lit, wanted))), F.lit(False))
+
+
+def match_ladder(df: DataFrame, ident: str, candidates: list[Column], table: DataFrame, key: str) -> DataFrame:
+    """Rows of df with the table row of the first candidate key that the table has, else nulls.
+
+    The candidates are tried in order (exact, alias, stripped forms); the table, a short list of
+    codes with one row each, is joined once with the candidates exploded.
+    """
+    tries = F.explode(F.array_compact(F.array(*[F.when(c.isNotNull(), F.struct(F.lit(i).alias("step"), c.alias("k"))) for i, c in enumerate(candidates)])))
+    hits = df.select(ident, tries.alias("t")).select(ident, "t.*").join(F.broadcast(table.withColumnRenamed(key, "k")), "k")
+    rest = [c for c in table.columns if c != key]
+    best = hits.groupBy(ident).agg(F.min_by(F.struct(F.col("k").alias(key), "step", *rest), "step").alias("m"))
+    return df.join(best, ident, "left").select(*df.columns, "m.*")
+
+
+def worst(c: Column, order: list[str]) -> Column:
+    """The entry of a group that comes last in ``order``: an aggregate over rank codes."""
+    listed = F.array(*map(F.lit, order))
+    return F.try_element_at(listed, F.nullif(F.max(F.array_position(listed, c)), F.lit(0)).cast("int"))
