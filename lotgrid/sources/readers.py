@@ -35,7 +35,8 @@ def read_zipped(spark: SparkSession, path: str, member: str | None, columns: lis
                         continue
                     with io.TextIOWrapper(z.open(name), encoding="utf-8-sig", errors="replace") as text:
                         for part in pd.read_csv(text, dtype=str, keep_default_na=False, na_values=[""], chunksize=50_000):
-                            yield part.reindex(columns=columns)
+                            part = part.reindex(columns=columns).astype(object)
+                            yield part.where(part.notna(), None)
 
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, schema)
 
