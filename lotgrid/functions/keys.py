@@ -8,7 +8,20 @@ from pyspark.sql import functions as F
 _WIDE = "０１２３４５６７８９"
 _PLAIN = "0123456789"
 _D = "[0-9OIL]"
-_SEP = r"[ .,_/\-\u2010-\u2015\u2212]"
+_SEP = r"[ .,_/\-\x{2010}-\x{2015}\x{2212}]"
+
+
+_STEPS = (
+    (r"[\s\x{00a0}\x{3000}]+", " "),
+    (r"^ | $", ""),
+    (r"^ASM:.*$|^[^0-9]*$", ""),
+    (rf"^(?:PID|PARCEL|PCL|APN)(?: ?(?:ID|NO|NUMBER))?[ .:#]*(?={_D})", ""),
+    (rf"^({_D}{{1,3}}){_SEP}+({_D}{{1,6}})(?:{_SEP}+[0O]{{2}})?$", "~00$1-00000$2"),
+    (rf"^({_D}{{7,9}})(?:[0O]{{2}})?$", "~00$1"),
+    (rf"^~{_D}*?({_D}{{3}})-{_D}*?({_D}{{6}})$", "~$1$2"),
+    (rf"^~{_D}*?({_D}{{9}})$", "~$1"),
+    (r"[^0-9A-Z]+", ""),
+)
 
 
 def parcel_key(raw: Column) -> Column:
@@ -20,18 +33,17 @@ def parcel_key(raw: Column) -> Column:
     own key without its separators, so it still matches its own repeats. Every step refers to the
     one before it once, so the expression stays linear however often it is inlined.
     """
-    steps = (
-        (r"[\s\u00a0\u3000]+", " "),
-        (r"^ | $", ""),
-        (r"^ASM:.*$|^[^0-9]*$", ""),
-        (rf"^(?:PID|PARCEL|PCL|APN)(?: ?(?:ID|NO|NUMBER))?[ .:#]*(?={_D})", ""),
-        (rf"^({_D}{{1,3}}){_SEP}+({_D}{{1,6}})(?:{_SEP}+[0O]{{2}})?$", "~00$1-00000$2"),
-        (rf"^({_D}{{7,9}})(?:[0O]{{2}})?$", "~00$1"),
-        (rf"^~{_D}*?({_D}{{3}})-{_D}*?({_D}{{6}})$", "~$1$2"),
-        (rf"^~{_D}*?({_D}{{9}})$", "~$1"),
-        (r"[^0-9A-Z]+", ""),
-    )
     out = F.upper(F.translate(raw, _WIDE, _PLAIN))
-    for pattern, by in steps:
+    for pattern, by in _STEPS:
         out = F.regexp_replace(out, pattern, by)
     return F.nullif(F.translate(out, "OIL", "011"), F.lit(""))
+
+
+def parcel_key_sql(column: str) -> str:
+    """The same normal form as DuckDB SQL (its patterns have no lookahead and write groups as \\1)."""
+    out = f"upper(translate({column}, '{_WIDE}', '{_PLAIN}'))"
+    for pattern, by in _STEPS:
+        if "(?=" in pattern:
+            pattern, by = pattern.replace("(?=", "("), r"\1"
+        out = f"regexp_replace({out}, '{pattern}', '{by.replace('$', chr(92))}', 'g')"
+    return f"nullif(translate({out}, 'OIL', '011'), '')"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotgrid.functions.keys import parcel_key
+from lotgrid.functions.keys import parcel_key, parcel_key_sql
 from lotgrid.operators import nearby, orphans, packed
 from lotgrid.session import table
 
@@ -42,4 +42,19 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {"p2_found": p2_found, "p2_snapshots": p2_snapshots, "p3_found": p3_found, "p6_found": p6_found}
-ORACLE: dict[str, str] = {}
+
+_REFS = f"""WITH refs AS (SELECT 'cama' AS table_name, rec_id, {parcel_key_sql('PARCEL_ID')} AS k, load_ts FROM cama UNION ALL SELECT 'candidateparcels', rec_id, {parcel_key_sql('parcel_id')}, load_ts FROM candidateparcels),
+par AS (SELECT {parcel_key_sql('parcel_id')} AS k, min(load_ts) AS f, max(retired_ts) AS u FROM parcels GROUP BY 1)
+"""
+_PLACE = "lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180 AND NOT (lat = 0 AND lon = 0)"
+_PAIRS = "SELECT '{kind}' AS kind, least(a.rec_id, b.rec_id) AS id_a, greatest(a.rec_id, b.rec_id) AS id_b FROM (SELECT * FROM {a} WHERE " + _PLACE + ") a, (SELECT * FROM {b} WHERE " + _PLACE + ") b WHERE 2 * 6371000.0 * asin(least(1.0, sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2)))) <= 400"
+_INSIDE = """SELECT 'sample_submarket' AS kind, least(p.rec_id, e.id) AS id_a, greatest(p.rec_id, e.id) AS id_b FROM (SELECT * FROM round1_sample WHERE """ + _PLACE + """) p, (
+SELECT id, ring, split_part(trim(t), ' ', 1)::DOUBLE AS x1, split_part(trim(t), ' ', 2)::DOUBLE AS y1, split_part(trim(n), ' ', 1)::DOUBLE AS x2, split_part(trim(n), ' ', 2)::DOUBLE AS y2 FROM (
+SELECT id, ring, t, lead(t) OVER (PARTITION BY id, ring ORDER BY o) AS n FROM (SELECT id, ring, unnest(string_split(r, ',')) AS t, unnest(range(len(string_split(r, ',')))) AS o FROM (
+SELECT submarket_id AS id, unnest(regexp_extract_all(wkt, '\\(([^()]+)\\)', 1)) AS r, unnest(range(len(regexp_extract_all(wkt, '\\(([^()]+)\\)', 1)))) AS ring FROM submarkets))) WHERE n IS NOT NULL) e
+WHERE (e.y1 > p.lat) <> (e.y2 > p.lat) AND p.lon < (e.x2 - e.x1) * (p.lat - e.y1) / (e.y2 - e.y1) + e.x1 GROUP BY p.rec_id, e.id HAVING count(*) % 2 = 1"""
+
+ORACLE: dict[str, str] = {
+    "p2_found": _REFS + "SELECT table_name, strftime(load_ts, '%Y-%m') AS period, rec_id FROM refs LEFT JOIN par USING (k) WHERE k IS NOT NULL AND load_ts IS NOT NULL AND (f IS NULL OR load_ts < f OR coalesce(load_ts >= u, false))",
+    "p3_found": " UNION ALL ".join([_PAIRS.format(kind="sample_venue", a="round1_sample", b="venues"), _PAIRS.format(kind="sample_hospital", a="round1_sample", b="hospitals_cms"), _PAIRS.format(kind="venue_hospital", a="venues", b="hospitals_cms"), _INSIDE]),
+}
