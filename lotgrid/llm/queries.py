@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotgrid.functions.keys import parcel_key
+from lotgrid.functions.keys import parcel_key, parcel_key_sql
 from lotgrid.llm import entities, names, packing, sentences, survivors, tokens
 from lotgrid.session import table
 
@@ -52,4 +52,9 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p1_survivors": p1_survivors, "p4_found": p4_found, "p4_spellings": p4_spellings, "p5_found": p5_found, "p5_links": p5_links, "p7_ids": p7_ids, "p8_packed": p8_packed, "p8_fill": p8_fill, "p9_found": p9_found}
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "p1_found": f"""WITH c AS (SELECT {parcel_key_sql('PARCEL_ID')} AS k, rec_id, coalesce(trust_rank, 2000000000) AS r, coalesce(extract_date, DATE '0001-01-01') AS d, CASE WHEN NOT isnan(LAND_VAL) THEN round(LAND_VAL, 2) END AS land, YRBUILT AS yr,
+coalesce(NOT isnan(LAND_VAL) AND LAND_VAL > 1 AND NOT regexp_matches(try_cast(LAND_VAL AS BIGINT)::VARCHAR, '^9{{5,}}$'), false) AS land_ok, coalesce(YRBUILT >= {survivors.FIRST_YEAR} AND YRBUILT <= year(coalesce(extract_date, load_ts::DATE)), false) AS yr_ok FROM cama LEFT JOIN source_trust USING (source_id)),
+g AS (SELECT k, min(rec_id) AS group_rec, arg_min(land, (r, -epoch(d), rec_id)) FILTER (land_ok) AS land, arg_min(yr, (r, -epoch(d), rec_id)) FILTER (yr_ok) AS yr FROM c WHERE k IS NOT NULL GROUP BY 1 HAVING count(*) >= 2)
+SELECT group_rec, coalesce(min(rec_id) FILTER (c.land = g.land), -1) AS land_rec, coalesce(min(rec_id) FILTER (c.yr = g.yr), -1) AS yr_rec FROM g JOIN c USING (k) GROUP BY k, group_rec""",
+}
