@@ -235,3 +235,48 @@ def curb_by_cell(segments: DataFrame, metered: DataFrame, cell_of: Column, sides
     one = pair(segments.where("cls = 'local'")).groupBy("k").agg(F.min(F.struct("length", "x", "y")).alias("m")).select("k", "m.*")
     free = one.join(pair(metered).select("k"), "k", "left_anti")
     return free.groupBy(cell_of.alias("cell")).agg((F.sum("length") * sides).alias("feet"))
+
+
+def segment_distance(x: Column, y: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+    """Distance of a point from a segment."""
+    dx, dy = x2 - x1, y2 - y1
+    t = F.coalesce(((x - x1) * dx + (y - y1) * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0)), F.lit(0.0))
+    t = F.least(F.greatest(t, F.lit(0.0)), F.lit(1.0))
+    return F.sqrt(F.pow(x - x1 - t * dx, 2) + F.pow(y - y1 - t * dy, 2))
+
+
+def near_segments(points: DataFrame, segments: DataFrame, reach: float, size: float) -> DataFrame:
+    """id_p, id_s, dist of points within ``reach`` of segments. points: id_p, x, y; segments: id_s, x1, y1, x2, y2."""
+    span = lambda a, b: F.sequence(F.floor((F.least(a, b) - reach) / size), F.floor((F.greatest(a, b) + reach) / size))
+    bins = segments.withColumn("bx", F.explode(span("x1", "x2"))).withColumn("by", F.explode(span("y1", "y2")))
+    at = points.withColumns({"bx": F.floor(F.col("x") / size), "by": F.floor(F.col("y") / size)})
+    c = F.col
+    return at.join(bins, ["bx", "by"]).withColumn("dist", segment_distance(c("x"), c("y"), c("x1"), c("y1"), c("x2"), c("y2"))).where(c("dist") <= reach).select("id_p", "id_s", "dist")
+
+
+def frontage(parcels: DataFrame, streets: DataFrame, reach: float, step: float, corner_angle: float = 45.0) -> DataFrame:
+    """id, frontage, streets, corner: boundary length near streets, how many, and whether two differ in direction.
+
+    parcels: id, ring; streets: id_s, x1, y1, x2, y2. Boundary edges are cut into pieces of at most
+    ``step``; a piece counts if its middle lies within ``reach`` of a street.
+    """
+    edges = parcels.select("id", F.explode(F.zip_with("ring", _turned(F.col("ring")), lambda p, q: F.struct(p["x"].alias("x1"), p["y"].alias("y1"), q["x"].alias("x2"), q["y"].alias("y2")))).alias("e")).select("id", "e.*")
+    edges = edges.withColumn("len", F.sqrt(F.pow(F.col("x2") - F.col("x1"), 2) + F.pow(F.col("y2") - F.col("y1"), 2))).where("len > 0").withColumn("n", F.ceil(F.col("len") / step))
+    parts = edges.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).withColumn("t", (F.col("k") - 0.5) / F.col("n"))
+    mid = parts.select(F.struct("id", "x1", "y1", "x2", "y2", "k").alias("id_p"), (F.col("x1") + F.col("t") * (F.col("x2") - F.col("x1"))).alias("x"), (F.col("y1") + F.col("t") * (F.col("y2") - F.col("y1"))).alias("y"), (F.col("len") / F.col("n")).alias("piece"))
+    hits = near_segments(mid.select("id_p", "x", "y"), streets, reach, max(reach * 2, step * 4))
+    length = hits.select("id_p").distinct().join(mid.select("id_p", "piece"), "id_p").groupBy(F.col("id_p.id").alias("id")).agg(F.sum("piece").alias("frontage"))
+    way = streets.select("id_s", F.pmod(F.degrees(F.atan2(F.col("y2") - F.col("y1"), F.col("x2") - F.col("x1"))), F.lit(180.0)).alias("b"))
+    by = hits.select(F.col("id_p.id").alias("id"), "id_s").distinct().join(way, "id_s").groupBy("id").agg(F.count("*").alias("streets"), F.array_distinct(F.collect_list("b")).alias("bs"))
+    apart = F.exists("bs", lambda a: F.exists("bs", lambda b: F.least(F.abs(a - b), F.lit(180.0) - F.abs(a - b)) >= corner_angle))
+    return parcels.select("id").join(length, "id", "left").join(by, "id", "left").select("id", F.coalesce("frontage", F.lit(0.0)).alias("frontage"), F.coalesce("streets", F.lit(0)).alias("streets"), F.coalesce(apart, F.lit(False)).alias("corner"))
+
+
+def hex_grid(area: DataFrame, size: float) -> DataFrame:
+    """q, r of the hexagons whose centre lies in a ring of the area (ring column), each once."""
+    b = area.select("ring", bounds(F.col("ring")).alias("b"))
+    rows = b.withColumn("r", F.explode(F.sequence(F.ceil(F.col("b.y0") / (1.5 * size)).cast("int"), F.floor(F.col("b.y1") / (1.5 * size)).cast("int"))))
+    q = lambda x: F.col(x) / (SQRT3 * size) - F.col("r") / 2.0
+    cells = rows.withColumn("q", F.explode(F.sequence(F.ceil(q("b.x0")).cast("int"), F.floor(q("b.x1")).cast("int"))))
+    c = hex_centre(F.col("q"), F.col("r"), size)
+    return cells.where(contains(F.col("ring"), c["x"], c["y"])).select("q", "r").distinct()

@@ -347,3 +347,42 @@ def conservation_check(s: SparkSession, d: str) -> DataFrame:
     li = table(s, d, "lineitem").select("l_orderkey", "l_quantity")
     kept = li.join(table(s, d, "orders").select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")
     return aggregates.conservation(li, kept, "l_quantity").select(F.lit("lineitem").alias("layer"), "total_in", "total_out", F.round("share", 9).alias("share"))
+
+
+@query(BOXES + "SELECT a.id AS a, b.id AS b FROM bx a JOIN bx b ON a.id < b.id AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1")
+def touching_parcels(s: SparkSession, d: str) -> DataFrame:
+    return geometry.touching(boxes(s, d).select("id", "ring"), 20.0)
+
+
+@query(None)
+def same_owner_sites(s: SparkSession, d: str) -> DataFrame:
+    """Rows only: touching parcels of one owner, joined to sites; the parts are tested one by one."""
+    own = table(s, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("owner"))
+    pairs = geometry.touching(boxes(s, d).select("id", "ring"), 20.0)
+    same = pairs.join(own.select(F.col("id").alias("a"), F.col("owner").alias("oa")), "a").join(own.select(F.col("id").alias("b"), F.col("owner").alias("ob")), "b").where("oa = ob and oa <> ''").select("a", "b")
+    return graph.components(own.select("id"), same).groupBy(F.col("component").alias("site")).agg(F.count("*").alias("n")).where("n > 1")
+
+
+@query(PLACES + "SELECT DISTINCT id_a FROM dd WHERE dist <= 6")
+def within_any_radius(s: SparkSession, d: str) -> DataFrame:
+    return geometry.within_radius(anchors(s, d), sites(s, d, "id_b"), 6.0).select("id_a").distinct()
+
+
+@query("SELECT n_nationkey AS cell FROM nation WHERE n_nationkey IN (SELECT s_nationkey FROM supplier WHERE regexp_matches(s_name, '[37]$') AND s_acctbal > 2000) OR n_nationkey IN (SELECT c_nationkey FROM customer WHERE list_has_any(string_split(c_mktsegment || ';' || c_custkey, ';'), ['7', '11']))")
+def paid_market_mask(s: SparkSession, d: str) -> DataFrame:
+    a = table(s, d, "supplier").where(F.col("s_name").rlike("[37]$") & (F.col("s_acctbal") > 2000)).select(F.col("s_nationkey").alias("cell"))
+    b = table(s, d, "customer").where(F.arrays_overlap(F.split(F.concat_ws(";", "c_mktsegment", F.col("c_custkey").cast("string")), ";"), F.array(F.lit("7"), F.lit("11")))).select(F.col("c_nationkey").alias("cell"))
+    return table(s, d, "nation").select(F.col("n_nationkey").alias("cell")).join(a.unionByName(b).distinct(), "cell", "left_semi")
+
+
+@query("WITH a AS (SELECT o_custkey AS k, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1), b AS (SELECT o_custkey AS k, count(*) AS n FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1) SELECT k, coalesce(a.n, 0) AS before, coalesce(b.n, 0) AS after, coalesce(b.n, 0) - coalesce(a.n, 0) AS change FROM a FULL JOIN b USING (k) WHERE coalesce(b.n, 0) <> coalesce(a.n, 0)")
+def run_comparison(s: SparkSession, d: str) -> DataFrame:
+    o = table(s, d, "orders")
+    n = o.groupBy(F.col("o_custkey").alias("k")).agg(F.count_if(F.col("o_orderstatus") == "F").alias("before"), F.count_if(F.col("o_orderpriority") == "1-URGENT").alias("after"))
+    return n.where("before <> after").select("k", "before", "after", (F.col("after") - F.col("before")).alias("change"))
+
+
+@query("SELECT o_custkey, count(*) FILTER (o_orderstatus = 'F') > count(*) AS impossible, round(count(*) FILTER (o_orderstatus = 'F') / count(*), 6) AS occupancy FROM orders GROUP BY 1")
+def observed_occupancy(s: SparkSession, d: str) -> DataFrame:
+    f, n = F.count_if(F.col("o_orderstatus") == "F"), F.count("*")
+    return table(s, d, "orders").groupBy("o_custkey").agg((f > n).alias("impossible"), F.round(f / n, 6).alias("occupancy"))

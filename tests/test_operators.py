@@ -206,3 +206,24 @@ def test_streamed_windows_equal_batch(spark, tmp_path):
         assert {(r.window_start, r.event_type, r.n) for r in spark.table("w").collect()} == {(r.window_start, r.event_type, r.n) for r in windows.windowed_counts(e).collect()}
     finally:
         q.stop()
+
+
+def test_frontage_and_corner(spark):
+    lot = spark.createDataFrame([(1, 0.0, 0.0), (2, 500.0, 500.0)], "id long, x double, y double").select("id", geometry.box(F.col("x"), F.col("y"), F.lit(20.0), F.lit(10.0)).alias("ring"))
+    streets = spark.createDataFrame([(1, -50.0, -3.0, 80.0, -3.0), (2, -3.0, -50.0, -3.0, 80.0)], "id_s long, x1 double, y1 double, x2 double, y2 double")
+    got = {r.id: r for r in geometry.frontage(lot, streets, 4.0, 1.0).collect()}
+    assert 30 <= got[1].frontage <= 34 and got[1].streets == 2 and got[1].corner
+    assert (got[2].frontage, got[2].streets, got[2].corner) == (0.0, 0, False)
+
+
+def test_grid_covers_its_area(spark):
+    area = spark.createDataFrame([(0.0, 0.0)], "x double, y double").select(geometry.box(F.col("x"), F.col("y"), F.lit(100.0), F.lit(80.0)).alias("ring"))
+    n = geometry.hex_grid(area, 5.0).count()
+    assert abs(n * 1.5 * math.sqrt(3) * 25 - 8000) < 900
+
+
+def test_shared_area_and_shape(spark):
+    a = spark.createDataFrame([(1, 0.0, 0.0)], "id long, x double, y double").select("id", geometry.box(F.col("x"), F.col("y"), F.lit(10.0), F.lit(10.0)).alias("ring"))
+    tri = spark.createDataFrame([(1, [(0.0, 0.0), (20.0, 0.0), (0.0, 20.0)])], "id long, t array<struct<x:double,y:double>>")
+    r = a.join(tri, "id").select(geometry.shared_area(F.col("ring"), F.col("t")).alias("s"), geometry.rectangularity(F.col("t")).alias("q"), geometry.area(F.col("t")).alias("a")).first()
+    assert abs(r.s - 100) < 1e-9 and abs(r.q - 0.5) < 1e-9 and r.a == 200
