@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections.abc import Iterator
@@ -39,6 +40,7 @@ def osm_ids(text: Column) -> Column:
     return F.coalesce(F.array_distinct(F.zip_with(kind, number, lambda a, b: F.concat(F.lower(F.substring(a, 1, 1)), b))), F.array().cast("array<string>"))
 
 
+@functools.lru_cache(200_000)
 def words(name: str | None) -> tuple[str, set[str], set[str], set[str]]:
     """Own words of a facility name run together, its sides, places and kinds."""
     own, sides, places, kinds = [], set(), set(), set()
@@ -73,10 +75,12 @@ def closeness(a: str, b: str) -> float:
     return 1 - prev[-1] / max(len(a), len(b))
 
 
+@functools.lru_cache(200_000)
 def operator_key(name: str | None) -> str:
     return re.sub(r"(?:inc|llc|ltd|corp|company|lp|parking|pkg|lots?|garages?|services|operations|ops|trust|tr|co)$", "", re.sub(r"[^a-z]", "", re.sub(r"\b(?:and|the|st|street|valet|inc|llc|ltd|company|co|parking|pkg|pk|park)\b", " ", (name or "").lower().replace("&", " "))))
 
 
+@functools.lru_cache(200_000)
 def operator_state(a: str | None, b: str | None) -> str:
     if not a or not b:
         return "none"
@@ -175,15 +179,15 @@ def supplies(df: DataFrame) -> DataFrame:
     return df.where("facility_id is not null").select(F.col("facility_id").alias("uid"), F.col("name").alias("name_u"), F.col("operator").alias("op_u"), F.col("type").alias("type_u"), F.col("submarket").alias("area_u"), y.alias("y_u"), x.alias("x_u"), coarse.alias("c_u"), osm_ids(F.col("source_ids")).alias("ids_u"))
 
 
-def name_bands(df: DataFrame, ident: str, name: str, bands: int = 8, rows: int = 2, seed: int = 17) -> DataFrame:
-    """ident, band keys: MinHash signatures of the letter triples of a name's own words."""
+def name_bands(df: DataFrame, ident: str, name: str, bands: int = 12, rows: int = 3, seed: int = 17) -> DataFrame:
+    """ident, vague, band: MinHash signatures of the letter triples of a name's own words."""
     rng = np.random.default_rng(seed)
     a = rng.integers(1, 2**61 - 1, bands * rows, dtype=np.uint64) | np.uint64(1)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            ids, keys = [], []
-            for i, n in zip(frame["id"], frame["name"]):
+            ids, keys, marks = [], [], []
+            for i, n, v in zip(frame["id"], frame["name"], frame["vague"]):
                 n = n.split(" - ", 1)[-1] if n else n
                 own = words(n)[0].replace(" ", "")
                 if not own:
@@ -194,16 +198,23 @@ def name_bands(df: DataFrame, ident: str, name: str, bands: int = 8, rows: int =
                 low = ((h[None, :] ^ (h[None, :] >> np.uint64(29))) * a[:, None]).min(axis=1).reshape(bands, rows)
                 for b in range(bands):
                     ids.append(i)
+                    marks.append(v)
                     keys.append(f"{b}:{low[b].tobytes().hex()}")
-            yield pd.DataFrame({"id": ids, "band": keys})
+            yield pd.DataFrame({"id": ids, "vague": pd.Series(marks, dtype=bool), "band": keys})
 
-    return df.select(F.col(ident).alias("id"), F.col(name).alias("name")).where("name is not null").mapInPandas(run, f"id {dict(df.dtypes)[ident]}, band string").withColumnRenamed("id", ident)
+    return df.select(F.col(ident).alias("id"), F.col(name).alias("name"), "vague").where("name is not null").mapInPandas(run, f"id {dict(df.dtypes)[ident]}, vague boolean, band string").withColumnRenamed("id", ident)
 
 
 def candidates(s: DataFrame, u: DataFrame, reach_m: float = 300.0) -> DataFrame:
-    """sid, uid of every pair that shares a map id, a MinHash band of the name, or a place within reach."""
+    """sid, uid of every pair that shares a map id, a place within reach or, where place cannot tell, a MinHash band of the name.
+
+    Names block only pairs of which a side has no place, or one too coarse for the reach: all others
+    would have to be neighbours, and the place finds these without pairing off namesakes.
+    """
     by_id = salted_join(s.select("sid", F.explode("ids_s").alias("k")), u.select("uid", F.explode("ids_u").alias("k")), "k").select("sid", "uid")
-    by_name = salted_join(name_bands(s, "sid", "name_s"), name_bands(u, "uid", "name_u"), "band").select("sid", "uid")
+    vague = lambda y, c: F.col(y).isNull() | (F.col(c) > reach_m / 2)
+    bands_s, bands_u = (cut(x, "bands") for x in (name_bands(s.withColumn("vague", vague("y_s", "c_s")), "sid", "name_s"), name_bands(u.withColumn("vague", vague("y_u", "c_u")), "uid", "name_u")))
+    by_name = salted_join(bands_s.where("vague").drop("vague"), bands_u.drop("vague"), "band").select("sid", "uid").unionByName(salted_join(bands_s.where("not vague").drop("vague"), bands_u.where("vague").drop("vague"), "band").select("sid", "uid"))
     left = u.where("y_u is not null").select(F.col("uid").alias("id_l"), F.col("y_u").alias("lat"), F.col("x_u").alias("lon"))
     right = s.where("y_s is not null").select(F.col("sid").alias("id_r"), F.col("y_s").alias("lat"), F.col("x_s").alias("lon"))
     by_place = near_pairs(left, right, reach_m).select(F.col("id_r").alias("sid"), F.col("id_l").alias("uid"))
