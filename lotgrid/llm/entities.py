@@ -179,14 +179,14 @@ def supplies(df: DataFrame) -> DataFrame:
     return df.where("facility_id is not null").select(F.col("facility_id").alias("uid"), F.col("name").alias("name_u"), F.col("operator").alias("op_u"), F.col("type").alias("type_u"), F.col("submarket").alias("area_u"), y.alias("y_u"), x.alias("x_u"), coarse.alias("c_u"), osm_ids(F.col("source_ids")).alias("ids_u"))
 
 
-def name_bands(df: DataFrame, ident: str, name: str, bands: int = 12, rows: int = 3, seed: int = 17) -> DataFrame:
-    """ident, vague, band: MinHash signatures of the letter triples of a name's own words."""
+def name_bands(df: DataFrame, ident: str, name: str, own_col: str, bands: int = 12, rows: int = 3, seed: int = 17) -> DataFrame:
+    """ident, vague, own_col, band: MinHash signatures of the letter triples of a name's own words."""
     rng = np.random.default_rng(seed)
     a = rng.integers(1, 2**61 - 1, bands * rows, dtype=np.uint64) | np.uint64(1)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            ids, keys, marks = [], [], []
+            ids, keys, marks, names = [], [], [], []
             for i, n, v in zip(frame["id"], frame["name"], frame["vague"]):
                 n = n.split(" - ", 1)[-1] if n else n
                 own = words(n)[0].replace(" ", "")
@@ -199,22 +199,25 @@ def name_bands(df: DataFrame, ident: str, name: str, bands: int = 12, rows: int
                 for b in range(bands):
                     ids.append(i)
                     marks.append(v)
+                    names.append(own)
                     keys.append(f"{b}:{low[b].tobytes().hex()}")
-            yield pd.DataFrame({"id": ids, "vague": pd.Series(marks, dtype=bool), "band": keys})
+            yield pd.DataFrame({"id": ids, "vague": pd.Series(marks, dtype=bool), "own": names, "band": keys})
 
-    return df.select(F.col(ident).alias("id"), F.col(name).alias("name"), "vague").where("name is not null").mapInPandas(run, f"id {dict(df.dtypes)[ident]}, vague boolean, band string").withColumnRenamed("id", ident)
+    return df.select(F.col(ident).alias("id"), F.col(name).alias("name"), "vague").where("name is not null").mapInPandas(run, f"id {dict(df.dtypes)[ident]}, vague boolean, own string, band string").withColumnsRenamed({"id": ident, "own": own_col})
 
 
 def candidates(s: DataFrame, u: DataFrame, reach_m: float = 300.0) -> DataFrame:
     """sid, uid of every pair that shares a map id, a place within reach or, where place cannot tell, a MinHash band of the name.
 
     Names block only pairs of which a side has no place, or one too coarse for the reach: all others
-    would have to be neighbours, and the place finds these without pairing off namesakes.
+    would have to be neighbours, and the place finds these without pairing off namesakes. Names that
+    share a band must also be within about a third of their letters, tested before the pair is formed.
     """
     by_id = salted_join(s.select("sid", F.explode("ids_s").alias("k")), u.select("uid", F.explode("ids_u").alias("k")), "k").select("sid", "uid")
     vague = lambda y, c: F.col(y).isNull() | (F.col(c) > reach_m / 2)
-    bands_s, bands_u = (cut(x, "bands") for x in (name_bands(s.withColumn("vague", vague("y_s", "c_s")), "sid", "name_s"), name_bands(u.withColumn("vague", vague("y_u", "c_u")), "uid", "name_u")))
-    by_name = salted_join(bands_s.where("vague").drop("vague"), bands_u.drop("vague"), "band").select("sid", "uid").unionByName(salted_join(bands_s.where("not vague").drop("vague"), bands_u.where("vague").drop("vague"), "band").select("sid", "uid"))
+    like = F.levenshtein("own_s", "own_u") <= F.greatest(F.lit(2), F.floor(F.greatest(F.length("own_s"), F.length("own_u")) * 0.3))
+    bands_s, bands_u = (cut(x, "bands") for x in (name_bands(s.withColumn("vague", vague("y_s", "c_s")), "sid", "name_s", "own_s"), name_bands(u.withColumn("vague", vague("y_u", "c_u")), "uid", "name_u", "own_u")))
+    by_name = salted_join(bands_s.where("vague").drop("vague"), bands_u.drop("vague"), "band").where(like).select("sid", "uid").unionByName(salted_join(bands_s.where("not vague").drop("vague"), bands_u.where("vague").drop("vague"), "band").where(like).select("sid", "uid"))
     left = u.where("y_u is not null").select(F.col("uid").alias("id_l"), F.col("y_u").alias("lat"), F.col("x_u").alias("lon"))
     right = s.where("y_s is not null").select(F.col("sid").alias("id_r"), F.col("y_s").alias("lat"), F.col("x_s").alias("lon"))
     by_place = near_pairs(left, right, reach_m).select(F.col("id_r").alias("sid"), F.col("id_l").alias("uid"))
