@@ -51,7 +51,7 @@ def survivors(records: DataFrame, trust: DataFrame, group: Column, fields: list[
     """
     v = votes(records, trust, group, fields, half_life_days)
     order = [F.col("best.rank"), F.col("best.day")] if strict else []
-    key = F.struct(*order, F.round("weight", 15).alias("w"), (-F.col("first_rec")).alias("r"))
+    key = F.struct(*order, F.round(F.log2("weight"), 9).alias("w"), (-F.col("first_rec")).alias("r"))
     winner = F.when(F.col("weight").isNotNull(), F.struct("value", "first_rec"))
     won = v.groupBy("group_key", "field").agg(F.max_by(winner, F.when(F.col("weight").isNotNull(), key)).alias("won"))
     wide = won.groupBy("group_key").agg(*[F.max(F.when(F.col("field") == f.name, F.col("won"))).alias(f.name) for f in fields])
