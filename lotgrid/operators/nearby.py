@@ -88,7 +88,7 @@ def inside_regions(points: DataFrame, regions: DataFrame, cell0: float = 0.002,
     ).select("*", F.explode(F.sequence(F.floor(F.col("y0") / F.col("step")), F.floor(F.col("y9") / F.col("step")))).alias("cy"))
     levels = F.broadcast(box.groupBy("level", "step").agg(F.lit(1).alias("lg_one")))  # at most one row per power of two of a size on the globe
     probes = points.select("id_p", "lat", "lon", F.lit(1).alias("lg_one")).join(levels, "lg_one").select("id_p", "lat", "lon", "level", "step", F.floor(F.col("lon") / F.col("step")).alias("cx"), F.floor(F.col("lat") / F.col("step")).alias("cy"))
-    near = probes.join(cells.drop("step"), ["level", "cx", "cy"]).where("lon between x0 and x9 and lat between y0 and y9")
+    near = probes.join(cells.drop("step").hint("merge"), ["level", "cx", "cy"]).where("lon between x0 and x9 and lat between y0 and y9")
     near = near.select("id_p", "id_g", "lat", "lon", F.floor(F.col("lat") / F.col("step") * sub).alias("strip"))
     low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
     strips = edges.where("y1 <> y2").join(box.select("id_g", "step"), "id_g").select(
@@ -96,5 +96,5 @@ def inside_regions(points: DataFrame, regions: DataFrame, cell0: float = 0.002,
     )
     y, x = F.col("lat"), F.col("lon")
     crosses = ((F.col("y1") > y) != (F.col("y2") > y)) & (x < (F.col("x2") - F.col("x1")) * (y - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1"))
-    hits = near.join(strips, ["id_g", "strip"]).where(crosses).groupBy("id_p", "id_g").agg(F.count("*").alias("n"))
+    hits = near.join(strips.hint("merge"), ["id_g", "strip"]).where(crosses).groupBy("id_p", "id_g").agg(F.count("*").alias("n"))
     return hits.where("n % 2 = 1").select("id_p", "id_g")

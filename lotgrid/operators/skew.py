@@ -50,7 +50,9 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, parts: int = 8) ->
     """Inner join on key in which keys that many rows of either side share are spread over tasks.
 
     A frequent key of one side is salted there and copied per salt on the other; the rows of both
-    sides at one (key, salts) meet exactly once. Null keys match nothing."""
+    sides at one (key, salts) meet exactly once. Null keys match nothing. Rows that were exploded
+    look smaller to the optimiser than they are, so the join is kept from broadcasting them.
+    """
     hot_l = F.broadcast(heavy_keys(left, key, 4 * parts).withColumn("lg_hl", F.lit(parts)))
     hot_r = F.broadcast(heavy_keys(right, key, 4 * parts).withColumn("lg_hr", F.lit(parts)))
     whole = lambda n: F.explode(F.sequence(F.lit(0), F.coalesce(F.col(n), F.lit(1)) - 1))
@@ -58,4 +60,4 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, parts: int = 8) ->
     by_hash = lambda n, c: F.pmod(F.xxhash64(*[F.col(x) for x in c]), F.coalesce(F.col(n), F.lit(1)).cast("long")).cast("int")
     a = both(left).withColumn("lg_a", by_hash("lg_hl", left.columns)).withColumn("lg_b", whole("lg_hr")).drop("lg_hl", "lg_hr")
     b = both(right).withColumn("lg_b", by_hash("lg_hr", right.columns)).withColumn("lg_a", whole("lg_hl")).drop("lg_hl", "lg_hr")
-    return a.join(b, [key, "lg_a", "lg_b"]).drop("lg_a", "lg_b")
+    return a.join(b.hint("merge"), [key, "lg_a", "lg_b"]).drop("lg_a", "lg_b")
