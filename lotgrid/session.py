@@ -58,16 +58,6 @@ def cut(df: DataFrame, label: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_cut(df: DataFrame) -> None:
-    """Delete the files behind a frame that cut() returned, once nothing reads it any more."""
-    spark = df.sparkSession
-    root = shared_dir(spark).split(":")[-1]
-    for f in {os.path.dirname(x) for x in df.inputFiles()}:
-        if root.rstrip("/") in f:
-            path = spark._jvm.org.apache.hadoop.fs.Path(f)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def ship(spark: SparkSession) -> None:
     """Let Python workers import this package: by path, and as an archive where machines are remote."""
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
