@@ -44,24 +44,26 @@ def nearest_source(reach: DataFrame) -> DataFrame:
     return reach.groupBy("node").agg(F.min(F.struct("cost", "src")).alias("m")).select("node", "m.src", "m.cost")
 
 
-def components(nodes: DataFrame, edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """id, component (the smallest id connected to it), by labels and pointer jumping.
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """id, component (the smallest id connected to it), by labels, root hooking and pointer jumping.
 
-    Each round takes the least label among neighbours and then the label of that label, so chains
-    shrink geometrically. Nodes without edges are their own component.
+    Each round the least label of a node's neighbours (and the label of that label) goes to the node
+    and to the node that its own label names, so whole labelled stretches are hooked and not only their
+    rims. Labels only fall and the loop ends when none does: every label is then a root that all its
+    neighbours share. Nodes without edges are their own component; edges with unknown ends do nothing.
     """
     both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = cut(nodes.select("id", F.col("id").alias("component")).distinct(), "labels")
-    for _ in range(rounds):
-        near = both.join(labels.select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("seen"))
-        hooked = labels.join(near, "id", "left").select("id", F.col("component").alias("old"), F.least("component", F.coalesce("seen", "component")).alias("component"))
-        jump = hooked.select(F.col("id").alias("component"), F.col("component").alias("up"))
-        new = cut(hooked.join(jump, "component", "left").select("id", "old", F.least("component", F.coalesce("up", "component")).alias("component")), "labels")
-        changed = not new.where("component <> old").isEmpty()
+    while True:
+        up = labels.select("id", F.col("component").alias("old")).join(labels.select(F.col("id").alias("old"), F.col("component").alias("up")), "old", "left")
+        near = both.join(up.select(F.col("id").alias("b"), F.col("up").alias("seen")), "b").groupBy(F.col("a").alias("id")).agg(F.min("seen").alias("seen"))
+        own = F.struct("id", F.least("old", "up", "seen").alias("component"), "old")
+        root = F.struct(F.col("old").alias("id"), F.col("seen").alias("component"), F.lit(None).alias("old"))
+        sent = up.join(near, "id", "left").select(F.explode(F.array(own, root)).alias("m")).select("m.*")
+        new = cut(sent.groupBy("id").agg(F.min("component").alias("component"), F.max("old").alias("old")), "labels")
         labels = new.select("id", "component")
-        if not changed:
-            break
-    return labels
+        if new.where("component < old").isEmpty():
+            return labels
 
 
 def largest_component_share(labels: DataFrame) -> DataFrame:

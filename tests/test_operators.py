@@ -77,6 +77,13 @@ def test_components_of_long_chains_and_strangers(spark):
     assert abs(share - 41 / 60) < 1e-12
 
 
+def test_components_of_a_shuffled_path_are_one(spark):
+    order = [int(x) for x in np.random.default_rng(1000).permutation(1000)]
+    e = spark.createDataFrame(list(zip(order[:-1], order[1:])), "a long, b long")
+    got = graph.components(spark.range(1005), e).groupBy("component").count()
+    assert {r.component: r["count"] for r in got.collect()} == {0: 1000, 1000: 1, 1001: 1, 1002: 1, 1003: 1, 1004: 1}
+
+
 def test_paths_equal_dijkstra(spark):
     rng = np.random.default_rng(0)
     raw = [(int(a), int(b), float(w)) for a, b, w in zip(rng.integers(0, 30, 80), rng.integers(0, 30, 80), rng.integers(1, 9, 80))] + [(1, None, 1.0), (3, 3, 1.0)]
