@@ -19,24 +19,26 @@ def undirected(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     return e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")).groupBy("a", "b").agg(F.min("w").alias("w"))
 
 
-def bounded_reach(edges: DataFrame, sources: DataFrame, limit: float, rounds: int = 64) -> DataFrame:
+def bounded_reach(edges: DataFrame, sources: DataFrame, limit: float) -> DataFrame:
     """src, node, cost of every node within ``limit`` of each source, by a frontier that relaxes until it is empty.
 
-    edges: a, b, w (from undirected()); sources: src, node. Only improved nodes are joined again, and
-    each round is written to the shared folder, so plans stay short and lost executors cost one round.
+    edges: a, b, w (from undirected()), w not negative (else ValueError); sources: src, node. Only
+    improved nodes are joined again, and each round is written to the shared folder, so plans stay short
+    and lost executors cost one round. Costs only fall, each to that of another path, so the loop ends.
     """
+    if not edges.where("w < 0").isEmpty():
+        raise ValueError("bounded_reach needs weights that are not negative")
     best = cut(sources.select("src", "node", F.lit(0.0).alias("cost")).groupBy("src", "node").agg(F.min("cost").alias("cost")), "reach")
     front = best
-    for _ in range(rounds):
+    while True:
         step = front.join(edges, front["node"] == edges["a"]).select("src", F.col("b").alias("node"), (F.col("cost") + F.col("w")).alias("new")).where(F.col("new") <= limit)
         step = step.groupBy("src", "node").agg(F.min("new").alias("new"))
         better = step.join(best, ["src", "node"], "left").where("cost is null or new < cost").select("src", "node", F.col("new").alias("cost"))
         better = cut(better, "front")
         if better.isEmpty():
-            break
+            return best
         best = cut(best.unionByName(better).groupBy("src", "node").agg(F.min("cost").alias("cost")), "reach")
         front = better
-    return best
 
 
 def nearest_source(reach: DataFrame) -> DataFrame:

@@ -99,6 +99,14 @@ def test_paths_equal_dijkstra(spark):
     assert got == {(s, t): d[s, t] for s in (0, 7) for t in range(30) if d[s, t] <= 9}
 
 
+def test_reach_follows_paths_of_many_edges(spark):
+    e = graph.undirected(spark.createDataFrame([(i, i + 1, 1.0) for i in range(80)], "a long, b long, w double"))
+    got = {r.node: r.cost for r in graph.bounded_reach(e, spark.createDataFrame([(0, 0)], "src long, node long"), 70.0).collect()}
+    assert got == {i: float(i) for i in range(71)}
+    with pytest.raises(ValueError):
+        graph.bounded_reach(e.withColumn("w", -F.col("w")), spark.createDataFrame([(0, 0)], "src long, node long"), 70.0)
+
+
 def test_constrained_merge(spark):
     n = spark.createDataFrame([(1, 1, "x"), (1, 2, None), (1, 3, "y"), (1, 4, "x")], "g long, id long, kind string")
     e = spark.createDataFrame([(1, 1, 2), (1, 2, 3), (1, 2, 4)], "g long, a long, b long")
