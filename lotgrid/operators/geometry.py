@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lotgrid.session import cut
+
 #: A ring: array<struct<x double, y double>>, open (the first point is not repeated).
 SQRT3 = math.sqrt(3.0)
 
@@ -156,20 +158,29 @@ def within_radius(left: DataFrame, right: DataFrame, radius: float) -> DataFrame
     return a.join(b, ["cx", "cy"]).withColumn("dist", d).where(F.col("dist") <= radius).select("id_a", "id_b", "dist")
 
 
-def nearest(left: DataFrame, right: DataFrame, first_radius: float, rounds: int = 12) -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, first_radius: float) -> DataFrame:
     """id_a, id_b, dist of the nearest right point of each left point, ties to the smaller id.
 
     The radius doubles; each round searches only for points that found nothing, so cost follows need.
+    It goes on until nobody is left, at the latest at twice the diagonal of the box around all points.
+    Points without finite coordinates have no distance: they give no row and are nobody's nearest.
     """
-    open_, radius, out = left, first_radius, None
-    for _ in range(rounds):
-        got = within_radius(open_, right, radius).groupBy("id_a").agg(F.min(F.struct("dist", "id_b")).alias("m")).select("id_a", "m.id_b", "m.dist")
+    if not first_radius > 0:
+        raise ValueError("nearest needs a radius above 0")
+    finite = (F.abs(F.col("x")) < math.inf) & (F.abs(F.col("y")) < math.inf)
+    open_, right = cut(left.where(finite).select("id_a", "x", "y"), "open"), cut(right.where(finite).select("id_b", "x", "y"), "right")
+    box = open_.select("x", "y").unionByName(right.select("x", "y")).agg(F.max("x") - F.min("x"), F.max("y") - F.min("y")).first()
+    last = 2 * math.hypot(*(float(w or 0) for w in box))
+    radius, out = first_radius, None
+    while True:
+        got = cut(within_radius(open_, right, radius).groupBy("id_a").agg(F.min(F.struct("dist", "id_b")).alias("m")).select("id_a", "m.id_b", "m.dist"), "nearest")
         out = got if out is None else out.unionByName(got)
-        open_ = open_.join(got, "id_a", "left_anti")
+        if radius > last:
+            return out
+        open_ = cut(open_.join(got, "id_a", "left_anti"), "open")
         if open_.isEmpty():
-            break
+            return out
         radius *= 2
-    return out
 
 
 def hex_cell(x: Column, y: Column, size: float) -> Column:

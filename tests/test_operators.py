@@ -107,6 +107,13 @@ def test_reach_follows_paths_of_many_edges(spark):
         graph.bounded_reach(e.withColumn("w", -F.col("w")), spark.createDataFrame([(0, 0)], "src long, node long"), 70.0)
 
 
+def test_nearest_finds_outliers(spark):
+    a = spark.createDataFrame([(1, 0.0, 0.0), (2, 9000.0, 0.0), (3, None, 0.0)], "id_a long, x double, y double")
+    b = spark.createDataFrame([(1, 0.5, 0.0), (2, math.nan, 0.0)], "id_b long, x double, y double")
+    assert sorted(map(tuple, geometry.nearest(a, b, 1.0).collect())) == [(1, 1, 0.5), (2, 1, 8999.5)]
+    assert geometry.nearest(a, b.limit(0), 4000.0).count() == 0
+
+
 def test_constrained_merge(spark):
     n = spark.createDataFrame([(1, 1, "x"), (1, 2, None), (1, 3, "y"), (1, 4, "x")], "g long, id long, kind string")
     e = spark.createDataFrame([(1, 1, 2), (1, 2, 3), (1, 2, 4)], "g long, a long, b long")
