@@ -14,91 +14,85 @@ from lotgrid.session import cut
 Bins = list[tuple[int, dict[int, int]]]  # how many containers, and how many items of each length one holds
 
 
-def _dearest(sizes: np.ndarray, prices: np.ndarray, capacity: int) -> dict[int, int]:
-    """The dearest filling of a capacity by dynamic programming (unbounded knapsack): index -> times."""
-    value = np.zeros(capacity + 1)
-    pick = np.full(capacity + 1, -1, np.int64)
+def _worth(sizes: np.ndarray, prices: np.ndarray, capacity: int) -> np.ndarray:
+    """The dearest filling of every room up to a capacity (unbounded knapsack). sizes ascend."""
+    worth = np.zeros(capacity + 1)
     upto = np.searchsorted(sizes, np.arange(capacity + 1), side="right")
     for c in range(1, capacity + 1):
         k = upto[c]
-        if k:
-            gain = value[c - sizes[:k]] + prices[:k]
-            j = int(gain.argmax())
-            if gain[j] > value[c - 1]:
-                value[c], pick[c] = gain[j], j
-                continue
-        value[c] = value[c - 1]
-    found: dict[int, int] = {}
-    c = capacity
-    while c > 0:
-        if pick[c] < 0:
-            c -= 1
-            continue
-        j = int(pick[c])
-        found[j] = found.get(j, 0) + 1
-        c -= int(sizes[j])
-    return found
-
+        worth[c] = max(worth[c - 1], (worth[c - sizes[:k]] + prices[:k]).max()) if k else 0.0
+    return worth
 
-def best_pattern(sizes: np.ndarray, prices: np.ndarray, demand: np.ndarray, capacity: int) -> dict[int, int]:
-    """A dear filling of one container that uses no length more often than it is left.
 
-    Where the unbounded answer holds a length too often, the surplus is dropped and the room that it
-    leaves is filled again from the lengths not used up, until nothing fits.
-    """
+def _draw(sizes: np.ndarray, prices: np.ndarray, worth: np.ndarray, allowed: np.ndarray, capacity: int) -> dict[int, int]:
+    """A dear filling that uses no length more often than allowed: index -> times, ties to the longest."""
     taken: dict[int, int] = {}
-    live = np.flatnonzero((demand > 0) & (sizes <= capacity))
-    while len(live):
-        got = _dearest(sizes[live], prices[live], capacity)
-        if not got:
+    spare, room = allowed.copy(), capacity
+    while k := int(np.searchsorted(sizes, room, side="right")):
+        gain = np.where(spare[:k] > 0, worth[room - sizes[:k]] + prices[:k], -1.0)
+        j = k - 1 - int(gain[::-1].argmax())
+        if gain[j] < 0:
             break
-        for j, n in got.items():
-            k = int(live[j])
-            use = min(n, int(demand[k]) - taken.get(k, 0))
-            taken[k] = taken.get(k, 0) + use
-            capacity -= use * int(sizes[k])
-        live = live[[int(demand[k]) > taken.get(int(k), 0) and sizes[k] <= capacity for k in live]]
-    return {k: n for k, n in taken.items() if n}
-
-
-def configuration_program(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 120, step: float = 0.25, eta: float = 4.0) -> Bins:
-    """Whole numbers of full containers from the covering program min sum x_p, sum a_sp x_p >= d_s.
-
-    Multiplicative weights: a length's price is its volume times exp(-eta * share of its demand
-    covered so far); each round prices the best pattern by knapsack and takes it in a ``step`` that
-    covers at most that share of any length. The sums are then rounded down, fullest patterns first,
-    to what the demand allows; what is left over is for best_fit().
+        taken[j] = taken.get(j, 0) + 1
+        spare[j] -= 1
+        room -= int(sizes[j])
+    return taken
+
+
+def cover(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 120, step: float = 0.0625, eta: float = 4.0, slack: float | None = None) -> Bins:
+    """Whole numbers of patterns that hold every item: sum a_sp x_p = d_s, min sum x_p, by multiplicative weights.
+
+    A length's price is its volume times exp(-eta * share of its demand covered so far). Each phase
+    prices by knapsack and takes patterns, dearest first, down to 1 - ``slack`` of its first one's worth, until
+    1 / ``rounds`` of the volume or ``step`` of a length's demand (one item at least) is used: that width
+    bounds how far prices can be out of date. ``slack`` is capacity / 80,000 unless given: pricing a large
+    container takes longest, and its many lengths fill it all the same. Steps are whole containers, so nothing is lost by rounding. Phases
+    go on until every length is covered; each covers an item at least, so they end. sizes ascend.
     """
-    order = np.argsort(sizes)
-    sizes, demand = sizes[order].astype(np.int64), demand[order].astype(np.int64)
-    covered = np.zeros(len(sizes))
-    taken: dict[tuple[tuple[int, int], ...], float] = {}
-    for _ in range(rounds):
-        open_ = covered < 0.999
-        if not open_.any():
-            break
-        live = np.flatnonzero(open_)
-        prices = sizes[live] / capacity * np.exp(-eta * covered[live])
-        pattern = best_pattern(sizes[live], prices, demand[live], capacity)
-        if not pattern:
-            break
-        pattern = {int(live[j]): n for j, n in pattern.items()}
-        amount = max(1.0, step * min(demand[j] / n for j, n in pattern.items()))
-        key = tuple(sorted(pattern.items()))
-        taken[key] = taken.get(key, 0.0) + amount
-        for j, n in pattern.items():
-            covered[j] += n * amount / demand[j]
+    if len(sizes) and sizes[-1] > capacity:
+        raise ValueError("an item is longer than the capacity")
+    slack = min(0.1, capacity / 80_000) if slack is None else slack
     left, bins = demand.copy(), []
-    for key, amount in sorted(taken.items(), key=lambda x: -sum(int(sizes[j]) * n for j, n in x[0])):
-        if sum(int(sizes[j]) * n for j, n in key) < 0.98 * capacity:
+    many_a_phase = max(1, int((sizes * demand).sum() / capacity / rounds))
+    while left.any():
+        live = np.flatnonzero(left)
+        size = sizes[live]
+        prices = np.maximum(1.0, np.rint(size * np.exp(-eta * (1 - left[live] / demand[live])) * 2**20))
+        worth = _worth(size, prices, capacity)
+        allowed = np.minimum(left[live], np.maximum(1, (step * demand[live]).astype(np.int64)))
+        budget, best = many_a_phase, 0.0
+        while budget > 0:
+            pattern = _draw(size, prices, worth, allowed, capacity)
+            price = sum(prices[j] * n for j, n in pattern.items())
+            best = best or price
+            if not pattern or price < (1 - slack) * best:
+                break
+            amount = min(budget, *(int(allowed[j]) // n for j, n in pattern.items()))
+            bins.append((amount, {int(size[j]): n for j, n in pattern.items()}))
+            for j, n in pattern.items():
+                allowed[j] -= amount * n
+                left[live[j]] -= amount * n
+            budget -= amount
+    return bins
+
+
+def program_and_rest(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 120, full: float = 0.98) -> tuple[Bins, dict[int, int]]:
+    """The containers of cover() that are full, and how many items of each length its emptier ones held."""
+    order = np.argsort(sizes)
+    kept, rest = [], {}
+    for many, held in cover(sizes[order].astype(np.int64), demand[order].astype(np.int64), capacity, rounds):
+        if sum(s * n for s, n in held.items()) >= full * capacity:
+            kept.append((many, held))
             continue
-        many = min([int(amount), *(int(left[j]) // n for j, n in key)])
-        if many > 0:
-            bins.append((many, {int(sizes[j]): n for j, n in key}))
-            for j, n in key:
-                left[j] -= many * n
-    rest = {int(s): int(d) for s, d in zip(sizes, left) if d > 0}
-    return bins + best_fit(rest, capacity)
+        for s, n in held.items():
+            rest[s] = rest.get(s, 0) + many * n
+    return kept, rest
+
+
+def configuration_program(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 120) -> Bins:
+    """Containers for every item: the covering program's full ones, what its emptier ones held by best_fit()."""
+    kept, rest = program_and_rest(sizes, demand, capacity, rounds)
+    return kept + best_fit(rest, capacity)
 
 
 def best_fit(rest: dict[int, int], capacity: int) -> Bins:

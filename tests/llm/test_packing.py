@@ -2,7 +2,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lotgrid.llm.packing import best_fit, configuration_program, fill, pack, slots
+from lotgrid.llm.packing import best_fit, configuration_program, fill, pack, program_and_rest, slots
 
 
 def held(bins):
@@ -23,6 +23,17 @@ def test_every_item_once_and_nothing_too_full(demand):
         assert sum(m for m, _ in bins) <= 2 * volume / 40 + 1
 
 
+def test_the_program_itself_packs_nearly_everything():
+    rng = np.random.default_rng(3)
+    sizes, demand = np.arange(1, 200), rng.integers(1, 40, 199)
+    kept, rest = program_and_rest(sizes, demand, 400)
+    volume = int((sizes * demand).sum())
+    assert sum(s * n for s, n in rest.items()) <= 0.05 * volume
+    together = held(kept)
+    assert {s: together.get(s, 0) + rest.get(s, 0) for s in sizes.tolist()} == dict(zip(sizes.tolist(), demand.tolist()))
+    assert sum(m for m, _ in configuration_program(sizes, demand, 400)) <= 1.01 * volume / 400 + 1
+
+
 def test_slots_cover_each_rank_once():
     bins = [(2, {3: 2, 5: 1}), (1, {3: 1})]
     seen = {}
