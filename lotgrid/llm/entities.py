@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import itertools
 import math
 import re
 from collections.abc import Iterator
@@ -206,18 +207,41 @@ def name_bands(df: DataFrame, ident: str, name: str, own_col: str, bands: int =
     return df.select(F.col(ident).alias("id"), F.col(name).alias("name"), "vague").where("name is not null").mapInPandas(run, f"id {dict(df.dtypes)[ident]}, vague boolean, own string, band string").withColumnsRenamed({"id": ident, "own": own_col})
 
 
+def near_names(a: DataFrame, b: DataFrame, longest: int = 12) -> DataFrame:
+    """own_s, own_u of every two names of up to ``longest`` letters at two edits or less: they share a
+    string that is left after at most two deletions from each. a: own_s; b: own_u."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = [(own, left) for own in frame["own"] for left in {"".join(c) for k in range(3) for c in itertools.combinations(own, max(0, len(own) - k))}]
+            yield pd.DataFrame(rows, columns=["own", "left"])
+
+    left = lambda df, c: df.select(F.col(c).alias("own")).where(F.length("own") <= longest).distinct().mapInPandas(run, "own string, left string").withColumnRenamed("own", c)
+    return salted_join(cut(left(a, "own_s"), "deleted"), cut(left(b, "own_u"), "deleted"), "left").select("own_s", "own_u").distinct().where(F.levenshtein("own_s", "own_u") <= 2)
+
+
 def candidates(s: DataFrame, u: DataFrame, reach_m: float = 300.0) -> DataFrame:
-    """sid, uid of every pair that shares a map id, a place within reach or, where place cannot tell, a MinHash band of the name.
+    """sid, uid of every pair that shares a map id, a place within reach or, where place cannot tell, a MinHash band of the name or a short name at two edits.
 
     Names block only pairs of which a side has no place, or one too coarse for the reach: all others
     would have to be neighbours, and the place finds these without pairing off namesakes. Names that
     share a band must also be within about a third of their letters, tested before the pair is formed.
+    Bands miss many short names with a swap, so near_names() finds those exactly: all that pass the test
+    if the longer has up to nine letters, and all at two edits up to twelve.
     """
     by_id = salted_join(s.select("sid", F.explode("ids_s").alias("k")), u.select("uid", F.explode("ids_u").alias("k")), "k").select("sid", "uid")
     vague = lambda y, c: F.col(y).isNull() | (F.col(c) > reach_m / 2)
     like = F.levenshtein("own_s", "own_u") <= F.greatest(F.lit(2), F.floor(F.greatest(F.length("own_s"), F.length("own_u")) * 0.3))
     bands_s, bands_u = (cut(x, "bands") for x in (name_bands(s.withColumn("vague", vague("y_s", "c_s")), "sid", "name_s", "own_s"), name_bands(u.withColumn("vague", vague("y_u", "c_u")), "uid", "name_u", "own_u")))
     by_name = salted_join(bands_s.where("vague").drop("vague"), bands_u.drop("vague"), "band").where(like).select("sid", "uid").unionByName(salted_join(bands_s.where("not vague").drop("vague"), bands_u.where("vague").drop("vague"), "band").where(like).select("sid", "uid"))
+    once = lambda df: df.where("band like '0:%'").drop("band")
+    names_s, names_u = once(bands_s), once(bands_u)
+
+    def by_edits(a: DataFrame, b: DataFrame) -> DataFrame:
+        near = cut(near_names(a, b), "names")
+        return salted_join(salted_join(a.drop("vague"), near, "own_s"), b.drop("vague"), "own_u").select("sid", "uid")
+
+    by_name = by_name.unionByName(by_edits(names_s.where("vague"), names_u)).unionByName(by_edits(names_s.where("not vague"), names_u.where("vague")))
     left = u.where("y_u is not null").select(F.col("uid").alias("id_l"), F.col("y_u").alias("lat"), F.col("x_u").alias("lon"))
     right = s.where("y_s is not null").select(F.col("sid").alias("id_r"), F.col("y_s").alias("lat"), F.col("x_s").alias("lon"))
     by_place = near_pairs(left, right, reach_m).select(F.col("id_r").alias("sid"), F.col("id_l").alias("uid"))

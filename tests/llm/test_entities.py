@@ -2,7 +2,7 @@ from datetime import datetime
 
 import numpy as np
 
-from lotgrid.llm.entities import closeness, fit_logistic, links, operator_state, osm_ids, words
+from lotgrid.llm.entities import closeness, fit_logistic, links, near_names, operator_state, osm_ids, words
 from pyspark.sql import functions as F
 
 T = datetime(2025, 1, 1)
@@ -24,6 +24,12 @@ def test_ids(spark):
     assert got == [["r12", "w3"], ["w4", "n5"], [], [], []]
 
 
+def test_short_names_with_a_swap_meet(spark):
+    a = spark.createDataFrame([("cigcik",), ("reedrane",), ("ab",), ("zzzzzz",)], "own_s string")
+    b = spark.createDataFrame([("cigick",), ("reerdane",), ("a",), ("reedxxxx",)], "own_u string")
+    assert {tuple(r) for r in near_names(a, b).collect()} == {("cigcik", "cigick"), ("reedrane", "reerdane"), ("ab", "a")}
+
+
 def test_logistic_recovers_weights():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(4000, 2))
