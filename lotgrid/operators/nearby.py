@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lotgrid.operators.skew import salted_join
+from lotgrid.operators.skew import salted_join, salted_join_on
 
 EARTH_M = 6_371_000.0
 
@@ -34,7 +34,7 @@ def _columns(row: Column, height: float) -> Column:
     return F.greatest(F.floor(F.lit(360.0 / height) * F.cos(F.radians(F.least(edge, F.lit(90.0))))), F.lit(1))
 
 
-def near_pairs(left: DataFrame, right: DataFrame, radius_m: float, parts: int = 8) -> DataFrame:
+def near_pairs(left: DataFrame, right: DataFrame, radius_m: float, rows: int = 4_000) -> DataFrame:
     """id_l, id_r, dist_m of all pairs at most ``radius_m`` apart on the sphere.
 
     left: id_l, lat, lon; right: id_r, lat, lon (both from positions()). Points on the right are hashed
@@ -48,15 +48,15 @@ def near_pairs(left: DataFrame, right: DataFrame, radius_m: float, parts: int =
     wide = lambda row: F.lit(360.0) / _columns(row, height)
     cell = lambda row, col: F.xxhash64(row.cast("long"), col.cast("long"))
     b = right.select("id_r", F.col("lat").alias("lat_r"), F.col("lon").alias("lon_r"), cell(row_r, F.floor((F.pmod(F.col("lon"), F.lit(360.0))) / wide(row_r))).alias("cell"))
-    rows = left.select("id_l", F.col("lat").alias("lat_l"), F.col("lon").alias("lon_l"), F.explode(F.sequence(F.floor((F.col("lat") - reach) / F.lit(height)), F.floor((F.col("lat") + reach) / F.lit(height)))).alias("row"))
+    around = left.select("id_l", F.col("lat").alias("lat_l"), F.col("lon").alias("lon_l"), F.explode(F.sequence(F.floor((F.col("lat") - reach) / F.lit(height)), F.floor((F.col("lat") + reach) / F.lit(height)))).alias("row"))
     ratio = F.lit(math.sin(radius_m / EARTH_M)) / F.cos(F.radians("lat_l"))
     dlon = F.when(ratio < 1, F.degrees(F.asin(ratio)) * 1.000001).otherwise(180.0)
     n = _columns(F.col("row"), height).cast("long")
     first = F.floor((F.col("lon_l") - dlon) / (F.lit(360.0) / n))
     last = F.least(F.floor((F.col("lon_l") + dlon) / (F.lit(360.0) / n)), first + n - 1)
-    a = rows.select("id_l", "lat_l", "lon_l", "row", n.alias("n"), F.explode(F.sequence(first, last)).alias("col")).select("id_l", "lat_l", "lon_l", cell(F.col("row"), F.pmod(F.col("col"), F.col("n"))).alias("cell"))
+    a = around.select("id_l", "lat_l", "lon_l", "row", n.alias("n"), F.explode(F.sequence(first, last)).alias("col")).select("id_l", "lat_l", "lon_l", cell(F.col("row"), F.pmod(F.col("col"), F.col("n"))).alias("cell"))
     d = great_circle_m(F.col("lat_l"), F.col("lon_l"), F.col("lat_r"), F.col("lon_r"))
-    return salted_join(a, b, "cell", parts).withColumn("dist_m", d).where(F.col("dist_m") <= radius_m).select("id_l", "id_r", "dist_m")
+    return salted_join(a, b, "cell", rows).withColumn("dist_m", d).where(F.col("dist_m") <= radius_m).select("id_l", "id_r", "dist_m")
 
 
 def rings(wkt: Column) -> Column:
@@ -66,14 +66,15 @@ def rings(wkt: Column) -> Column:
     return F.when(F.upper(F.trim(wkt)).rlike(r"^(MULTI)?POLYGON"), F.transform(texts, lambda t: F.transform(F.split(t, ","), point)))
 
 
-def inside_regions(points: DataFrame, regions: DataFrame, cell0: float = 0.002, sub: int = 8) -> DataFrame:
+def inside_regions(points: DataFrame, regions: DataFrame, cell0: float = 0.002, sub: int = 8, rows: int = 20_000) -> DataFrame:
     """id_p, id_g of every point and every region that contains it.
 
     points: id_p, lat, lon; regions: id_g, wkt (longitude first; even-odd rule, so holes are outside).
     A region is hashed at the grid level whose cells are about as large as its bounding box, so it
     meets few cells whatever its size; a point looks up one cell per level in use. Candidates are then
     tested exactly: crossings of the ray to the east with those edges of the region that lie in the
-    point's strip of latitude. All of it is column expressions and equi-joins.
+    point's strip of latitude. All of it is column expressions and equi-joins, and both joins spread a
+    crowded cell and a crowded region over tasks.
     """
     shapes = regions.select("id_g", rings(F.col("wkt")).alias("rings")).where("rings is not null")
     edges = shapes.select("id_g", F.explode("rings").alias("ring")).select(
@@ -88,7 +89,7 @@ def inside_regions(points: DataFrame, regions: DataFrame, cell0: float = 0.002,
     ).select("*", F.explode(F.sequence(F.floor(F.col("y0") / F.col("step")), F.floor(F.col("y9") / F.col("step")))).alias("cy"))
     levels = F.broadcast(box.groupBy("level", "step").agg(F.lit(1).alias("lg_one")))  # at most one row per power of two of a size on the globe
     probes = points.select("id_p", "lat", "lon", F.lit(1).alias("lg_one")).join(levels, "lg_one").select("id_p", "lat", "lon", "level", "step", F.floor(F.col("lon") / F.col("step")).alias("cx"), F.floor(F.col("lat") / F.col("step")).alias("cy"))
-    near = probes.join(cells.drop("step").hint("merge"), ["level", "cx", "cy"]).where("lon between x0 and x9 and lat between y0 and y9")
+    near = salted_join_on(probes, cells.drop("step"), ["level", "cx", "cy"], rows).where("lon between x0 and x9 and lat between y0 and y9")
     near = near.select("id_p", "id_g", "lat", "lon", F.floor(F.col("lat") / F.col("step") * sub).alias("strip"))
     low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
     strips = edges.where("y1 <> y2").join(box.select("id_g", "step"), "id_g").select(
@@ -96,5 +97,5 @@ def inside_regions(points: DataFrame, regions: DataFrame, cell0: float = 0.002,
     )
     y, x = F.col("lat"), F.col("lon")
     crosses = ((F.col("y1") > y) != (F.col("y2") > y)) & (x < (F.col("x2") - F.col("x1")) * (y - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1"))
-    hits = near.join(strips.hint("merge"), ["id_g", "strip"]).where(crosses).groupBy("id_p", "id_g").agg(F.count("*").alias("n"))
+    hits = salted_join_on(near, strips, ["id_g", "strip"], rows).where(crosses).groupBy("id_p", "id_g").agg(F.count("*").alias("n"))
     return hits.where("n % 2 = 1").select("id_p", "id_g")

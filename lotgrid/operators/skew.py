@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: At most so many keys are split, the most frequent ones: no other key can hold more than one row in MOST.
+MOST = 1024
+
 
 def salt(df: DataFrame, column: str, parts: int, *seed: str) -> DataFrame:
     """Spread rows evenly over ``parts`` salts by a hash of the seed columns (all columns if none)."""
@@ -13,9 +16,9 @@ def salt(df: DataFrame, column: str, parts: int, *seed: str) -> DataFrame:
 
 
 def heavy_keys(df: DataFrame, key: str, most: int, at_least: int = 1000) -> DataFrame:
-    """The ``most`` most frequent keys, of those with ``at_least`` rows: a bounded handful."""
+    """The ``most`` most frequent keys, of those with ``at_least`` rows, and their rows as lg_n: a bounded handful."""
     counts = df.groupBy(key).agg(F.count("*").alias("lg_n")).where(F.col("lg_n") >= at_least)
-    return counts.orderBy(F.desc("lg_n"), key).limit(most).select(key)
+    return counts.orderBy(F.desc("lg_n"), key).limit(most)
 
 
 def lookup_join(facts: DataFrame, index: DataFrame, key: str, how: str = "left", parts: int = 16, hot: DataFrame | None = None) -> DataFrame:
@@ -36,18 +39,37 @@ def lookup_join(facts: DataFrame, index: DataFrame, key: str, how: str = "left",
     return left.join(right, [key, "lg_salt"], how).drop("lg_salt")
 
 
-def salted_join(left: DataFrame, right: DataFrame, key: str, parts: int = 8) -> DataFrame:
-    """Inner join on key in which keys that many rows of either side share are spread over tasks.
+def salted_join(left: DataFrame, right: DataFrame, key: str, rows: int = 4_000) -> DataFrame:
+    """Inner join on key in which a key that many rows of either side share is spread over many tasks.
 
-    A frequent key of one side is salted there and copied per salt on the other; the rows of both
-    sides at one (key, salts) meet exactly once. Null keys match nothing. Rows that were exploded
-    look smaller to the optimiser than they are, so the join is kept from broadcasting them.
+    A key with more than ``rows`` rows on one side is cut there into stretches of about that many, and
+    copied per stretch on the other, so a task meets at most ``rows`` rows of a side at once however large
+    the key grows; the rows of both sides at one (key, stretches) meet exactly once. Null keys match
+    nothing. Rows that were exploded look smaller to the optimiser than they are, so the join is kept
+    from broadcasting them.
     """
-    hot_l = F.broadcast(heavy_keys(left, key, 4 * parts).withColumn("lg_hl", F.lit(parts)))
-    hot_r = F.broadcast(heavy_keys(right, key, 4 * parts).withColumn("lg_hr", F.lit(parts)))
+    cuts = lambda df, name: F.broadcast(heavy_keys(df, key, MOST, rows + 1).select(key, F.ceil(F.col("lg_n") / rows).cast("int").alias(name)))
+    hot_l, hot_r = cuts(left, "lg_hl"), cuts(right, "lg_hr")
     whole = lambda n: F.explode(F.sequence(F.lit(0), F.coalesce(F.col(n), F.lit(1)) - 1))
     both = lambda df: df.join(hot_l, key, "left").join(hot_r, key, "left")
     by_hash = lambda n, c: F.pmod(F.xxhash64(*[F.col(x) for x in c]), F.coalesce(F.col(n), F.lit(1)).cast("long")).cast("int")
     a = both(left).withColumn("lg_a", by_hash("lg_hl", left.columns)).withColumn("lg_b", whole("lg_hr")).drop("lg_hl", "lg_hr")
     b = both(right).withColumn("lg_b", by_hash("lg_hr", right.columns)).withColumn("lg_a", whole("lg_hl")).drop("lg_hl", "lg_hr")
     return a.join(b.hint("merge"), [key, "lg_a", "lg_b"]).drop("lg_a", "lg_b")
+
+
+def salted_join_on(left: DataFrame, right: DataFrame, keys: list[str], rows: int = 4_000) -> DataFrame:
+    """salted_join() on several columns: by one hash of them, and then by their values."""
+    one = lambda df: df.withColumn("lg_key", F.when(~_any_null(keys), F.xxhash64(*keys)))
+    b = one(right).withColumnsRenamed({k: f"lg_r_{i}" for i, k in enumerate(keys)})
+    joined = salted_join(one(left), b, "lg_key", rows)
+    for i, k in enumerate(keys):
+        joined = joined.where(F.col(k) == F.col(f"lg_r_{i}"))
+    return joined.drop("lg_key", *[f"lg_r_{i}" for i in range(len(keys))])
+
+
+def _any_null(keys: list[str]) -> Column:
+    out = F.col(keys[0]).isNull()
+    for k in keys[1:]:
+        out = out | F.col(k).isNull()
+    return out

@@ -56,5 +56,9 @@ WHERE (e.y1 > p.lat) <> (e.y2 > p.lat) AND p.lon < (e.x2 - e.x1) * (p.lat - e.y1
 
 ORACLE: dict[str, str] = {
     "p2_found": _REFS + "SELECT table_name, strftime(load_ts, '%Y-%m') AS period, rec_id FROM refs LEFT JOIN par USING (k) WHERE k IS NOT NULL AND load_ts IS NOT NULL AND (f IS NULL OR load_ts < f OR coalesce(load_ts >= u, false))",
+    "p2_snapshots": _REFS + """, r AS (SELECT table_name, load_ts AS came, f, u, f IS NULL OR load_ts < f AS early, f IS NOT NULL AND load_ts >= f AND coalesce(load_ts >= u, false) AS dead, f IS NOT NULL AND coalesce(u > f, true) AS ever FROM refs LEFT JOIN par USING (k) WHERE k IS NOT NULL AND load_ts IS NOT NULL),
+e AS (SELECT table_name, came AS t, 1 AS o, 0 AS s, 0 AS p FROM r WHERE early OR dead UNION ALL SELECT table_name, f, 0, 1, 0 FROM r WHERE early AND ever UNION ALL SELECT table_name, u, 0, 0, 1 FROM r WHERE ever AND NOT dead AND u IS NOT NULL),
+m AS (SELECT table_name, strftime(t, '%Y-%m') AS period, sum(o)::BIGINT AS opened, sum(s)::BIGINT AS resolved, sum(p)::BIGINT AS reopened FROM e GROUP BY 1, 2)
+SELECT *, sum(opened - resolved + reopened) OVER (PARTITION BY table_name ORDER BY period)::BIGINT AS open_at_end FROM m""",
     "p3_found": " UNION ALL ".join([_PAIRS.format(kind="sample_venue", a="round1_sample", b="venues"), _PAIRS.format(kind="sample_hospital", a="round1_sample", b="hospitals_cms"), _PAIRS.format(kind="venue_hospital", a="venues", b="hospitals_cms"), _INSIDE]),
 }

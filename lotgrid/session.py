@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -43,19 +44,34 @@ def shared_dir(spark: SparkSession) -> str:
         return held
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lotgrid-"))
+    own = tempfile.mkdtemp(prefix="lotgrid-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    spark.sparkContext.setCheckpointDir(own)
     return spark.sparkContext.getCheckpointDir()
 
 
-def cut(df: DataFrame, label: str = "step") -> DataFrame:
+def cut(df: DataFrame, label: str = "step", by: str | None = None) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends here, executors may die.
 
-    Unlike checkpoint() the rows are stored as compressed columns, so later reads prune columns.
+    Unlike checkpoint() the rows are stored as compressed columns, so later reads prune columns, and,
+    with ``by``, a filter on that column reads its part only. discard() removes the files again.
     """
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    order = [c for c in df.columns if c != by] + ([by] if by else [])
+    held = spark.read.schema(df.select(*order).schema).parquet(path)
+    held._lg_path = path
+    return held
+
+
+def discard(*held: DataFrame | None) -> None:
+    """Remove the files of cut() tables that nothing reads any more; any other table is left alone."""
+    for df in held:
+        path = getattr(df, "_lg_path", None)
+        if path:
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def ship(spark: SparkSession) -> None:

@@ -27,7 +27,7 @@ def views():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(n for n in entry.oracle_sql() if not n.startswith("p")or not n[1:2].isdigit()))
+@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
 def test_equals_sql(spark, views, name):
     df = entry.queries()[name](spark, DATA)
     rel = views.sql(entry.oracle_sql()[name])
