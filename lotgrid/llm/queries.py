@@ -52,9 +52,14 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p1_survivors": p1_survivors, "p4_found": p4_found, "p4_spellings": p4_spellings, "p5_found": p5_found, "p5_links": p5_links, "p7_ids": p7_ids, "p8_packed": p8_packed, "p8_fill": p8_fill, "p9_found": p9_found}
-ORACLE: dict[str, str] = {
-    "p1_found": f"""WITH c AS (SELECT {parcel_key_sql('PARCEL_ID')} AS k, rec_id, coalesce(trust_rank, 2000000000) AS r, coalesce(extract_date, DATE '0001-01-01') AS d, CASE WHEN NOT isnan(LAND_VAL) THEN round(LAND_VAL, 2) END AS land, YRBUILT AS yr,
+_CAMA = f"""WITH c AS (SELECT {parcel_key_sql('PARCEL_ID')} AS k, rec_id, source_id, coalesce(trust_rank, 2000000000) AS r, coalesce(extract_date, DATE '0001-01-01') AS d, CASE WHEN NOT isnan(LAND_VAL) THEN round(LAND_VAL, 2) END AS land, YRBUILT::DOUBLE AS yr,
 coalesce(NOT isnan(LAND_VAL) AND LAND_VAL > 1 AND NOT regexp_matches(try_cast(LAND_VAL AS BIGINT)::VARCHAR, '^9{{5,}}$'), false) AS land_ok, coalesce(YRBUILT >= {survivors.FIRST_YEAR} AND YRBUILT <= year(coalesce(extract_date, load_ts::DATE)), false) AS yr_ok FROM cama LEFT JOIN source_trust USING (source_id)),
-g AS (SELECT k, min(rec_id) AS group_rec, arg_min(land, (r, -epoch(d), rec_id)) FILTER (land_ok) AS land, arg_min(yr, (r, -epoch(d), rec_id)) FILTER (yr_ok) AS yr FROM c WHERE k IS NOT NULL GROUP BY 1 HAVING count(*) >= 2)
-SELECT group_rec, coalesce(min(rec_id) FILTER (c.land = g.land), -1) AS land_rec, coalesce(min(rec_id) FILTER (c.yr = g.yr), -1) AS yr_rec FROM g JOIN c USING (k) GROUP BY k, group_rec""",
+g AS (SELECT k, min(rec_id) AS first_rec, count(*) AS n_records FROM c WHERE k IS NOT NULL GROUP BY 1),
+land_w AS (SELECT k, land AS v FROM (SELECT k, land, r, d, count(DISTINCT coalesce(source_id, '')) AS n FROM c WHERE land_ok GROUP BY ALL) JOIN (SELECT k, land, min(rec_id) AS f FROM c GROUP BY ALL) USING (k, land) QUALIFY row_number() OVER (PARTITION BY k ORDER BY r, d DESC, n DESC, f) = 1),
+yr_w AS (SELECT k, yr AS v FROM (SELECT k, yr, r, d, count(DISTINCT coalesce(source_id, '')) AS n FROM c WHERE yr_ok GROUP BY ALL) JOIN (SELECT k, yr, min(rec_id) AS f FROM c GROUP BY ALL) USING (k, yr) QUALIFY row_number() OVER (PARTITION BY k ORDER BY r, d DESC, n DESC, f) = 1),
+s AS (SELECT g.k AS group_key, g.first_rec, g.n_records, land_w.v AS land, (SELECT min(rec_id) FROM c WHERE c.k = g.k AND c.land = land_w.v) AS land_rec, yr_w.v AS yr, (SELECT min(rec_id) FROM c WHERE c.k = g.k AND c.yr = yr_w.v) AS yr_rec FROM g LEFT JOIN land_w USING (k) LEFT JOIN yr_w USING (k))
+"""
+ORACLE: dict[str, str] = {
+    "p1_survivors": _CAMA + "SELECT * FROM s",
+    "p1_found": _CAMA + "SELECT first_rec AS group_rec, coalesce(land_rec, -1) AS land_rec, coalesce(yr_rec, -1) AS yr_rec FROM s WHERE n_records >= 2",
 }

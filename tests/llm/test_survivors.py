@@ -40,6 +40,21 @@ def test_votes_decide_without_strictness_and_repeats_do_not_count(spark):
     assert run(spark, rows, strict=False)["010000001"].land == 700.0
 
 
+def test_undated_votes_still_weigh_by_trust(spark):
+    rows = [row(1, "010-000001", 500.0, 1990, "S99", None), row(2, "010-000001", 700.0, 1980, "S24", None), row(3, "010-000001", 700.0, 1980, "S01", None), row(4, "010-000002", 500.0, 1990, "S24", None), row(5, "010-000002", 700.0, 1980, "S24", date(1990, 1, 1))]
+    got = run(spark, rows, strict=False)
+    assert got["010000001"].land == 700.0 and got["010000002"].land == 500.0  # without a date: as of the year 2000
+    assert run(spark, rows)["010000002"].land == 700.0  # strictly, any date is later than none
+
+
+def test_votes_within_the_best_class_decide(spark):
+    d = date(2024, 1, 1)
+    rows = [row(1, "010-000001", 500.0, 1990, "S24", d), row(2, "010-000001", 700.0, 1990, "S24", d), row(3, "010-000001", 700.0, 1990, "S25", d)]
+    df = spark.createDataFrame(rows, COLS)
+    t = spark.createDataFrame([("S24", "a", 1), ("S25", "b", 1)], "source_id string, provider string, trust_rank int")
+    assert survivors(df, t, parcel_key(F.col("PARCEL_ID")), parcel_fields()).first().land == 700.0
+
+
 def test_empty(spark):
     assert run(spark, []) == {}
 
