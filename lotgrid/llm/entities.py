@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import functools
 import itertools
-import math
 import re
 from collections.abc import Iterator
 
@@ -13,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lotgrid.operators.nearby import near_pairs
+from lotgrid.operators.nearby import EARTH_M, near_pairs
 from lotgrid.operators.skew import salted_join
 from lotgrid.session import cut
 
@@ -27,11 +26,18 @@ PLACES = {
 NOISE = set("at the of and on co company inc llc ltd corp lp".split())
 KIND_OF = {w: k for k, words in KINDS.items() for w in words.split()}
 PLACE_OF = {w: k for k, words in PLACES.items() for w in words.split()}
-FEATURES = (
+#: Base features of a pair, and the products of them that the classifier also sees.
+BASE = (
     "word_same", "word_near", "word_other", "word_none", "side_same", "side_other", "place_same", "place_other", "kind_other", "op_same", "op_other", "op_none",
-    "d30", "d60", "d100", "d200", "dfar", "dnone", "type_same", "type_other", "area_same", "area_other",
-    "close*op_same", "close*word_other", "close*word_none", "near*word_none*op_same", "far*word_same", "far*area_same", "none*word_same", "none*word_same*op_same", "word_same*side_other", "word_same*kind_other", "word_other*op_same", "word_none*op_other", "close*area_same", "word_other*place_same", "word_other*kind_other", "coarse", "coarse*word_other",
+    "d30", "d60", "d100", "d200", "dfar", "dnone", "type_same", "type_other", "area_same", "area_other", "coarse", "mirrored", "close", "far", "twin",
 )
+PRODUCTS = (
+    "close*op_same", "close*word_other", "close*word_none", "close*word_none*op_same", "far*word_same", "far*area_same", "dnone*word_same", "dnone*word_same*op_same", "far*word_same*op_same", "far*word_same*op_other",
+    "word_same*side_other", "word_same*kind_other", "word_other*op_same", "word_none*op_other", "close*area_same", "word_other*place_same", "word_other*kind_other", "coarse*word_other", "twin*close", "twin*op_same", "word_near*op_same", "dnone*word_near", "dnone*word_near*op_same",
+)
+FEATURES = (*BASE, *PRODUCTS)
+#: Bands of the name alone (three rows each) and with another attribute (two rows each).
+ALONE, WITH = 12, 8
 
 
 def osm_ids(text: Column) -> Column:
@@ -81,58 +87,103 @@ def operator_key(name: str | None) -> str:
     return re.sub(r"(?:inc|llc|ltd|corp|company|lp|parking|pkg|lots?|garages?|services|operations|ops|trust|tr|co)$", "", re.sub(r"[^a-z]", "", re.sub(r"\b(?:and|the|st|street|valet|inc|llc|ltd|company|co|parking|pkg|pk|park)\b", " ", (name or "").lower().replace("&", " "))))
 
 
-@functools.lru_cache(200_000)
-def operator_state(a: str | None, b: str | None) -> str:
-    if not a or not b:
-        return "none"
-    x, y = operator_key(a), operator_key(b)
-    if not x or not y:
-        x, y = re.sub(r"[^a-z]", "", a.lower()), re.sub(r"[^a-z]", "", b.lower())
-    if x == y or len(min(x, y, key=len)) >= 4 and (x.startswith(y) or y.startswith(x)) or closeness(x, y) >= 0.7:
-        return "same"
-    p, q = set(re.findall(r"[a-z]{4,}", a.lower())), set(re.findall(r"[a-z]{4,}", b.lower()))
-    return "same" if p and q and (p <= q or q <= p) else "other"
-
-
-def pair_features(r: dict) -> list[float]:
-    """The feature vector of one candidate pair, in the order of FEATURES."""
-    f = dict.fromkeys(FEATURES, 0.0)
-    own_a, side_a, place_a, kind_a = words(r["name_s"])
-    name_b, op_b = r["name_u"], r["op_u"]
-    if name_b and " - " in name_b:  # "operator - place"
-        head, name_b = name_b.split(" - ", 1)
-        op_b = op_b or head
-    own_b, side_b, place_b, kind_b = words(name_b)
-    if not own_a or not own_b:
-        word = "none"
-    else:
-        c = closeness(own_a.replace(" ", ""), own_b.replace(" ", ""))
-        c = max([c, *(closeness(x, y) for x in own_a.split() for y in own_b.split() if len(x) > 4 and len(y) > 4)])
-        word = "same" if c >= 0.87 else "near" if c >= 0.7 else "other"
-    f["word_" + word] = 1.0
-    if word in ("same", "near"):
-        f["side_same"], f["side_other"] = float(side_a == side_b), float(side_a != side_b and bool(side_a) and bool(side_b))
-    f["place_same"], f["place_other"] = float(bool(place_a & place_b)), float(bool(place_a) and bool(place_b) and not place_a & place_b)
-    f["kind_other"] = float(bool(kind_a) and bool(kind_b) and not kind_a & kind_b)
-    op = operator_state(r["op_s"], op_b)
-    f["op_" + op] = 1.0
-    d = r["dist_m"]
-    if d is None or d != d:
-        place = "dnone"
-    else:
-        d = max(0.0, d - r["slack_m"])
-        place = "d30" if d <= 30 else "d60" if d <= 60 else "d100" if d <= 97 else "d200" if d <= 200 else "dfar"
-    f[place] = 1.0
-    f["coarse"] = float(bool(r["slack_m"]))
-    f["type_same"] = float(r["type_s"] is not None and r["type_s"] == r["type_u"])
-    f["type_other"] = float(bool(r["type_s"]) and bool(r["type_u"]) and r["type_s"] != r["type_u"] and "Mixed" not in (r["type_s"], r["type_u"]))
-    f["area_same"] = float(bool(r["area_s"]) and r["area_s"] == r["area_u"])
-    f["area_other"] = float(bool(r["area_s"]) and bool(r["area_u"]) and r["area_s"] != r["area_u"])
-    state = {"close": float(place in ("d30", "d60", "d100")), "near": float(place in ("d30", "d60", "d100")), "far": float(place in ("d200", "dfar")), "none": float(place == "dnone")}
-    for name in FEATURES:
-        if "*" in name:
-            f[name] = float(np.prod([state[p] if p in state else f[p] for p in name.split("*")]))
-    return [f[name] for name in FEATURES]
+def _signature(own: str, seeds: np.ndarray) -> np.ndarray:
+    """MinHash values of the letter triples of a name."""
+    grams = {f"^{own}$"[k : k + 3] for k in range(len(own))}
+    h = np.array([int.from_bytes(g.encode()[:8].ljust(8, b"\0"), "little") for g in grams], np.uint64)
+    h = (h ^ (h >> np.uint64(13))) * np.uint64(0x9E3779B97F4A7C15)
+    return ((h[None, :] ^ (h[None, :] >> np.uint64(29))) * seeds[:, None]).min(axis=1)
+
+
+DESCRIBED = "own string, own_words array<string>, sides array<string>, places array<string>, kinds array<string>, op string, op_words array<string>, alone array<long>, paired array<long>"
+
+
+def describe(df: DataFrame, ident: str, name: str, operator: str, seed: int = 17) -> DataFrame:
+    """df with the parts of its names and operators (DESCRIBED), one pass over the facilities.
+
+    A name "operator - place" also names the operator. alone and paired are hashes of the MinHash bands of the
+    own words: empty without own words.
+    """
+    n = ALONE * 3 + WITH * 2
+    seeds = np.random.default_rng(seed).integers(1, 2**61 - 1, n, dtype=np.uint64) | np.uint64(1)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for i, title, op in zip(frame["i"], frame["n"], frame["o"]):
+                if title and " - " in title:
+                    head, title = title.split(" - ", 1)
+                    op = op or head
+                own, sides, places, kinds = words(title)
+                key = (operator_key(op) or re.sub(r"[^a-z]", "", op.lower())) if op else ""
+                joined = own.replace(" ", "")
+                alone, paired = [], []
+                if joined:
+                    low = _signature(joined, seeds)
+                    alone = [hash((k, *row)) for k, row in enumerate(low[: ALONE * 3].reshape(ALONE, 3).tolist())]
+                    paired = [hash((k, *row)) for k, row in enumerate(low[ALONE * 3 :].reshape(WITH, 2).tolist())]
+                rows.append((i, joined, own.split(), sorted(sides), sorted(places), sorted(kinds), key, sorted(set(re.findall(r"[a-z]{4,}", (op or "").lower()))), alone, paired))
+            yield pd.DataFrame(rows, columns=["i", *(c.split()[0] for c in DESCRIBED.split(", "))])
+
+    kind = dict(df.dtypes)[ident]
+    parts = df.select(F.col(ident).alias("i"), F.col(name).alias("n"), F.col(operator).alias("o")).mapInPandas(run, f"i {kind}, {DESCRIBED}")
+    return df.join(parts.withColumnRenamed("i", ident), ident)
+
+
+def edits(a: Column, b: Column, sorted_a: Column, sorted_b: Column) -> Column:
+    """Edits between two short texts; a swap of two letters counts once, as the sorted letters show."""
+    lev = F.levenshtein(a, b)
+    return F.when((lev >= 2) & (F.levenshtein(sorted_a, sorted_b) <= lev - 2), lev - 1).otherwise(lev)
+
+
+def closeness(a: Column, b: Column) -> Column:
+    """1 - edits / longer length; 0 where a text is empty."""
+    letters = lambda c: F.array_join(F.array_sort(F.split(c, "")), "")
+    longer = F.greatest(F.length(a), F.length(b))
+    return F.when(a == b, 1.0).when(F.least(F.length(a), F.length(b)) == 0, 0.0).otherwise(1 - edits(a, b, letters(a), letters(b)) / longer)
+
+
+def operator_state(op_s: Column, op_u: Column, words_s: Column, words_u: Column) -> Column:
+    """none, same or other: equal, one the beginning of the other, close, or words of one all among the other's."""
+    short, long = F.when(F.length(op_s) <= F.length(op_u), op_s).otherwise(op_u), F.when(F.length(op_s) <= F.length(op_u), op_u).otherwise(op_s)
+    within = (F.size(words_s) > 0) & (F.size(words_u) > 0) & ((F.size(F.array_except(words_s, words_u)) == 0) | (F.size(F.array_except(words_u, words_s)) == 0))
+    same = (op_s == op_u) | ((F.length(short) >= 4) & long.startswith(short)) | within
+    return F.when((op_s == "") | (op_u == ""), "none").when(same, "same").when(closeness(op_s, op_u) >= 0.7, "same").otherwise("other")
+
+
+def pair_features(pairs: DataFrame) -> DataFrame:
+    """pairs with x, the feature vector in the order of FEATURES, all in column expressions.
+
+    pairs holds the columns of both sides (_s and _u) that samples(), supplies() and describe() give.
+    """
+    c = F.col
+    flag = lambda cond: F.coalesce(cond, F.lit(False)).cast("double")
+    long_words = lambda name: F.filter(name, lambda w: F.length(w) > 4)
+    several = (F.size("own_words_s") + F.size("own_words_u") > 2) & (F.size(long_words("own_words_s")) > 0) & (F.size(long_words("own_words_u")) > 0)
+    best_word = F.array_max(F.transform(long_words("own_words_s"), lambda a: F.array_max(F.transform(long_words("own_words_u"), lambda b: closeness(a, b)))))
+    rad = F.radians
+    h = F.pow(F.sin(rad(c("y_u") - c("y_s")) / 2), 2) + F.cos(rad("y_s")) * F.cos(rad("y_u")) * F.pow(F.sin(rad(c("x_u") - c("x_s")) / 2), 2)
+    away = F.greatest(F.lit(2 * EARTH_M) * F.asin(F.least(F.sqrt(h), F.lit(1.0))) - F.greatest("c_s", "c_u"), F.lit(0.0))
+    measured = pairs.withColumns({
+        "near": F.greatest(closeness(c("own_s"), c("own_u")), F.when(several, best_word).otherwise(0.0)), "away": away,
+        "ops": operator_state(c("op_s"), c("op_u"), c("op_words_s"), c("op_words_u")),
+    })
+    measured = measured.withColumns({
+        "word": F.when((c("own_s") == "") | (c("own_u") == ""), "none").when(c("near") >= 0.83, "same").when(c("near") >= 0.7, "near").otherwise("other"),
+        "dist": F.when(c("away").isNull(), "dnone").when(c("away") <= 30, "d30").when(c("away") <= 60, "d60").when(c("away") <= 97, "d100").when(c("away") <= 200, "d200").otherwise("dfar"),
+    })
+    met, split = lambda n: F.arrays_overlap(f"{n}_s", f"{n}_u"), lambda n: (F.size(f"{n}_s") > 0) & (F.size(f"{n}_u") > 0)
+    named = c("word").isin("same", "near")
+    f = {f"word_{k}": c("word") == k for k in ("same", "near", "other", "none")} | {f"op_{k}": c("ops") == k for k in ("same", "other", "none")} | {k: c("dist") == k for k in ("d30", "d60", "d100", "d200", "dfar", "dnone")}
+    f |= {"side_same": named & (c("sides_s") == c("sides_u")), "side_other": named & split("sides") & (c("sides_s") != c("sides_u")), "kind_other": split("kinds") & ~met("kinds"), "place_same": met("places"), "place_other": split("places") & ~met("places")}
+    f |= {"type_same": c("type_s") == c("type_u"), "type_other": (c("type_s") != c("type_u")) & (c("type_s") != "Mixed") & (c("type_u") != "Mixed"), "area_same": c("area_s") == c("area_u"), "area_other": c("area_s") != c("area_u")}
+    f |= {"coarse": F.greatest("c_s", "c_u") > 0, "mirrored": c("turn_s") != c("turn_u"), "close": c("dist").isin("d30", "d60", "d100"), "far": c("dist").isin("d200", "dfar")}
+    base = measured.withColumn("lg_f", F.struct(*[flag(v).alias(k) for k, v in f.items()]))
+    twin = F.greatest("lg_f.side_other", "lg_f.kind_other") * F.greatest("lg_f.word_same", "lg_f.word_near")
+    at = {k: c(f"lg_f.{k}") for k in f} | {"twin": c("lg_twin")}
+    wide = base.withColumn("lg_twin", twin)
+    product = lambda name: functools.reduce(lambda p, q: p * q, [at[k] for k in name.split("*")])
+    return wide.withColumn("x", F.array(*[product(name) for name in FEATURES]))
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.3, rounds: int = 40) -> np.ndarray:
@@ -152,137 +203,125 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.3, rounds: int = 40
     return w
 
 
-def _place(lat: str, lon: str) -> tuple[Column, Column, Column]:
-    """Latitude and longitude folded to one quadrant, and how coarse they are in metres.
+def _place(lat: str, lon: str) -> tuple[Column, Column, Column, Column]:
+    """Latitude and longitude folded to one quadrant, how coarse they are in metres, and how they were folded.
 
-    Swapped axes and lost signs land on the same place; null, out of range and 0/0 are no place.
+    Swapped axes and lost signs land on the same place, so such pairs become candidates; whether the two were
+    folded alike is a feature, so that places on opposite sides of the globe are not taken for one. Null, out
+    of range and 0/0 are no place.
     """
-    y, x = F.abs(F.col(lat).cast("double")), F.abs(F.col(lon).cast("double"))
+    lat_, lon_ = F.col(lat).cast("double"), F.col(lon).cast("double")
+    y, x = F.abs(lat_), F.abs(lon_)
     swap = (y > 90) & (x <= 90)
+    turn = F.concat_ws(",", F.signum(F.when(swap, lon_).otherwise(lat_)).cast("int"), F.signum(F.when(swap, lat_).otherwise(lon_)).cast("int"), swap.cast("int"))
     y, x = F.when(swap, x).otherwise(y), F.when(swap, y).otherwise(x)
     ok = (y <= 90) & (x <= 180) & ~((y == 0) & (x == 0))
     at = lambda n: (F.round(y, n) == y) & (F.round(x, n) == x)
     coarse = F.when(at(2), 790.0).when(at(3), 79.0).otherwise(0.0)
-    return F.when(ok, y), F.when(ok, x), F.when(ok, coarse).otherwise(0.0)
+    return F.when(ok, y), F.when(ok, x), F.when(ok, coarse).otherwise(0.0), F.when(ok, turn)
+
+
+def _sided(df: DataFrame, side: str) -> DataFrame:
+    return df.withColumnsRenamed({k: f"{k}_{side}" for k in (p.split()[0] for p in DESCRIBED.split(", "))})
 
 
 def samples(df: DataFrame) -> DataFrame:
-    """One row per sampled facility: the latest stated value of each field, all its map ids."""
+    """One described row per sampled facility: the latest stated value of each field, all its map ids."""
     latest = lambda c: F.max_by(F.when(F.col(c).isNotNull(), F.col(c)), F.when(F.col(c).isNotNull(), F.struct("load_ts", "rec_id")))
-    y, x, coarse = _place("lat", "lon")
-    rows = df.where("facility_id is not null").select("facility_id", "rec_id", "load_ts", "name", "operator", "type", F.col("area"), F.when(y.isNotNull(), F.struct(y.alias("y"), x.alias("x"), coarse.alias("coarse"))).alias("place"), osm_ids(F.col("osm_ids")).alias("ids"))
-    one = rows.groupBy(F.col("facility_id").alias("sid")).agg(latest("name").alias("name_s"), latest("operator").alias("op_s"), latest("type").alias("type_s"), latest("area").alias("area_s"), latest("place").alias("place"), F.array_distinct(F.flatten(F.collect_set("ids"))).alias("ids_s"))
-    return one.select("sid", "name_s", "op_s", "type_s", "area_s", F.col("place.y").alias("y_s"), F.col("place.x").alias("x_s"), F.col("place.coarse").alias("c_s"), "ids_s")
+    y, x, coarse, turn = _place("lat", "lon")
+    rows = df.where("facility_id is not null").select("facility_id", "rec_id", "load_ts", "name", "operator", "type", F.col("area"), F.when(y.isNotNull(), F.struct(y.alias("y"), x.alias("x"), coarse.alias("coarse"), turn.alias("turn"))).alias("place"), osm_ids(F.col("osm_ids")).alias("ids"))
+    one = rows.groupBy(F.col("facility_id").alias("sid")).agg(latest("name").alias("name_s"), latest("operator").alias("oper_s"), latest("type").alias("type_s"), latest("area").alias("area_s"), latest("place").alias("place"), F.array_distinct(F.flatten(F.collect_set("ids"))).alias("ids_s"))
+    one = cut(one.select("sid", "name_s", "oper_s", "type_s", "area_s", F.col("place.y").alias("y_s"), F.col("place.x").alias("x_s"), F.coalesce("place.coarse", F.lit(0.0)).alias("c_s"), F.col("place.turn").alias("turn_s"), "ids_s"), "latest")
+    return _sided(describe(one, "sid", "name_s", "oper_s"), "s")
 
 
 def supplies(df: DataFrame) -> DataFrame:
-    y, x, coarse = _place("lat", "lon")
-    return df.where("facility_id is not null").select(F.col("facility_id").alias("uid"), F.col("name").alias("name_u"), F.col("operator").alias("op_u"), F.col("type").alias("type_u"), F.col("submarket").alias("area_u"), y.alias("y_u"), x.alias("x_u"), coarse.alias("c_u"), osm_ids(F.col("source_ids")).alias("ids_u"))
+    """One described row per facility of the other table; of rows that repeat an id the first by all columns."""
+    y, x, coarse, turn = _place("lat", "lon")
+    rows = df.where("facility_id is not null").select(F.col("facility_id").alias("uid"), F.col("name").alias("name_u"), F.col("operator").alias("oper_u"), F.col("type").alias("type_u"), F.col("submarket").alias("area_u"), y.alias("y_u"), x.alias("x_u"), coarse.alias("c_u"), turn.alias("turn_u"), osm_ids(F.col("source_ids")).alias("ids_u"))
+    rest = [c for c in rows.columns if c != "uid"]
+    one = cut(rows.groupBy("uid").agg(F.min(F.struct(*rest)).alias("r")).select("uid", *[F.col(f"r.{c}").alias(c) for c in rest]), "supply")
+    return _sided(describe(one, "uid", "name_u", "oper_u"), "u")
 
 
-def name_bands(df: DataFrame, ident: str, name: str, own_col: str, bands: int = 12, rows: int = 3, seed: int = 17) -> DataFrame:
-    """ident, vague, own_col, band: MinHash signatures of the letter triples of a name's own words."""
-    rng = np.random.default_rng(seed)
-    a = rng.integers(1, 2**61 - 1, bands * rows, dtype=np.uint64) | np.uint64(1)
+def near_names(a: DataFrame, b: DataFrame, edits: int = 2, longest: int | None = 12) -> DataFrame:
+    """own_s, own_u of every two names (of up to ``longest`` letters) at ``edits`` edits or less: they share a
+    string that is left after at most so many deletions from each. A swap of neighbours takes one
+    deletion from each. a: own_s; b: own_u."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            ids, keys, marks, names = [], [], [], []
-            for i, n, v in zip(frame["id"], frame["name"], frame["vague"]):
-                n = n.split(" - ", 1)[-1] if n else n
-                own = words(n)[0].replace(" ", "")
-                if not own:
-                    continue
-                grams = {f"^{own}$"[k : k + 3] for k in range(len(own))}
-                h = np.array([int.from_bytes(g.encode()[:8].ljust(8, b"\0"), "little") for g in grams], np.uint64)
-                h = (h ^ (h >> np.uint64(13))) * np.uint64(0x9E3779B97F4A7C15)
-                low = ((h[None, :] ^ (h[None, :] >> np.uint64(29))) * a[:, None]).min(axis=1).reshape(bands, rows)
-                for b in range(bands):
-                    ids.append(i)
-                    marks.append(v)
-                    names.append(own)
-                    keys.append(f"{b}:{low[b].tobytes().hex()}")
-            yield pd.DataFrame({"id": ids, "vague": pd.Series(marks, dtype=bool), "own": names, "band": keys})
-
-    return df.select(F.col(ident).alias("id"), F.col(name).alias("name"), "vague").where("name is not null").mapInPandas(run, f"id {dict(df.dtypes)[ident]}, vague boolean, own string, band string").withColumnsRenamed({"id": ident, "own": own_col})
-
-
-def near_names(a: DataFrame, b: DataFrame, longest: int = 12) -> DataFrame:
-    """own_s, own_u of every two names of up to ``longest`` letters at two edits or less: they share a
-    string that is left after at most two deletions from each. a: own_s; b: own_u."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [(own, left) for own in frame["own"] for left in {"".join(c) for k in range(3) for c in itertools.combinations(own, max(0, len(own) - k))}]
+            rows = [(own, left) for own in frame["own"] for left in {"".join(c) for k in range(edits + 1) for c in itertools.combinations(own, max(0, len(own) - k))}]
             yield pd.DataFrame(rows, columns=["own", "left"])
 
-    left = lambda df, c: df.select(F.col(c).alias("own")).where(F.length("own") <= longest).distinct().mapInPandas(run, "own string, left string").withColumnRenamed("own", c)
+    def left(df: DataFrame, c: str) -> DataFrame:
+        some = df.select(F.col(c).alias("own")).where(F.length("own") > 0)
+        some = some.where(F.length("own") <= longest) if longest else some
+        return some.distinct().mapInPandas(run, "own string, left string").withColumnRenamed("own", c)
+
     return salted_join(cut(left(a, "own_s"), "deleted"), cut(left(b, "own_u"), "deleted"), "left").select("own_s", "own_u").distinct().where(F.levenshtein("own_s", "own_u") <= 2)
 
 
 def candidates(s: DataFrame, u: DataFrame, reach_m: float = 300.0) -> DataFrame:
-    """sid, uid of every pair that shares a map id, a place within reach or, where place cannot tell, a MinHash band of the name or a short name at two edits.
-
-    Names block only pairs of which a side has no place, or one too coarse for the reach: all others
-    would have to be neighbours, and the place finds these without pairing off namesakes. Names that
-    share a band must also be within about a third of their letters, tested before the pair is formed.
-    Bands miss many short names with a swap, so near_names() finds those exactly: all that pass the test
-    if the longer has up to nine letters, and all at two edits up to twelve.
+    """sid, uid of every pair worth comparing: every facility enters every block that its fields allow.
+
+    Blocks: a shared map id; a place within reach; MinHash bands across attributes (the name with the operator,
+    two rows of the name a band; with the area, three rows); own words at one edit or swap whatever else is
+    said; and, where a side has no place or one too coarse for the reach, bands of the name alone (three rows) and
+    own words of up to twelve letters at two edits. Names that share a band must also be within about a
+    third of their letters, tested before the pair is formed. A band that many share is cut into stretches
+    by salted_join(), none is left out.
     """
     by_id = salted_join(s.select("sid", F.explode("ids_s").alias("k")), u.select("uid", F.explode("ids_u").alias("k")), "k").select("sid", "uid")
-    vague = lambda y, c: F.col(y).isNull() | (F.col(c) > reach_m / 2)
+    vague = lambda side: F.col(f"y_{side}").isNull() | (F.col(f"c_{side}") > reach_m / 2)
     like = F.levenshtein("own_s", "own_u") <= F.greatest(F.lit(2), F.floor(F.greatest(F.length("own_s"), F.length("own_u")) * 0.3))
-    bands_s, bands_u = (cut(x, "bands") for x in (name_bands(s.withColumn("vague", vague("y_s", "c_s")), "sid", "name_s", "own_s"), name_bands(u.withColumn("vague", vague("y_u", "c_u")), "uid", "name_u", "own_u")))
-    by_name = salted_join(bands_s.where("vague").drop("vague"), bands_u.drop("vague"), "band").where(like).select("sid", "uid").unionByName(salted_join(bands_s.where("not vague").drop("vague"), bands_u.where("vague").drop("vague"), "band").where(like).select("sid", "uid"))
-    once = lambda df: df.where("band like '0:%'").drop("band")
-    names_s, names_u = once(bands_s), once(bands_u)
-
-    def by_edits(a: DataFrame, b: DataFrame) -> DataFrame:
-        near = cut(near_names(a, b), "names")
-        return salted_join(salted_join(a.drop("vague"), near, "own_s"), b.drop("vague"), "own_u").select("sid", "uid")
-
-    by_name = by_name.unionByName(by_edits(names_s.where("vague"), names_u)).unionByName(by_edits(names_s.where("not vague"), names_u.where("vague")))
+    named_s, named_u = s.where("own_s <> ''").withColumn("vague", vague("s")), u.where("own_u <> ''").withColumn("vague", vague("u"))
+
+    def banded(df: DataFrame, side: str, ident: str) -> DataFrame:
+        op, area = F.col(f"op_{side}"), F.col(f"area_{side}")
+        both = F.concat(
+            F.when(op != "", F.transform(f"paired_{side}", lambda h: F.xxhash64(h, F.substring(op, 1, 4)))).otherwise(F.array().cast("array<long>")),
+            F.when(area.isNotNull(), F.transform(f"alone_{side}", lambda h: F.xxhash64(h, area))).otherwise(F.array().cast("array<long>")),
+        )
+        return df.select(ident, f"own_{side}", F.explode(both).alias("band"))
+
+    across = salted_join(banded(named_s, "s", "sid"), banded(named_u, "u", "uid"), "band").where(like).select("sid", "uid")
+    alone = lambda df, side, ident: df.select(ident, f"own_{side}", F.explode(f"alone_{side}").alias("band"))
+    lost_s, lost_u = named_s.where("vague"), named_u.where("vague")
+    by_band = [salted_join(alone(a, "s", "sid"), alone(b, "u", "uid"), "band").where(like).select("sid", "uid") for a, b in ((lost_s, named_u), (named_s.where("not vague"), lost_u))]
+
+    def by_edits(a: DataFrame, b: DataFrame, **bound: int | None) -> DataFrame:
+        near = cut(near_names(a, b, **bound), "names")
+        return salted_join(salted_join(a.select("sid", "own_s"), near, "own_s"), b.select("uid", "own_u"), "own_u").select("sid", "uid")
+
+    names = [by_edits(named_s, named_u, edits=1, longest=None), by_edits(lost_s, named_u), by_edits(named_s.where("not vague"), lost_u)]
     left = u.where("y_u is not null").select(F.col("uid").alias("id_l"), F.col("y_u").alias("lat"), F.col("x_u").alias("lon"))
     right = s.where("y_s is not null").select(F.col("sid").alias("id_r"), F.col("y_s").alias("lat"), F.col("x_s").alias("lon"))
-    by_place = near_pairs(left, right, reach_m).select(F.col("id_r").alias("sid"), F.col("id_l").alias("uid"))
-    return by_id.unionByName(by_name).unionByName(by_place).distinct()
+    out = near_pairs(left, right, reach_m).select(F.col("id_r").alias("sid"), F.col("id_l").alias("uid"))
+    for more in (by_id, across, *by_band, *names):
+        out = out.unionByName(more)
+    return out.distinct()
 
 
-def links(sample: DataFrame, supply: DataFrame, train_rows: int = 40_000, seed: int = 11) -> DataFrame:
-    """sid, uid, confidence of the best sampled facility for each supply facility, if 0.5 or more.
+def score(s: DataFrame, u: DataFrame, train_rows: int = 40_000, seed: int = 11) -> tuple[DataFrame, list[tuple[float, float, int]]]:
+    """sid, uid, confidence of every candidate pair, and a calibration table of the held-out labels.
 
     Weak labels come from map ids, which the classifier never sees: pairs that share one are positive,
     the other candidates of the same supply facility negative, and so are all candidates of supply
     facilities whose ids no sample has. A ridge logistic regression is fitted on two thirds of at
     most ``train_rows`` labelled pairs (a documented bound; everything else covers all rows), and its
-    scores are calibrated on the rest by a second, one-dimensional regression. A shared map id then
-    lifts the confidence to at least 0.99, ids that contradict lower it to at most 0.01, and so does
-    one name with two sides (north, upper) or two kinds (lot, garage): neighbours are named so. Without
-    labels of both kinds fixed prior weights are used. Empty tables give no rows.
+    scores are calibrated on the rest by a second, one-dimensional regression. The ids then count as
+    one more piece of evidence: how much more often matches share an id than other pairs is estimated
+    from the scores themselves (expectation maximisation over a histogram of them), and the odds are
+    multiplied by that ratio, or by that of not sharing one. Without labels of both kinds prior weights
+    are used. The table has, per tenth of the held-out probabilities: their mean, the share of
+    true labels, and how many.
     """
-    s, u = cut(samples(sample), "samples"), cut(supplies(supply), "supplies")
-    pairs = candidates(s, u).join(s, "sid").join(u, "uid")
-    rad = F.radians
-    h = F.pow(F.sin(rad(F.col("y_u") - F.col("y_s")) / 2), 2) + F.cos(rad("y_s")) * F.cos(rad("y_u")) * F.pow(F.sin(rad(F.col("x_u") - F.col("x_s")) / 2), 2)
-    pairs = pairs.withColumns({
-        "dist_m": F.lit(2 * 6_371_000.0) * F.asin(F.least(F.sqrt(h), F.lit(1.0))), "slack_m": F.greatest("c_s", "c_u"),
-        "shared": F.arrays_overlap("ids_s", "ids_u"), "has_ids": F.size("ids_u") > 0, "both_ids": (F.size("ids_u") > 0) & (F.size("ids_s") > 0),
-    })
-
-    def featurise(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            frame = frame.astype(object).where(frame.notna(), None)
-            rows = [pair_features(r) for r in frame.to_dict("records")]
-            yield pd.DataFrame({"sid": frame["sid"], "uid": frame["uid"], "shared": frame["shared"].astype(bool), "has_ids": frame["has_ids"].astype(bool), "both_ids": frame["both_ids"].astype(bool), "x": rows})
-
-    kinds = dict(pairs.dtypes)
-    wanted = ["sid", "uid", "name_s", "op_s", "type_s", "area_s", "name_u", "op_u", "type_u", "area_u", "dist_m", "slack_m", "shared", "has_ids", "both_ids"]
-    scored = cut(pairs.select(*wanted).mapInPandas(featurise, f"sid {kinds['sid']}, uid {kinds['uid']}, shared boolean, has_ids boolean, both_ids boolean, x array<double>"), "pairs")
-
-    by_supply = scored.groupBy("uid").agg(F.max("shared").alias("any_shared"))
-    labelled = scored.where("has_ids").join(by_supply, "uid").select("x", F.col("shared").cast("int").alias("y"), F.xxhash64("sid", "uid").alias("o"))
-    drawn = labelled.orderBy(F.abs(F.xxhash64("o", F.lit(seed)))).limit(train_rows).toPandas()  # at most train_rows rows
-    weights, scale = prior_weights(), (1.0, 0.0)
+    kinds = {"sid": dict(s.dtypes)["sid"], "uid": dict(u.dtypes)["uid"]}
+    pairs = candidates(s, u).join(s, "sid").join(u, "uid").withColumns({"shared": F.arrays_overlap("ids_s", "ids_u"), "has_ids": F.size("ids_u") > 0, "both_ids": (F.size("ids_u") > 0) & (F.size("ids_s") > 0)})
+    scored = cut(pair_features(pairs).select(F.col("sid").cast(kinds["sid"]), F.col("uid").cast(kinds["uid"]), "shared", "has_ids", "both_ids", "x"), "pairs")
+    drawn = scored.where("has_ids").orderBy(F.xxhash64("sid", "uid", F.lit(seed))).limit(train_rows).select("x", F.col("shared").cast("int").alias("y")).toPandas()  # at most train_rows rows
+    weights, scale, table = prior_weights(), (1.0, 0.0), []
     if len(drawn) > 50 and drawn["y"].nunique() == 2:
         x, y = np.array(drawn["x"].tolist()), drawn["y"].to_numpy(float)
         held = np.arange(len(y)) % 3 == 2
@@ -291,16 +330,44 @@ def links(sample: DataFrame, supply: DataFrame, train_rows: int = 40_000, seed:
         if len(set(y[held])) == 2:
             platt = fit_logistic(z[:, None], y[held], l2=1e-3)
             scale = (float(platt[0]), float(platt[1]))
-    z = sum((F.col("x")[i] * float(w) for i, w in enumerate(weights[:-1])), F.lit(float(weights[-1])))
-    p = 1 / (1 + F.exp(-(z * scale[0] + scale[1])))
-    at = {name: F.col("x")[i] for i, name in enumerate(FEATURES)}
-    twin = (at["word_same"] + at["word_near"] > 0) & (at["side_other"] + at["kind_other"] > 0)
-    p = F.when(F.col("shared"), F.greatest(p, F.lit(0.99))).when(F.col("both_ids") | twin, F.least(p, F.lit(0.01))).otherwise(p)
-    best = scored.select("sid", "uid", p.alias("confidence")).groupBy("uid").agg(F.max_by(F.struct("sid", "confidence"), F.struct("confidence", "sid")).alias("b"))
+        p = 1 / (1 + np.exp(-np.clip(z * scale[0] + scale[1], -30, 30)))
+        tenth = np.minimum((p * 10).astype(int), 9)
+        table = [(float(p[tenth == k].mean()), float(y[held][tenth == k].mean()), int((tenth == k).sum())) for k in range(10) if (tenth == k).any()]
+    z = sum((F.col("x")[i] * (float(w) * scale[0]) for i, w in enumerate(weights[:-1])), F.lit(float(weights[-1]) * scale[0] + scale[1]))
+    rated = scored.select("sid", "uid", "shared", "both_ids", F.least(F.greatest(z, F.lit(-30.0)), F.lit(30.0)).alias("z"))
+    bins = rated.where("both_ids").groupBy(F.round(F.col("z") * 4).alias("b"), "shared").agg(F.count("*").alias("n")).toPandas()  # at most 482 rows
+    has, lacks = id_evidence(bins["b"].to_numpy(float) / 4, bins["shared"].to_numpy(bool), bins["n"].to_numpy(float))
+    z = F.col("z") + F.when(F.col("shared"), has).when(F.col("both_ids"), lacks).otherwise(0.0)
+    return rated.select("sid", "uid", (1 / (1 + F.exp(-z))).alias("confidence")), table
+
+
+def id_evidence(z: np.ndarray, shared: np.ndarray, n: np.ndarray, rounds: int = 20) -> tuple[float, float]:
+    """Log ratios by which sharing, and not sharing, a map id speaks for a match, given the log odds of the rest.
+
+    Both sides state ids in all pairs given. Each ratio rests on a pair more than seen, so it is finite.
+    """
+    has, lacks = 3.0, -1.0
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(z + np.where(shared, has, lacks), -30, 30)))
+        among = ((p * n)[shared].sum() + 1) / ((p * n).sum() + 2)
+        others = (((1 - p) * n)[shared].sum() + 1) / (((1 - p) * n).sum() + 2)
+        has, lacks = float(np.log(among / others)), float(np.log((1 - among) / (1 - others)))
+    return max(has, 0.0), min(lacks, 0.0)
+
+
+def links(sample: DataFrame, supply: DataFrame, train_rows: int = 40_000, seed: int = 11) -> DataFrame:
+    """sid, uid, confidence of the best sampled facility for each supply facility, if 0.5 or more.
+
+    Confidences are those of score(); ties go to the larger sid. A null id is no facility; repeated
+    ids are one. Nulls in any other column are missing evidence. Empty tables give no rows.
+    """
+    s, u = cut(samples(sample), "samples"), cut(supplies(supply), "supplies")
+    rated, _ = score(s, u, train_rows, seed)
+    best = rated.groupBy("uid").agg(F.max_by(F.struct("sid", "confidence"), F.struct("confidence", "sid")).alias("b"))
     return best.select("b.sid", "uid", "b.confidence").where("confidence >= 0.5")
 
 
 def prior_weights() -> np.ndarray:
     """Weights for corpora without weak labels: agreement of name and place, against any conflict."""
-    w = dict.fromkeys(FEATURES, 0.0) | {"word_same": 3.0, "word_near": 1.0, "word_other": -3.0, "side_other": -5.0, "place_other": -2.0, "kind_other": -4.0, "op_same": 1.5, "op_other": -3.0, "d30": 2.0, "d60": 2.0, "d100": 1.5, "d200": -3.0, "dfar": -5.0, "type_other": -2.0, "area_other": -2.0, "area_same": 0.5}
+    w = dict.fromkeys(FEATURES, 0.0) | {"word_same": 3.0, "word_near": 1.0, "word_other": -3.0, "side_other": -5.0, "place_other": -2.0, "kind_other": -4.0, "op_same": 1.5, "op_other": -3.0, "d30": 2.0, "d60": 2.0, "d100": 1.5, "d200": -3.0, "dfar": -5.0, "type_other": -2.0, "area_other": -2.0, "area_same": 0.5, "mirrored": -1.0}
     return np.array([*(w[f] for f in FEATURES), -2.0])

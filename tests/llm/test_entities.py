@@ -2,7 +2,7 @@ from datetime import datetime
 
 import numpy as np
 
-from lotgrid.llm.entities import closeness, fit_logistic, links, near_names, operator_state, osm_ids, words
+from lotgrid.llm.entities import candidates, closeness, describe, fit_logistic, id_evidence, links, near_names, operator_state, osm_ids, samples, supplies, words
 from pyspark.sql import functions as F
 
 T = datetime(2025, 1, 1)
@@ -10,12 +10,30 @@ SAMPLE = "rec_id long, facility_id string, name string, operator string, type st
 SUPPLY = "facility_id string, name string, operator string, type string, submarket string, lat double, lon double, source_ids string, sid string"
 
 
-def test_parts():
+def test_parts(spark):
     assert words("Parking Garage at Upper Tiether St") == ("tiether", {"upper"}, {"street"}, {"garage"})
-    assert closeness("weenkett", "weenektt") > 0.85 and closeness("", "x") == 0 and closeness("abc", "abc") == 1
-    for a, b in (("Marrow Street Trust", "Marrow St. Tr."), ("Kestrel Park Co", "Kestrel Pk. Co."), ("Ninebay Operations", "Nine Bay Ops"), ("Municipal Stall Works", "Stall Works, Municipal"), ("Tessel Garages", "TESSEL"), ("Harrow & Pike Parking", "Harrow/Pike Pkg")):
-        assert operator_state(a, b) == "same"
-    assert operator_state("Dovecote Valet", "Orrin Curb Services") == "other" and operator_state(None, "x") == "none"
+    rows = [("weenkett", "weenektt"), ("", "x"), ("abc", "abc"), ("kealnen", "kelnen"), ("abcdefgh", "bacdefg")]
+    got = [round(r.c, 3) for r in spark.createDataFrame(rows, "a string, b string").select(closeness(F.col("a"), F.col("b")).alias("c")).collect()]
+    assert got == [0.875, 0.0, 1.0, 0.857, 0.75]
+    ops = [("Marrow Street Trust", "Marrow St. Tr."), ("Kestrel Park Co", "Kestrel Pk. Co."), ("Ninebay Operations", "Nine Bay Ops"), ("Municipal Stall Works", "Stall Works, Municipal"), ("Tessel Garages", "TESSEL"), ("Harrow & Pike Parking", "Harrow/Pike Pkg"), ("Dovecote Valet", "Orrin Curb Services"), (None, "x")]
+    both = spark.createDataFrame([(i, a, b, "Own Lot", None) for i, (a, b) in enumerate(ops)], "i long, a string, b string, n string, own_s string")
+    side = lambda c, s: describe(both.select("i", c, "n"), "i", "n", c).select("i", F.col("op").alias(f"op_{s}"), F.col("op_words").alias(f"w_{s}"))
+    got = [r.o for r in side("a", "s").join(side("b", "u"), "i").orderBy("i").select(operator_state(F.col("op_s"), F.col("op_u"), F.col("w_s"), F.col("w_u")).alias("o")).collect()]
+    assert got == ["same"] * 6 + ["other", "none"]
+
+
+def test_id_evidence_follows_the_scores():
+    z = np.array([4.0, 4.0, -4.0, -4.0])
+    has, lacks = id_evidence(z, np.array([True, False, True, False]), np.array([900.0, 10.0, 1.0, 5000.0]))
+    assert has > 4 and lacks < -2
+    none = id_evidence(np.array([]), np.array([], bool), np.array([]))
+    assert none == (0.0, 0.0)
+
+
+def test_a_unique_name_far_away_is_a_candidate(spark):
+    s = spark.createDataFrame([(1, "F1", "Quorvaxley Street Lot", None, None, None, 26.0, -123.0, None, T, "x")], SAMPLE)
+    u = spark.createDataFrame([("U1", "Quorvaxely St Lot", None, None, None, 26.144, -123.0, None, "x"), ("U2", "Else Lot", None, None, None, 26.144, -123.0, None, "x")], SUPPLY)
+    assert [tuple(r) for r in candidates(samples(s), supplies(u)).collect()] == [("F1", "U1")]
 
 
 def test_ids(spark):
