@@ -20,11 +20,11 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return names.same_owner(table(spark, d, "cama"), "OWNER")
+    return names.same_owner(table(spark, d, "cama"), "OWNER", parcel_key(F.col("PARCEL_ID")))
 
 
 def p4_spellings(spark: SparkSession, d: str) -> DataFrame:
-    return names.spellings(table(spark, d, "cama"), "OWNER")
+    return names.spellings(table(spark, d, "cama"), "OWNER", parcel_key(F.col("PARCEL_ID")))
 
 
 def p5_links(spark: SparkSession, d: str) -> DataFrame:
