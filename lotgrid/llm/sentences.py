@@ -1,9 +1,11 @@
 """Sentence boundaries across languages and scripts, as code-point offsets.
 
 A document is cut into blocks at blank lines; a block whose line breaks all look like those of a
-filled paragraph is one run of text, otherwise every line stands by itself. Inside a run a pushdown
-automaton walks over terminators, quotes and brackets only: a terminator ends a sentence when the
-stack is empty and neither an abbreviation, a number nor the following text speaks against it.
+filled paragraph is one run of text, otherwise every line stands by itself. A pushdown automaton walks
+over list marks, terminators, quotes and brackets only, with one stack for all of them: list levels at the
+bottom, open quotes and brackets above. A terminator ends a sentence when nothing but list levels is on the
+stack and neither an abbreviation (found in tries read backwards), a number nor the following text speaks
+against it. Its word lists are closed classes of the languages: abbreviations, function words, months.
 """
 
 from __future__ import annotations
@@ -27,18 +29,24 @@ INNER = (
     "डॉ श्री सुश्री प्रो "
     "د أ م "
 ).split()
-#: Abbreviations that may also end a sentence; it does if an opener follows.
-EITHER = "St Ave Blvd Rd Ln Hwy Ctr Pkwy Sq Pl Ct Dist Dept Assn Assoc Bros Co Corp Inc Ltd Jr Sr Esq est etc al sq ft mi in lb min max avg Ph.D M.D B.A cont usw ff Cía Ltda S.A dgl ú".split()
-#: Words that open a sentence and are no part of a name.
+#: Abbreviations that may also end a sentence, by what they stand for.
+STREETS = "St Ave Blvd Rd Ln Hwy Ctr Pkwy Sq Pl Ct Dr".split()
+FIRMS = "Dept Assn Assoc Bros Co Corp Inc Ltd Jr Sr Esq Cía Ltda S.A".split()
+OTHERS = "Dist etc est al sq ft mi in lb min max avg Ph.D M.D B.A cont usw ff dgl ú".split()
+#: Legal forms that may follow an abbreviated one.
+FORMS = set("LLC LLP LP PLC KG KGaA AG GmbH SE SA Ltd Inc Co Corp".split())
+#: What a place is that is named after a street.
+PLACES = set("Garage Parking Lot Deck Plaza Church Station School Bridge Hall Tower Mall Market Park Building".split())
+#: Function words (articles, pronouns, prepositions, conjunctions, question words, auxiliaries).
 OPENERS = set(
-    "The A An It Its In On At Our We They Each Every Nearly Neither Either Nobody No None One Two Staff Check Use Per Is Are Was Were Why What When Where Who How "
-    "Half He She I This That These Those There Here See Rates Full Open Stalls Demand Hospital Their His Her My Your You If But And Or So Yet For From By To After Before "
-    "As All Any Some Many Most Both Such Then Now Also However Please Do Does Did Can Could Will Would Should May Not Only Since While Until Once Although Because "
-    "Of With Without During Over Under Between Mr Mrs Ms Dr Fig Nothing Everyone Someone "
-    "La El Los Las Un Una Contamos Según Pedimos Nadie Le Les Il Elle On Un Une Quel Quelle Pourquoi Die Der Das Ein Eine Warum Laut Abends Am Bitte".split()
+    "The A An It Its In On At Our We They Each Every Neither Either Nobody No None One Two Is Are Was Were Why What When Where Who How Which Whose "
+    "He She I This That These Those There Here Their His Her My Your You If But And Or So Yet For From By To After Before As All Any Some Many Most Both "
+    "Such Then Now Also However Do Does Did Has Have Had Can Could Will Would Should May Might Must Not Only Since While Until Once Although Because "
+    "Of With Without During Over Under Between Per Via Everyone Someone Something Nothing See Cf Mr Mrs Ms Dr "
+    "La El Los Las Un Una Según Nadie Le Les Il Elle On Une Quel Quelle Pourquoi Die Der Das Ein Eine Warum Am".split()
 )
-#: Nouns that open a sentence when a number follows.
-NUMBERED = {"Hex", "Parcel", "Lot", "Table", "Zone", "Appendix", "Figure", "Section"}
+#: Of these, those that no sentence has after a time of day (6 p.m. the gate).
+STARTERS = set("the a an our their his her its each every neither nearly one".split())
 #: Month names after German ordinals.
 MONTHS = set("Januar Jänner Februar März April Mai Juni Juli August September Oktober November Dezember".split())
 
@@ -60,6 +68,11 @@ WORDLIKE = regex.compile(r"[\p{L}\p{N}]")
 NEXT = regex.compile(SPACE + r"*")
 TOKEN = regex.compile(r"[\p{L}\p{M}][\p{L}\p{M}'’\-]*")
 INITIAL = regex.compile(r"\p{Lu}\.(?:" + SPACE + r"|-)")
+#: A capitalised word with a number, or a code, as in Table 4 or AB-12.
+NUMBERED = regex.compile(r"\p{Lu}\p{Ll}+\.?\s+\d|\p{Lu}{2,}-\d")
+#: What follows a word that is no name: another in lower case, or a number.
+GOES_ON = regex.compile(r",?\s+[\p{Ll}\d]")
+BEFORE_ST = regex.compile(r"([\p{L}\p{M}'’.\-]+)\s+St$")
 LAST_WORD = regex.compile(r"[\p{L}\p{M}\p{N}.]+$")
 
 
@@ -74,7 +87,7 @@ def _trie(words: list[str]) -> dict:
     return root
 
 
-INNER_TRIE, EITHER_TRIE = _trie([*INNER, "mr", "mrs", "dr", "fig"]), _trie(EITHER)
+INNER_TRIE, STREET_TRIE, FIRM_TRIE, OTHER_TRIE = _trie([*INNER, "mr", "mrs", "dr", "fig"]), _trie(STREETS), _trie(FIRMS), _trie(OTHERS)
 
 
 def _ends_in(trie: dict, text: str, stop: int, low: int) -> bool:
@@ -92,32 +105,49 @@ def _ends_in(trie: dict, text: str, stop: int, low: int) -> bool:
 
 
 def _pairs(text: str, events: list) -> dict[int, int]:
-    """Matched openers and closers of a run: the place of the opener to that of its closer."""
-    stacks: dict[str, list[int]] = {}
-    quote, found = [], {}
+    """Matched openers and closers of a run: the place of the opener to that of its closer.
+
+    One stack holds every open quote and bracket. A closer takes the nearest opener that it closes, and
+    what had been opened inside and never closed is given up; a closer that closes nothing is a mark like
+    any other. Openers left on the stack at the end are none.
+    """
+    stack: list[tuple[str, int]] = []
+    held: dict[str, int] = {}  # how many openers on the stack wait for each closer
+    found = {}
+
+    def close(mark: str, at: int) -> None:
+        while stack:
+            kind, place = stack.pop()
+            held[kind] -= 1
+            if kind == mark:
+                found[place] = at
+                return
+
     for m in events:
         i = m.start()
         c = text[i]
         if c == '"':
             before = text[i - 1] if i else " "
             after = text[i + 1] if i + 1 < len(text) else " "
-            if quote and not before.isspace():
-                found[quote.pop()] = i
-            elif not after.isspace() and not quote:
-                quote.append(i)
-        elif c == "“" and stacks.get("“"):  # closes the low German quote
-            found[stacks["“"].pop()] = i
+            if held.get(c) and not before.isspace():
+                close(c, i)
+            elif not after.isspace() and not held.get(c):
+                stack.append((c, i))
+                held[c] = held.get(c, 0) + 1
+        elif held.get(c):
+            close(c, i)
         elif c in OPEN:
-            stacks.setdefault(OPEN[c], []).append(i)
-        elif c in CLOSE and stacks.get(c):
-            found[stacks[c].pop()] = i
+            stack.append((OPEN[c], i))
+            held[OPEN[c]] = held.get(OPEN[c], 0) + 1
     return found
 
 
 def _opens(text: str, i: int) -> bool:
-    """Whether the text at i can only begin a sentence, even after an abbreviation like Co. or St."""
-    if i >= len(text) or text[i] in "¿¡«„“\"(（「":
+    """Whether the text at i can only begin a sentence, even after an abbreviation or an initial."""
+    if i >= len(text) or text[i] in "¿¡«„“\"「":
         return True
+    if text[i] in "(（":
+        return i + 1 < len(text) and (text[i + 1].isupper() or text[i + 1] in "¿¡«„“\"")
     m = TOKEN.match(text, i)
     if not m:
         return False
@@ -126,9 +156,46 @@ def _opens(text: str, i: int) -> bool:
         return False
     if word in OPENERS or word.split("'")[0].split("’")[0] in OPENERS and "'" in word:
         return True
-    if word in NUMBERED and regex.match(r"\s+\d", text[m.end() : m.end() + 4]):
-        return True
-    return bool(regex.match(r"[A-Z]{2,}-\d", text[i : i + 12]))
+    return bool(NUMBERED.match(text, i))
+
+
+def _abbreviated(text: str, i: int, low: int, after: int) -> bool | None:
+    """Whether a sentence ends with the abbreviation before the period at i; None where there is none.
+
+    After a firm any capitalised word begins a sentence unless it is a legal form. After a street a word
+    does that is no kind of place and goes on in lower case; before a saint's name none does.
+    """
+    follow = text[after]
+    if _ends_in(INNER_TRIE, text, i, low):
+        word = LAST_WORD.search(text, max(low, i - 12), i)
+        return word is not None and word.group() in ("U.S", "U.K", "руб", "г", "rec") and follow.isupper() and _opens(text, after)
+    tail = text[max(low, i - 3) : i]
+    if _ends_in(OTHER_TRIE, text, i, low):
+        if follow.islower() or follow.isdigit():
+            return tail == "min" and follow.islower() and not text[i + 1 : i + 2].isdigit() and TOKEN.match(text, after).group() in STARTERS
+        return tail in ("min", "est", " ft", "sq.") and follow not in "(（" or _opens(text, after)
+    street, firm = _ends_in(STREET_TRIE, text, i, low), _ends_in(FIRM_TRIE, text, i, low)
+    if not street and not firm:
+        return None
+    if follow.islower() or follow.isdigit():
+        return False
+    if _opens(text, after):
+        return not (street and tail.strip().endswith("St") and _saint(text, i, low) and follow not in "(（")
+    m = TOKEN.match(text, after)
+    if m is None or not follow.isupper():
+        return False
+    word = m.group()
+    if firm:
+        return word not in FORMS
+    if word in PLACES or tail.strip().endswith("St") and _saint(text, i, low):
+        return False
+    return INITIAL.match(text, after) is not None or bool(GOES_ON.match(text, m.end()))
+
+
+def _saint(text: str, i: int, low: int) -> bool:
+    """Whether the St before the period at i stands before a name and not after one."""
+    m = BEFORE_ST.search(text, max(low, i - 40), i)
+    return m is None or not m.group(1)[0].isupper() or m.start() == low
 
 
 def _period(text: str, i: int, low: int, after: int, spaced: bool) -> bool:
@@ -147,20 +214,13 @@ def _period(text: str, i: int, low: int, after: int, spaced: bool) -> bool:
         return False
     if before.isupper() and (i - 2 < low or not text[i - 2].isalnum()):  # an initial, or a letter that names something
         return _opens(text, after) and not (i - 2 >= low and text[i - 2] == ".") and TOKEN.match(text, after) is not None
-    if _ends_in(INNER_TRIE, text, i, low):
-        word = LAST_WORD.search(text, max(low, i - 12), i)
-        if word is not None and word.group() in ("U.S", "U.K", "руб", "г", "rec") and follow.isupper():
-            return _opens(text, after)
-        return False
-    if _ends_in(EITHER_TRIE, text, i, low):
-        if follow.islower() or follow.isdigit():
-            return text[max(low, i - 3) : i] == "min" and not spaced or text[max(low, i - 3) : i] == "min" and follow.islower()
-        if text[max(low, i - 3) : i] in ("min", "est", " ft", "sq."):
-            return True
-        return _opens(text, after) or INITIAL.match(text, after) is not None and not text[max(low, i - 3) : i].strip().endswith("St")
+    short = _abbreviated(text, i, low, after)
+    if short is not None:
+        return short
     word = LAST_WORD.search(text, max(low, i - 12), i)
     if word is not None and word.group().lower().replace(" ", "") in ("a.m", "p.m"):
-        return not (follow.islower() or follow.isdigit()) or TOKEN.match(text, after) is not None and TOKEN.match(text, after).group().capitalize() in ("Neither", "Nearly", "The")
+        m = TOKEN.match(text, after)
+        return not (follow.islower() or follow.isdigit()) or m is not None and m.group() in STARTERS
     if before.isdigit():
         m = TOKEN.match(text, after)
         if m is not None and m.group() in MONTHS:
@@ -177,7 +237,6 @@ def _run(text: str, low: int, high: int) -> list[tuple[int, int]]:
     part = text[low:high]
     events = list(EVENT.finditer(part))
     pairs = _pairs(part, events)
-    greek = any("Ͱ" <= c <= "Ͽ" for c in part[:400])
     cuts, shut = [], -1
     for k, m in enumerate(events):
         i, j = m.start(), m.end()
@@ -191,6 +250,8 @@ def _run(text: str, low: int, high: int) -> list[tuple[int, int]]:
             shut = max(shut, pairs[i])
             continue
         if c in "\n\r":
+            if part[max(0, i - 8) : i].rstrip().endswith(THAI_ENDS):
+                cuts.append(j)
             continue
         if c in " \t ":
             if part[max(0, i - 8) : i].endswith(THAI_ENDS):
@@ -211,7 +272,7 @@ def _run(text: str, low: int, high: int) -> list[tuple[int, int]]:
             if j < len(part) and part[j] == '"' and j not in pairs and j not in pairs.values():
                 j += 1
         elif c in ";;":
-            if c == ";" or greek and i and regex.match(r"[\p{Greek}\d]", part[i - 1]) and (j == len(part) or part[j].isspace()):
+            if c == ";" or i and regex.match(r"[\p{Greek}\d]", part[i - 1]) and (j == len(part) or part[j].isspace()):
                 after = NEXT.match(part, j).end()
                 if after >= len(part) or not part[after].islower():
                     cuts.append(j)
@@ -311,23 +372,31 @@ def sentences(text: str | None, min_wrap: int = 60) -> list[tuple[int, int]]:
         if len(block) > 1 and filled[block[0][0]] and not (len(block) == 2 and loose):
             out.extend(_run(text, block[0][0], block[-1][1]))
             continue
+        levels: list[int] = []  # the bottom of the stack: columns at which open list entries have their marks
+        entry = -1  # the unit of the innermost open entry
         for a, b in block:
-            if MARK.match(text, a, b):
-                while a < b and text[a].isspace():
-                    a += 1
-                while b > a and text[b - 1].isspace():
-                    b -= 1
+            lead = len(text[a:b]) - len(text[a:b].lstrip())
+            marked = MARK.match(text, a, b)
+            while levels and lead < levels[-1] + (0 if marked else 1):
+                levels.pop()
+                entry = -1
+            while a < b and text[a].isspace():
+                a += 1
+            while b > a and text[b - 1].isspace():
+                b -= 1
+            if not marked and levels and entry >= 0:  # indented under an open entry: its text goes on
+                out[entry] = (out[entry][0], b)
+                continue
+            if marked:
+                if not levels or lead > levels[-1]:
+                    levels.append(lead)
+                entry = -1
                 if WORDLIKE.search(text, a, b):
+                    entry = len(out)
                     out.append((a, b))
                 continue
             found = _run(text, a, b)
-            if len(found) == 1:  # the line stands by itself, with what trails it
-                while a < b and text[a].isspace():
-                    a += 1
-                while b > a and text[b - 1].isspace():
-                    b -= 1
-                found = [(a, b)]
-            out.extend(found)
+            out.extend([(a, b)] if len(found) == 1 else found)  # one unit: the line stands by itself, with what trails it
     return out
 
 

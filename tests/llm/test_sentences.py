@@ -2,7 +2,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lotgrid.llm.sentences import sentences, split_documents
+from lotgrid.llm.sentences import EVENT, OPENERS, _pairs, sentences, split_documents
 
 CASES = [
     ("Per Sec. 33.7, lots in Zone A are out. The yard near W. Staft Lane is not supply. (They are estimates only.) One more.", 4),
@@ -33,6 +33,44 @@ def test_filled_paragraphs_are_joined_and_log_lines_are_not():
     assert len(sentences("lot 5 full, cars waiting\nphoto missing\nno sign on N. Kledick St. side")) == 3
 
 
+HELD_OUT = [
+    "Revenue rose at Acme Parking Co. Drivers wait along Main St. Delays grew. Engineers met Dr. Lowe at Oak Ave. Traffic thinned.",
+    "Auditors visited Grand Blvd. Garage crews left early. Bonds were sold by Hill Bros. Lenders objected (see p. 9). Taxes fell.",
+    "Crowds filled St. Anne Church near Elm Rd. Vendors sold snacks, drinks, etc., until 6 p.m. Lights failed. \"Nobody cares. Really.\" said Kim.",
+    "Permits (approx. 40) expired. Officials of Lake Corp. (see Fig. 3) appealed. Judges ruled on Jan. 4 in Rm. 12. Work resumed at 7 a.m. Cranes arrived.",
+    "Peter kam am 3. Juni an. Kunden zahlten ca. 20 Euro. Frau Dr. Held schwieg. Autos standen quer.",
+    "Vecinos protestaron ayer. Llegó el Sr. Paz con aprox. 30 personas. Hubo gritos.",
+]
+HELD_OUT_STARTS = [
+    "Revenue Drivers Delays Engineers Traffic", "Auditors Garage Bonds Lenders Taxes", "Crowds Vendors Lights \"Nobody", "Permits Officials Judges Work Cranes", "Peter Kunden Frau Autos", "Vecinos Llegó Hubo",
+]
+
+
+def test_openers_that_no_list_holds():
+    found = true = both = 0
+    for text, starts in zip(HELD_OUT, HELD_OUT_STARTS):
+        words = starts.split()
+        assert not OPENERS & set(words)
+        want, at = set(), 0
+        for w in words:
+            at = text.index(w, at)
+            want.add(at)
+            at += 1
+        got = {a for a, _ in sentences(text)}
+        found, true, both = found + len(got), true + len(want), both + len(got & want)
+    assert both / true >= 0.95 and both / found >= 0.95
+
+
+def test_one_stack_for_all_brackets():
+    pairs = lambda t: _pairs(t, list(EVENT.finditer(t)))
+    assert pairs("( [ ) ]") == {0: 4} and pairs("( [ ] )") == {0: 6, 2: 4} and pairs("( « ) »") == {0: 4} and pairs("((") == {}
+
+
+def test_list_entries_hold_their_indented_lines():
+    text = "- first entry that\n  goes on here. And here.\n  - inner\n    more\n- last\nplain line"
+    assert [text[a:b] for a, b in sentences(text)] == ["- first entry that\n  goes on here. And here.", "- inner\n    more", "- last", "plain line"]
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet="aB1. !?\n\r\t\"'()«»“”„。…;-é😡 ", max_size=80))
 def test_spans_are_clean(text):
