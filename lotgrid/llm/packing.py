@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lotgrid.session import cut
@@ -76,27 +74,44 @@ def cover(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 12
     return bins
 
 
-def program_and_rest(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 120, full: float = 0.98) -> tuple[Bins, dict[int, int]]:
-    """The containers of cover() that are full, and how many items of each length its emptier ones held."""
+def program_and_rest(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 120, full: float = 0.98, again: float = 0.04) -> tuple[Bins, dict[int, int]]:
+    """The containers of cover() that stay, and how many items of each length the others held.
+
+    Those under ``full`` go, and then the emptiest of the others and those with the smallest items, up to a share
+    ``again`` of all containers: packed last, small items find the gaps that whole patterns leave.
+    """
     order = np.argsort(sizes)
+    bins = cover(sizes[order].astype(np.int64), demand[order].astype(np.int64), capacity, rounds)
+    used = lambda held: sum(s * n for s, n in held.items())
+    budget = int(again * sum(many for many, _ in bins))
     kept, rest = [], {}
-    for many, held in cover(sizes[order].astype(np.int64), demand[order].astype(np.int64), capacity, rounds):
-        if sum(s * n for s, n in held.items()) >= full * capacity:
-            kept.append((many, held))
-            continue
-        for s, n in held.items():
-            rest[s] = rest.get(s, 0) + many * n
+    for many, held in sorted(bins, key=lambda b: (used(b[1]), min(b[1]))):
+        poor = used(held) < full * capacity
+        gone = many if poor else min(many, budget)
+        budget -= 0 if poor else gone
+        if gone < many:
+            kept.append((many - gone, held))
+        for s, n in held.items() if gone else ():
+            rest[s] = rest.get(s, 0) + gone * n
     return kept, rest
 
 
 def configuration_program(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 120) -> Bins:
-    """Containers for every item: the covering program's full ones, what its emptier ones held by best_fit()."""
+    """Containers for every item: the covering program's full ones, and what its emptier ones held by best_fit(), into their gaps first."""
     kept, rest = program_and_rest(sizes, demand, capacity, rounds)
-    return kept + best_fit(rest, capacity)
+    return best_fit(rest, capacity, kept)
+
+
+def least_containers(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> int:
+    """A bound that no packing goes below: the volume, and the items of which no two fit together."""
+    return max(-(-int((sizes * demand).sum()) // capacity), int(demand[sizes * 2 > capacity].sum()))
 
 
-def best_fit(rest: dict[int, int], capacity: int) -> Bins:
-    """Best fit by decreasing length on whole groups of equal containers, never on single items."""
+def best_fit(rest: dict[int, int], capacity: int, opened: Bins | None = None) -> Bins:
+    """Best fit by decreasing length on whole groups of equal containers, never on single items.
+
+    Containers that are ``opened`` already take items too, as far as they have room.
+    """
     groups: dict[int, dict[tuple[tuple[int, int], ...], int]] = {}
     rooms: list[int] = []
 
@@ -106,6 +121,8 @@ def best_fit(rest: dict[int, int], capacity: int) -> Bins:
             rooms.insert(int(np.searchsorted(rooms, room)), room)
         groups[room][held] = groups[room].get(held, 0) + many
 
+    for many, inside in opened or []:
+        add(capacity - sum(s * n for s, n in inside.items()), tuple(sorted(inside.items())), many)
     for size in sorted(rest, reverse=True):
         left = rest[size]
         while left:
@@ -129,11 +146,17 @@ def best_fit(rest: dict[int, int], capacity: int) -> Bins:
                     rooms.pop(at)
             else:
                 groups[room][held] = many - use
-            add(room - each * size, (*held, (size, each)), use)
+            add(room - each * size, _with(held, size, each), use)
             left -= use * each
     return [(many, dict(held)) for held_in in groups.values() for held, many in held_in.items()]
 
 
+def _with(held: tuple[tuple[int, int], ...], size: int, each: int) -> tuple[tuple[int, int], ...]:
+    inside = dict(held)
+    inside[size] = inside.get(size, 0) + each
+    return tuple(sorted(inside.items()))
+
+
 def slots(bins: Bins) -> list[tuple[int, int, int, int]]:
     """size, first rank, first container, items per container: where the items of each length go."""
     out, rank, base = [], {}, 0
@@ -167,8 +190,9 @@ def pack(items: DataFrame, containers: DataFrame, rounds: int = 120, salts: int
     items: doc_id, n_tokens. The histogram of piece lengths has at most ``capacity`` rows per kind
     whatever the corpus; one task per kind turns it into slots (length, rank -> container). Items are
     ranked within their length in salted stretches, so a length that a third of all items share is
-    ranked by many tasks, and then find their slot by binary search. Ties and repeated rows are
-    packed one by one; empty inputs give no rows.
+    ranked by many tasks. Slots are cut to the stretches that they meet, and each item takes the last slot
+    that begins before it in its stretch: plans and items meet in a sort, and nothing passes through the driver.
+    Ties and repeated rows are packed one by one; empty inputs give no rows.
     """
     parts = cut(pieces(items, containers).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece_no"), F.lit(salts)).cast("int")), "pieces")
     counts = parts.groupBy("container_kind", "capacity", "n_tokens", "salt").agg(F.count("*").alias("n"))
@@ -185,25 +209,17 @@ def pack(items: DataFrame, containers: DataFrame, rounds: int = 120, salts: int
 
     histogram = counts.groupBy("container_kind", "capacity", "n_tokens").agg(F.sum("n").alias("n"))
     plan = histogram.repartition(16, "container_kind").groupBy("container_kind").applyInPandas(solve, "container_kind string, n_tokens int, rank0 long, base long, each int")
-    table = plan.toPandas().sort_values(["container_kind", "n_tokens", "rank0"])  # bounded by capacities and rounds, not by the corpus
-    starts = counts.withColumn("first", F.expr("sum(n) over (partition by container_kind, n_tokens order by salt) - n")).select("container_kind", "n_tokens", "salt", "first")
-    ranked = parts.withColumn("r", F.expr("row_number() over (partition by container_kind, n_tokens, salt order by doc_id, piece_no) - 1")).join(starts, ["container_kind", "n_tokens", "salt"])
-    ranked = ranked.select("container_kind", (F.col("first") + F.col("r")).alias("rank"), "doc_id", "piece_no", "start_token", "n_tokens")
-    where = {key: (g["rank0"].to_numpy(), g["base"].to_numpy(), g["each"].to_numpy()) for key, g in table.groupby(["container_kind", "n_tokens"])}
-
-    def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            number = np.zeros(len(frame), np.int64)
-            for key, rows in frame.groupby(["container_kind", "n_tokens"]).indices.items():
-                first, base, each = where[key]
-                rank = frame["rank"].to_numpy()[rows]
-                at = np.searchsorted(first, rank, side="right") - 1
-                number[rows] = base[at] + (rank - first[at]) // each[at]
-            frame["container_no"] = number
-            yield frame[["container_kind", "container_no", "doc_id", "piece_no", "start_token", "n_tokens"]]
-
-    ident = parts.schema["doc_id"].dataType.simpleString()
-    return ranked.mapInPandas(place, f"container_kind string, container_no long, doc_id {ident}, piece_no int, start_token int, n_tokens int")
+    plan = cut(plan.withColumn("upto", F.lead("rank0").over(Window.partitionBy("container_kind", "n_tokens").orderBy("rank0"))), "slots")
+    length = ["container_kind", "n_tokens"]
+    starts = counts.withColumn("first", F.sum("n").over(Window.partitionBy(*length).orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))).select(*length, "salt", F.coalesce("first", F.lit(0)).alias("first"), "n")
+    meets = (F.col("rank0") < F.col("first") + F.col("n")) & (F.coalesce("upto", F.lit(2**62)) > F.col("first"))
+    none = {c: F.lit(None) for c in ("doc_id", "piece_no", "start_token")}
+    begun = starts.join(plan, length).where(meets).select(*length, "salt", (F.greatest("rank0", "first") - F.col("first")).alias("r"), F.struct("rank0", "base", "each", "first").alias("slot"))
+    stretch = Window.partitionBy(*length, "salt")
+    ranked = parts.withColumn("r", (F.row_number().over(stretch.orderBy("doc_id", "piece_no")) - 1).cast("long")).select(*length, "salt", "r", F.lit(None).alias("slot"), *none)
+    placed = begun.withColumns(none).unionByName(ranked).withColumn("at", F.last("slot", True).over(stretch.orderBy("r", F.col("slot").isNull()).rowsBetween(Window.unboundedPreceding, 0))).where("slot is null")
+    number = F.col("at.base") + F.floor((F.col("at.first") + F.col("r") - F.col("at.rank0")) / F.col("at.each"))
+    return placed.select("container_kind", number.alias("container_no"), "doc_id", "piece_no", "start_token", "n_tokens")
 
 
 def fill(packed: DataFrame, containers: DataFrame) -> DataFrame:
