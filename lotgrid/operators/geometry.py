@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lotgrid.session import cut
+from lotgrid.operators.skew import salted_join_on
+from lotgrid.session import cut, discard
 
 #: A ring: array<struct<x double, y double>>, open (the first point is not repeated).
 SQRT3 = math.sqrt(3.0)
@@ -122,7 +123,7 @@ def overlaps(left: DataFrame, right: DataFrame, size: float) -> DataFrame:
     a = with_bins(left, "ring_a", size).withColumnRenamed("lg_box", "box_a")
     b = with_bins(right, "ring_b", size).withColumnRenamed("lg_box", "box_b")
     x0, y0 = F.greatest("box_a.x0", "box_b.x0"), F.greatest("box_a.y0", "box_b.y0")
-    near = a.join(b, ["bx", "by"]).where((x0 < F.least("box_a.x1", "box_b.x1")) & (y0 < F.least("box_a.y1", "box_b.y1")) & (F.floor(x0 / size) == F.col("bx")) & (F.floor(y0 / size) == F.col("by")))
+    near = salted_join_on(a, b, ["bx", "by"]).where((x0 < F.least("box_a.x1", "box_b.x1")) & (y0 < F.least("box_a.y1", "box_b.y1")) & (F.floor(x0 / size) == F.col("bx")) & (F.floor(y0 / size) == F.col("by")))
     return near.select("id_a", "id_b", shared_area(F.col("ring_a"), F.col("ring_b")).alias("shared")).where("shared > 0")
 
 
@@ -145,7 +146,7 @@ def touching(parts: DataFrame, size: float, gap: float = 0.0) -> DataFrame:
     other = bins.select(F.col("id").alias("id2"), F.col("box").alias("box2"), "bx", "by")
     meet = (F.col("box.x0") <= F.col("box2.x1") + gap) & (F.col("box2.x0") <= F.col("box.x1") + gap) & (F.col("box.y0") <= F.col("box2.y1") + gap) & (F.col("box2.y0") <= F.col("box.y1") + gap)
     first_bin = (F.floor((F.greatest("box.x0", "box2.x0") - gap) / size) == F.col("bx")) & (F.floor((F.greatest("box.y0", "box2.y0") - gap) / size) == F.col("by"))
-    return bins.join(other, ["bx", "by"]).where((F.col("id") < F.col("id2")) & meet & first_bin).select(F.col("id").alias("a"), F.col("id2").alias("b"))
+    return salted_join_on(bins, other, ["bx", "by"]).where((F.col("id") < F.col("id2")) & meet & first_bin).select(F.col("id").alias("a"), F.col("id2").alias("b"))
 
 
 def within_radius(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
@@ -155,7 +156,7 @@ def within_radius(left: DataFrame, right: DataFrame, radius: float) -> DataFrame
     around = F.sequence(F.lit(-1), F.lit(1))
     a = left.select("id_a", "x", "y", F.explode(F.transform(around, lambda d: cell("x") + d)).alias("cx")).withColumn("cy", F.explode(F.transform(around, lambda d: cell("y") + d)))
     d = F.sqrt(F.pow(F.col("x") - F.col("x2"), 2) + F.pow(F.col("y") - F.col("y2"), 2))
-    return a.join(b, ["cx", "cy"]).withColumn("dist", d).where(F.col("dist") <= radius).select("id_a", "id_b", "dist")
+    return salted_join_on(a, b, ["cx", "cy"]).withColumn("dist", d).where(F.col("dist") <= radius).select("id_a", "id_b", "dist")
 
 
 def nearest(left: DataFrame, right: DataFrame, first_radius: float) -> DataFrame:
@@ -232,7 +233,7 @@ def zonal_mean(raster: DataFrame, zones: DataFrame, size: float) -> DataFrame:
     """
     bins = with_bins(zones, "ring", size).select("id", "ring", "bx", "by")
     cells = raster.where("value is not null").withColumns({"bx": F.floor(F.col("x") / size), "by": F.floor(F.col("y") / size)})
-    hit = cells.join(bins, ["bx", "by"]).where(contains(F.col("ring"), F.col("x"), F.col("y")))
+    hit = salted_join_on(cells, bins, ["bx", "by"], 20_000).where(contains(F.col("ring"), F.col("x"), F.col("y")))
     owned = hit.groupBy("x", "y").agg(F.max("id").alias("id"), F.first("value").alias("value"))
     return owned.groupBy("id").agg(F.avg("value").alias("mean"))
 
@@ -262,7 +263,7 @@ def near_segments(points: DataFrame, segments: DataFrame, reach: float, size: fl
     bins = segments.withColumn("bx", F.explode(span("x1", "x2"))).withColumn("by", F.explode(span("y1", "y2")))
     at = points.withColumns({"bx": F.floor(F.col("x") / size), "by": F.floor(F.col("y") / size)})
     c = F.col
-    return at.join(bins, ["bx", "by"]).withColumn("dist", segment_distance(c("x"), c("y"), c("x1"), c("y1"), c("x2"), c("y2"))).where(c("dist") <= reach).select("id_p", "id_s", "dist")
+    return salted_join_on(at, bins, ["bx", "by"]).withColumn("dist", segment_distance(c("x"), c("y"), c("x1"), c("y1"), c("x2"), c("y2"))).where(c("dist") <= reach).select("id_p", "id_s", "dist")
 
 
 def frontage(parcels: DataFrame, streets: DataFrame, reach: float, step: float, corner_angle: float = 45.0) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lotgrid.functions.units import band_weight
-from lotgrid.session import cut
+from lotgrid.session import cut, discard
 
 
 def undirected(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
@@ -37,7 +37,9 @@ def bounded_reach(edges: DataFrame, sources: DataFrame, limit: float) -> DataFra
         better = cut(better, "front")
         if better.isEmpty():
             return best
+        known, spent = best, front
         best = cut(best.unionByName(better).groupBy("src", "node").agg(F.min("cost").alias("cost")), "reach")
+        discard(known, spent if spent is not known else None)
         front = better
 
 
@@ -63,7 +65,9 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         root = F.struct(F.col("old").alias("id"), F.col("seen").alias("component"), F.lit(None).alias("old"))
         sent = up.join(near, "id", "left").select(F.explode(F.array(own, root)).alias("m")).select("m.*")
         new = cut(sent.groupBy("id").agg(F.min("component").alias("component"), F.max("old").alias("old")), "labels")
+        discard(labels)
         labels = new.select("id", "component")
+        labels._lg_path = new._lg_path
         if new.where("component < old").isEmpty():
             return labels
 
@@ -115,3 +119,44 @@ def constrained_merge(records: DataFrame, pairs: DataFrame, group: str, ident: s
 
     kind = dict(records.dtypes)[ident]
     return records.groupBy(group).cogroup(pairs.groupBy(group)).applyInPandas(merge, f"{ident} {kind}, cluster {kind}")
+
+
+def grown_sites(parcels: DataFrame, touching: DataFrame, seeds: DataFrame) -> DataFrame:
+    """seed, id of each seed parcel and all parcels of its owner that it reaches over touching ones.
+
+    parcels: id, owner (normalised); touching: a, b; seeds: seed, id. The fixpoint of growing by neighbours is
+    the component of the seed among touching parcels of one owner; an empty or null owner never grows.
+    """
+    own = parcels.select("id", "owner").where("owner <> ''")
+    same = touching.join(own.select(F.col("id").alias("a"), F.col("owner").alias("oa")), "a").join(own.select(F.col("id").alias("b"), F.col("owner").alias("ob")), "b").where("oa = ob").select("a", "b")
+    labels = components(parcels.select("id"), same)
+    return seeds.join(labels, "id").select("seed", "component").join(labels, "component").select("seed", "id")
+
+
+def merged_records(records: DataFrame, cluster: str, order: str, public: tuple[str, ...] = ("yes", "permissive", "customers")) -> DataFrame:
+    """One record per cluster: first stated name and operator, commonest type, stated capacity, worst fee, public access first.
+
+    records: cluster, order and name, operator, kind, capacity, fee, access, levels, source_ids, polygon. Types
+    and fees without a statement do not count; the capacity is the sum if every record states one, else
+    the largest if at most one record is an area, else null; ids are merged and sorted.
+    """
+    first = lambda c, when=None: F.min_by(F.when(F.col(c).isNotNull() if when is None else when, F.col(c)), F.when(F.col(c).isNotNull() if when is None else when, F.col(order)))
+    kinds = records.where("kind is not null and kind <> 'Unknown'").groupBy(cluster, "kind").agg(F.count("*").alias("n")).groupBy(cluster).agg(F.min_by("kind", F.struct((-F.col("n")).alias("n"), F.col("kind").alias("k"))).alias("kind"))
+    n, stated = F.count("*"), F.count("capacity")
+    one = records.groupBy(cluster).agg(
+        first("name").alias("name"), first("operator").alias("operator"), F.when(stated == n, F.sum("capacity")).when((stated > 0) & (F.count_if(F.col("polygon")) <= 1), F.max("capacity")).alias("capacity"),
+        F.when(F.count_if(F.col("fee") == "yes") > 0, "yes").otherwise(first("fee")).alias("fee"), F.coalesce(F.lower(first("access", F.lower("access").isin(*public))), F.lower(first("access"))).alias("access"),
+        F.max("levels").alias("levels"), n.alias("parts"), F.array_join(F.array_sort(F.flatten(F.collect_list(F.split("source_ids", ";")))), ";").alias("source_ids"),
+    )
+    return one.join(kinds, cluster, "left").withColumn("kind", F.coalesce("kind", F.lit("Unknown")))
+
+
+def shed_edges(edges: DataFrame, reach: DataFrame, bands: list[float]) -> DataFrame:
+    """src, band, a, b of the edges (each once, a < b) whose ends are both within each band of each source.
+
+    edges: a, b; reach: src, node, cost, as bounded_reach() gives it for the widest band.
+    """
+    once = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+    ends = once.join(reach.select("src", F.col("node").alias("a"), F.col("cost").alias("ca")), "a").join(reach.select("src", F.col("node").alias("b"), F.col("cost").alias("cb")), ["src", "b"])
+    far = ends.withColumn("far", F.greatest("ca", "cb"))
+    return far.select("src", F.explode(F.filter(F.array(*[F.lit(float(x)) for x in sorted(bands)]), lambda x: F.col("far") <= x)).alias("band"), "a", "b")

@@ -3,16 +3,44 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lotgrid.operators.geometry import within_radius
+from lotgrid.session import cut, discard
+
+
+def in_order(df: DataFrame, by: list[str], order: list[tuple[str, bool]], out: str, weight: str | None = None) -> DataFrame:
+    """df with ``out``: the sum of ``weight`` (1 if none) over the rows of its group up to and with each, in a total order.
+
+    order: (column, whether descending). Rows are cut into ranges of the whole order and written, so a group
+    of any size is spread over tasks: each adds up its own stretch, and what earlier stretches of the
+    group hold is added from a table of one row per group and stretch.
+    """
+    way = [F.col(c).desc() if down else F.col(c) for c, down in order]
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = cut(df.withColumn("lg_w", F.lit(1) if weight is None else F.col(weight)).repartitionByRange(n, *[F.col(c) for c in by], *way).withColumn("lg_p", F.spark_partition_id()), "ranges")
+    group = [*by, "lg_p"]
+    within = parts.withColumn("lg_s", F.sum("lg_w").over(Window.partitionBy(*group).orderBy(*way).rowsBetween(Window.unboundedPreceding, 0)))
+    held = parts.groupBy(*group).agg(F.sum("lg_w").alias("lg_h"))
+    before = held.select(*group, F.coalesce(F.sum("lg_h").over(Window.partitionBy(*by).orderBy("lg_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("lg_b")).withColumnsRenamed({c: f"lg_k_{c}" for c in group})
+    same = [F.col(c).eqNullSafe(F.col(f"lg_k_{c}")) for c in group]
+    return within.join(before, same).withColumn(out, F.col("lg_s") + F.col("lg_b")).select(*df.columns, out)
+
 
 def unique_rank(df: DataFrame, by: list[str], score: str, tie: str, out: str = "rank") -> DataFrame:
-    """1, 2, ... within each group by score descending, equal scores by id."""
+    """1, 2, ... within each group by score descending (nulls last), equal scores by id; any group is one task's rows.
+
+    For groups that hold large shares of all rows see rank_all().
+    """
     return df.withColumn(out, F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(score), F.col(tie))))
 
 
+def rank_all(df: DataFrame, by: list[str], score: str, tie: str, out: str = "rank") -> DataFrame:
+    """unique_rank() for few groups of any size: ranks are numbered over ranges."""
+    return in_order(df, by, [(score, True), (tie, False)], out)
+
+
 def top_per_group(df: DataFrame, by: list[str], score: str, tie: str, n: int) -> DataFrame:
     """The first n rows of each group; pruned before the shuffle by the group limit."""
     return unique_rank(df, by, score, tie, "lg_rank").where(F.col("lg_rank") <= n).drop("lg_rank")
@@ -27,17 +55,48 @@ def keep_first(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
 def percent_rank_average(df: DataFrame, value: str, out: str) -> DataFrame:
     """Rank as a share of all rows, ties averaged; null values get null.
 
-    Counts per distinct value are taken first, so the running total goes over distinct values.
+    Counts per distinct value are taken first and then added up over ranges of the values.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("lg_n"))
-    upto = counts.withColumn("lg_upto", F.sum("lg_n").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))).withColumn("lg_all", F.sum("lg_n").over(Window.partitionBy()))
-    rank = upto.select(value, ((F.col("lg_upto") - (F.col("lg_n") - 1) / 2.0) / F.col("lg_all")).alias(out))
+    upto = in_order(counts, [], [(value, False)], "lg_upto", "lg_n")
+    whole = F.broadcast(df.agg(F.count(value).alias("lg_all")))  # one row
+    rank = upto.join(whole, F.lit(True)).select(value, ((F.col("lg_upto") - (F.col("lg_n") - 1) / 2.0) / F.col("lg_all")).alias(out))
     return df.join(rank, value, "left")
 
 
+def average_rank(df: DataFrame, by: str, value: str, out: str) -> DataFrame:
+    """Rank within each group, ties averaged; null values get null."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("lg_n"))
+    rank = counts.select(F.col(by).alias("lg_by"), F.col(value).alias("lg_v"), (F.sum("lg_n").over(Window.partitionBy(by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)) - (F.col("lg_n") - 1) / 2.0).alias(out))
+    return df.join(rank, F.col(by).eqNullSafe(F.col("lg_by")) & (F.col(value) == F.col("lg_v")), "left").drop("lg_by", "lg_v")
+
+
+def spearman(df: DataFrame, by: str, a: str, b: str, least: int = 3) -> DataFrame:
+    """by, n, rho: correlation of average ranks over rows with both values; null under ``least`` rows or for a constant side."""
+    both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(by, F.col(a).alias("lg_x"), F.col(b).alias("lg_y"))
+    ranked = average_rank(average_rank(both, by, "lg_x", "lg_rx"), by, "lg_y", "lg_ry")
+    varied = (F.min("lg_x") < F.max("lg_x")) & (F.min("lg_y") < F.max("lg_y")) & (F.count("*") >= least)
+    return ranked.groupBy(by).agg(F.count("*").alias("n"), F.when(varied, F.corr("lg_rx", "lg_ry")).alias("rho"))
+
+
 def bounds(df: DataFrame, value: str, low: float = 0.05, high: float = 0.95) -> DataFrame:
-    """lo, hi: the exact linear-interpolation percentiles between which values are winsorised."""
-    return df.agg(F.percentile(value, F.array(F.lit(low), F.lit(high))).alias("q")).select(F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
+    """lo, hi: the exact linear-interpolation percentiles between which values are winsorised; one row.
+
+    The order statistics are found among running counts over ranges of the distinct values: no task
+    holds more than its range.
+    """
+    known = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    upto = in_order(known.groupBy(value).agg(F.count("*").alias("lg_n")), [], [(value, False)], "lg_upto", "lg_n")
+    at = upto.join(F.broadcast(known.agg(F.count("*").alias("lg_all"))), F.lit(True))
+    v = F.col(value).cast("double")
+
+    def quantile(p: float) -> Column:
+        place = (F.col("lg_all") - 1) * F.lit(p)
+        held = lambda k: F.max(F.when((F.col("lg_upto") > k) & (F.col("lg_upto") - F.col("lg_n") <= k), v))
+        below, above, part = held(F.floor(place)), held(F.ceil(place)), F.max(place - F.floor(place))
+        return below + (above - below) * part
+
+    return at.agg(quantile(low).alias("lo"), quantile(high).alias("hi"))
 
 
 def normalise(df: DataFrame, value: str, out: str, cost: bool = False, low: float = 0.05, high: float = 0.95, constant: float = 50.0) -> DataFrame:
@@ -81,13 +140,8 @@ def rank_stability(ranked: DataFrame, top: int) -> DataFrame:
 
 
 def numbered(df: DataFrame, prefix: str, digits: int, order: list[str], out: str) -> DataFrame:
-    """Ids like A000001 in the order of natural keys, numbered over range partitions without one task holding all rows."""
-    parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("lg_p", F.spark_partition_id())
-    within = parts.withColumn("lg_r", F.row_number().over(Window.partitionBy("lg_p").orderBy(*order)))
-    ends = within.groupBy("lg_p").agg(F.count("*").alias("lg_n"))
-    before = ends.withColumn("lg_before", F.sum("lg_n").over(Window.orderBy("lg_p").rowsBetween(Window.unboundedPreceding, -1))).select("lg_p", F.coalesce("lg_before", F.lit(0)).alias("lg_before"))
-    number = F.col("lg_r") + F.col("lg_before")
-    return within.join(F.broadcast(before), "lg_p").withColumn(out, F.format_string(f"{prefix}%0{digits}d", number)).drop("lg_p", "lg_r", "lg_before")
+    """Ids like A000001 in the order of natural keys, numbered over ranges without one task holding all rows."""
+    return in_order(df, [], [(c, False) for c in order], "lg_number").withColumn(out, F.format_string(f"{prefix}%0{digits}d", F.col("lg_number").cast("long"))).drop("lg_number")
 
 
 def numbered_duplicates(df: DataFrame, name: str, order: str, out: str) -> DataFrame:
@@ -96,46 +150,41 @@ def numbered_duplicates(df: DataFrame, name: str, order: str, out: str) -> DataF
     return df.withColumn(out, F.when(n == 1, F.col(name)).otherwise(F.concat(F.col(name), F.lit(" ("), n.cast("string"), F.lit(")"))))
 
 
-def greedy_spaced(df: DataFrame, stratum: str, ident: str, x: str, y: str, order: str, quota: int, spacing: float) -> DataFrame:
-    """Per stratum, the first ``quota`` rows in order that keep ``spacing`` from all picked before.
+def resolve_conflicts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """id, lost_to: best first, a row stays unless it conflicts with one that stays; then it is lost to the best such.
 
-    The choice is sequential by nature; a stratum is one group, its rows sorted once.
+    nodes: id, rank (smaller is better, ties by id); edges: a, b in either order. Whoever has no better
+    neighbour left open stays, and its open neighbours are lost: both are decided for all such rows at
+    once and written, so no group of conflicts is ever whole in a task, and the rounds end when none is open.
     """
-    schema = df.schema
-
-    def pick(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values([order, ident], ascending=[False, True])
-        xs, ys, kept = frame[x].to_numpy(float), frame[y].to_numpy(float), []
-        for i in range(len(frame)):
-            if len(kept) == quota:
-                break
-            if all((xs[i] - xs[k]) ** 2 + (ys[i] - ys[k]) ** 2 >= spacing**2 for k in kept):
-                kept.append(i)
-        return frame.iloc[kept]
-
-    return df.groupBy(stratum).applyInPandas(pick, schema)
+    both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "conflicts")
+    place = lambda i: F.struct(F.col("rank"), F.col(i).alias("i"))
+    every = cut(nodes.select("id", "rank"), "open")
+    left, kept = every, None
+    while True:
+        near = both.join(left.select(F.col("id").alias("a")), "a").join(left.select(F.col("id").alias("b"), "rank"), "b")
+        best = near.groupBy(F.col("a").alias("id")).agg(F.min(place("b")).alias("m"))
+        stays = F.col("m").isNull() | (place("id") < F.col("m"))
+        judged = cut(left.join(best, "id", "left").select("id", "rank", stays.alias("stays")), "judged")
+        stay = judged.where("stays").select("id", "rank")
+        kept = stay if kept is None else kept.unionByName(stay)
+        gone = both.join(stay.select(F.col("id").alias("b")), "b").select(F.col("a").alias("id")).distinct()
+        left = cut(judged.where("not stays").select("id", "rank").join(gone, "id", "left_anti"), "open")
+        if left.isEmpty():
+            break
+    to = both.join(kept.select(F.col("id").alias("b"), "rank"), "b").groupBy(F.col("a").alias("id")).agg(F.min(place("b")).alias("m"))
+    return every.select("id").join(to, "id", "left").join(kept.select("id", F.lit(True).alias("lg_kept")), "id", "left").select("id", F.when(F.col("lg_kept").isNull(), F.col("m.i")).alias("lost_to"))
 
 
-def resolve_conflicts(nodes: DataFrame, edges: DataFrame, group: str) -> DataFrame:
-    """id, lost_to: within each conflict group, the best row stays and what it conflicts with goes, best first.
+def greedy_spaced(df: DataFrame, stratum: str, ident: str, x: str, y: str, order: str, quota: int, spacing: float) -> DataFrame:
+    """Per stratum, the first ``quota`` rows in order that keep ``spacing`` from all picked before.
 
-    nodes: group, id, rank; edges: group, a, b. Rows are processed by rank; a row that conflicts with
-    a kept one is lost to it. Groups are connected components, so they are independent.
+    Rows of a stratum closer than the spacing conflict; resolve_conflicts() leaves those that greedy picking in
+    order would, without a stratum in one task, and the quota is then the best of them. Rows without
+    coordinates conflict with nobody; ties go to the smaller id.
     """
-
-    def resolve(key: tuple, n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-        near: dict = {}
-        for a, b in zip(e["a"], e["b"]):
-            near.setdefault(a, set()).add(b)
-            near.setdefault(b, set()).add(a)
-        kept: dict = {}
-        lost = []
-        for i in n.sort_values(["rank", "id"])["id"]:
-            by = next((k for k in kept if k in near.get(i, ())), None)
-            if by is None:
-                kept[i] = True
-            lost.append((i, by))
-        return pd.DataFrame(lost, columns=["id", "lost_to"])
-
-    kind = dict(nodes.dtypes)["id"]
-    return nodes.groupBy(group).cogroup(edges.groupBy(group)).applyInPandas(resolve, f"id {kind}, lost_to {kind}")
+    placed = df.select(F.col(ident).alias("id"), F.col(stratum).alias("lg_st"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), (-F.col(order)).alias("rank"))
+    a = placed.where("x is not null and y is not null").select(F.struct("id", "lg_st").alias("id_a"), "x", "y")
+    near = within_radius(a, a.withColumnRenamed("id_a", "id_b"), spacing).where((F.col("id_a.id") < F.col("id_b.id")) & F.col("id_a.lg_st").eqNullSafe(F.col("id_b.lg_st")) & (F.col("dist") < spacing))
+    kept = resolve_conflicts(placed.select("id", "rank"), near.select(F.col("id_a.id").alias("a"), F.col("id_b.id").alias("b"))).where("lost_to is null").select(F.col("id").alias(ident))
+    return top_per_group(df.join(kept, ident, "left_semi"), [stratum], order, ident, quota)

@@ -192,7 +192,7 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY scenario ORDER BY composite
 
 def ranked(s: SparkSession, d: str) -> DataFrame:
     c = ranking.composite(scores(s, d), scenario_weights(s)).withColumn("composite", F.round("composite", 6))
-    return ranking.unique_rank(c, ["scenario"], "composite", "id")
+    return ranking.rank_all(c, ["scenario"], "composite", "id")
 
 
 @query(COMPOSITE + "SELECT scenario, id, composite, rank FROM ranked WHERE rank <= 50")
@@ -213,7 +213,7 @@ OAT_ROWS = [(n, {c: w for n2, c, w in ranking.one_at_a_time(WEIGHTS["Balanced"],
 def oat_sensitivity(s: SparkSession, d: str) -> DataFrame:
     w = s.createDataFrame(ranking.one_at_a_time(WEIGHTS["Balanced"], (0.8, 1.2)), "scenario string, criterion string, weight double")
     c = ranking.composite(scores(s, d), w).withColumn("composite", F.round("composite", 6))
-    return ranking.unique_rank(c, ["scenario"], "composite", "id").groupBy("id").agg(F.min("rank").alias("best"), F.max("rank").alias("worst"))
+    return ranking.rank_all(c, ["scenario"], "composite", "id").groupBy("id").agg(F.min("rank").alias("best"), F.max("rank").alias("worst"))
 
 
 @query(None)
@@ -222,7 +222,7 @@ def dirichlet_stability(s: SparkSession, d: str) -> DataFrame:
     w = ranking.drawn_weights(s, WEIGHTS["Balanced"], 100, 50.0, 7)
     top = scores(s, d)
     c = ranking.composite(top, w).withColumn("composite", F.round("composite", 6))
-    return ranking.rank_stability(ranking.unique_rank(c, ["scenario"], "composite", "id"), 10)
+    return ranking.rank_stability(ranking.rank_all(c, ["scenario"], "composite", "id"), 10)
 
 
 # places

@@ -65,7 +65,7 @@ def test_greedy_and_conflicts(spark):
     assert sorted(r.id for r in ranking.greedy_spaced(p, "g", "id", "x", "y", "o", 3, 2.0).collect()) == [0, 2, 4]
     n = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (1, "c", 3)], "g long, id string, rank long")
     e = spark.createDataFrame([(1, "a", "b"), (1, "b", "c")], "g long, a string, b string")
-    assert {r.id: r.lost_to for r in ranking.resolve_conflicts(n, e, "g").collect()} == {"a": None, "b": "a", "c": None}
+    assert {r.id: r.lost_to for r in ranking.resolve_conflicts(n, e).collect()} == {"a": None, "b": "a", "c": None}
 
 
 def test_components_of_long_chains_and_strangers(spark):
