@@ -39,7 +39,7 @@ def lookup_join(facts: DataFrame, index: DataFrame, key: str, how: str = "left",
     return left.join(right, [key, "lg_salt"], how).drop("lg_salt")
 
 
-def salted_join(left: DataFrame, right: DataFrame, key: str, rows: int = 4_000) -> DataFrame:
+def salted_join(left: DataFrame, right: DataFrame, key: str, rows: int = 4_000, probe: tuple[str, str, int] | None = None) -> DataFrame:
     """Inner join on key in which a key that many rows of either side share is spread over many tasks.
 
     A key with more than ``rows`` rows on one side is cut there into stretches of about that many, and
@@ -47,9 +47,17 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, rows: int = 4_000)
     the key grows; the rows of both sides at one (key, stretches) meet exactly once. Null keys match
     nothing. Rows that were exploded look smaller to the optimiser than they are, so the join is kept
     from broadcasting them.
+
+    probe (a column of the left, one of the right, parts): frequent keys are looked for among the rows whose column
+    hashes to one part only. That shapes the plan and never the result.
     """
-    cuts = lambda df, name: F.broadcast(heavy_keys(df, key, MOST, rows + 1).select(key, F.ceil(F.col("lg_n") / rows).cast("int").alias(name)))
-    hot_l, hot_r = cuts(left, "lg_hl"), cuts(right, "lg_hr")
+
+    def cuts(df: DataFrame, name: str, side: int) -> DataFrame:
+        parts = probe[2] if probe else 1
+        seen = df.where(F.pmod(F.xxhash64(probe[side]), F.lit(parts)) == 0) if probe else df
+        return F.broadcast(heavy_keys(seen, key, MOST, rows // parts + 1).select(key, F.ceil(F.col("lg_n") * parts / rows).cast("int").alias(name)))
+
+    hot_l, hot_r = cuts(left, "lg_hl", 0), cuts(right, "lg_hr", 1)
     whole = lambda n: F.explode(F.sequence(F.lit(0), F.coalesce(F.col(n), F.lit(1)) - 1))
     both = lambda df: df.join(hot_l, key, "left").join(hot_r, key, "left")
     by_hash = lambda n, c: F.pmod(F.xxhash64(*[F.col(x) for x in c]), F.coalesce(F.col(n), F.lit(1)).cast("long")).cast("int")
