@@ -77,3 +77,27 @@ def worst(c: Column, order: list[str]) -> Column:
     """The entry of a group that comes last in ``order``: an aggregate over rank codes."""
     listed = F.array(*map(F.lit, order))
     return F.try_element_at(listed, F.nullif(F.max(F.array_position(listed, c)), F.lit(0)).cast("int"))
+
+
+def first_tag(tags: list[tuple[str, Column, Column]], default: str) -> Column:
+    """key=value of the first tag in order whose condition holds: (key, condition, value)."""
+    return F.coalesce(*[F.when(cond, F.concat(F.lit(f"{key}="), value.cast("string"))) for key, cond, value in tags], F.lit(default))
+
+
+def decide(rules: list[tuple[Column, str]], default: str) -> Column:
+    """The label of the first condition that holds; conditions over nulls do not."""
+    return F.coalesce(first_reason(rules), F.lit(default))
+
+
+def stalls(area: Column, setback: float, efficiency: float, stall_area: float) -> Column:
+    """Whole stalls on a lot once its setback and its lanes are taken off."""
+    return F.floor(area * (1 - setback) * efficiency / stall_area).cast("double")
+
+
+def checked_config(sums_to_one: dict[str, dict[str, float]], ascending: dict[str, list[float]], keys: dict[str, tuple[set, set]]) -> None:
+    """All faults of a configuration at once: weights that do not add up to one, bands that do not ascend, keys that differ from those wanted."""
+    faults = [f"{n} adds up to {sum(w.values()):g}" for n, w in sums_to_one.items() if abs(sum(w.values()) - 1) > 1e-6]
+    faults += [f"{n} does not ascend" for n, v in ascending.items() if any(b <= a for a, b in zip(v, v[1:]))]
+    faults += [f"{n} has {sorted(map(str, have - want))} too many and lacks {sorted(map(str, want - have))}" for n, (have, want) in keys.items() if have != want]
+    if faults:
+        raise ValueError("; ".join(faults))

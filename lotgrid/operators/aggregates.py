@@ -86,3 +86,11 @@ def class_shares(df: DataFrame, cls: str, covered: str, total: str, cap: float)
     med = df.where(F.col(covered).isNotNull()).groupBy(cls).agg(F.median(own).alias("lg_med"))
     share = F.coalesce(F.when(F.col(covered).isNotNull(), own), F.col("lg_med"))
     return df.join(med, cls, "left").withColumn("share", F.when(share.isNotNull(), F.least(share, F.lit(cap)))).drop("lg_med")
+
+
+def compare_runs(before: DataFrame, after: DataFrame, key: str, value: str) -> DataFrame:
+    """key, before, after, change of every key whose value differs between two runs; a missing key counts 0."""
+    zero = F.lit(0)
+    both = before.select(key, F.col(value).alias("before"), zero.alias("after")).unionByName(after.select(key, zero.alias("before"), F.col(value).alias("after")))
+    sums = both.groupBy(key).agg(F.sum("before").alias("before"), F.sum("after").alias("after")).where("before <> after")
+    return sums.select(key, "before", "after", (F.col("after") - F.col("before")).alias("change"))

@@ -61,13 +61,13 @@ def category_rules(s: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT c_custkey, coalesce(CASE WHEN c_mktsegment = 'BUILDING' THEN 'a=' || c_mktsegment END, CASE WHEN c_nationkey < 9 THEN 'n=' || c_nationkey END, 'none') AS category FROM customer")
 def first_tag(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "customer").select("c_custkey", F.coalesce(F.when(F.col("c_mktsegment") == "BUILDING", F.concat(F.lit("a="), "c_mktsegment")), F.when(F.col("c_nationkey") < 9, F.concat(F.lit("n="), F.col("c_nationkey").cast("string"))), F.lit("none")).alias("category"))
+    return table(s, d, "customer").select("c_custkey", rules.first_tag([("a", F.col("c_mktsegment") == "BUILDING", F.col("c_mktsegment")), ("n", F.col("c_nationkey") < 9, F.col("c_nationkey"))], "none").alias("category"))
 
 
 @query("SELECT c_custkey, CASE WHEN c_nationkey < 5 THEN 'public' WHEN c_acctbal > 5000 AND c_mktsegment <> 'MACHINERY' THEN 'private' WHEN c_acctbal < 0 THEN 'unknown' ELSE 'private' END AS access FROM customer")
 def private_flags(s: SparkSession, d: str) -> DataFrame:
     c = F.col
-    return table(s, d, "customer").select("c_custkey", F.when(c("c_nationkey") < 5, "public").when((c("c_acctbal") > 5000) & (c("c_mktsegment") != "MACHINERY"), "private").when(c("c_acctbal") < 0, "unknown").otherwise("private").alias("access"))
+    return table(s, d, "customer").select("c_custkey", rules.decide([(c("c_nationkey") < 5, "public"), ((c("c_acctbal") > 5000) & (c("c_mktsegment") != "MACHINERY"), "private"), (c("c_acctbal") < 0, "unknown")], "private").alias("access"))
 
 
 @query("SELECT c_custkey, CASE WHEN c_acctbal >= 0 THEN c_acctbal END AS bal FROM customer")
@@ -113,7 +113,7 @@ def screen_reasons(s: SparkSession, d: str) -> DataFrame:
 @query("SELECT p_partkey, floor(p_size * 1000.0 * (1 - 0.1) * 0.85 / 325) AS stalls, CASE WHEN p_size > 25 THEN 'existing' ELSE 'new' END AS kind FROM part")
 def stall_estimate(s: SparkSession, d: str) -> DataFrame:
     lot = F.col("p_size") * 1000.0
-    return table(s, d, "part").select("p_partkey", F.floor(lot * (1 - 0.1) * 0.85 / 325).cast("double").alias("stalls"), F.when(F.col("p_size") > 25, "existing").otherwise("new").alias("kind"))
+    return table(s, d, "part").select("p_partkey", rules.stalls(lot, 0.1, 0.85, 325.0).alias("stalls"), F.when(F.col("p_size") > 25, "existing").otherwise("new").alias("kind"))
 
 
 @query("SELECT s_suppkey, trim(regexp_replace(regexp_replace(upper(s_name), '[^A-Z0-9 ]+', ' ', 'g'), ' +', ' ', 'g')) AS owner_norm, nullif(trim(regexp_replace(regexp_replace(replace(lower(s_name), '&', ' and '), '[^a-z0-9 ]+', ' ', 'g'), ' +', ' ', 'g')), '') AS name_norm FROM supplier")
@@ -164,9 +164,9 @@ def semi_join(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "customer").join(table(s, d, "orders").where("o_totalprice > 400000").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_semi").select("c_custkey")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_totalprice > 300000)")
 def anti_join(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "customer").join(table(s, d, "orders").where("o_custkey is not null").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
+    return table(s, d, "customer").join(table(s, d, "orders").where("o_custkey is not null and o_totalprice > 300000").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
 
 
 @query("SELECT n_nationkey, p AS daypart FROM nation, (SELECT DISTINCT o_orderpriority AS p FROM orders)")
@@ -334,7 +334,7 @@ def topk_anchors_padded(s: SparkSession, d: str) -> DataFrame:
 
 @query(None)
 def greedy_selection(s: SparkSession, d: str) -> DataFrame:
-    """Rows only: a sequential choice; tests/test_ranking.py holds it against brute force."""
+    """Rows only: a sequential choice; tests/test_operators.py holds it against known choices."""
     p = table(s, d, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal", (F.col("s_suppkey") % 37).cast("double").alias("x"), (F.col("s_suppkey") % 23).cast("double").alias("y"))
     return ranking.greedy_spaced(p, "s_nationkey", "s_suppkey", "x", "y", "s_acctbal", 3, 5.0).select("s_nationkey", "s_suppkey")
 

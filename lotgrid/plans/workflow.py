@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -16,6 +17,19 @@ class Step:
     run: Callable[..., DataFrame | None]
     needs: tuple[str, ...] = ()
     settings: tuple[str, ...] = ()
+    inputs: tuple[str, ...] = ()
+
+
+def code_version() -> str:
+    """A hash of this package's source: steps run again when it changes."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    h = hashlib.sha256()
+    for folder, dirs, files in os.walk(root):
+        dirs.sort()
+        for name in sorted(f for f in files if f.endswith(".py")):
+            with open(os.path.join(folder, name), "rb") as f:
+                h.update(f.read())
+    return h.hexdigest()
 
 
 @dataclass
@@ -25,10 +39,12 @@ class Workflow:
     steps: dict[str, Step] = field(default_factory=dict)
     status: dict[str, str] = field(default_factory=dict)
     hashes: dict[str, str] = field(default_factory=dict)
+    fingerprint: Callable[[str], str] | None = None  # what tells one state of an input from another
+    version: str = field(default_factory=code_version)
 
-    def step(self, name: str, needs: tuple[str, ...] = (), settings: tuple[str, ...] = ()) -> Callable:
+    def step(self, name: str, needs: tuple[str, ...] = (), settings: tuple[str, ...] = (), inputs: tuple[str, ...] = ()) -> Callable:
         def add(run: Callable) -> Callable:
-            self.steps[name] = Step(name, run, needs, settings)
+            self.steps[name] = Step(name, run, needs, settings, inputs)
             return run
 
         return add
@@ -54,7 +70,7 @@ class Workflow:
 
     def input_hash(self, name: str, config: dict) -> str:
         s = self.steps[name]
-        seen = {"settings": {k: config.get(k) for k in s.settings}, "needs": {n: self.hashes.get(n) for n in s.needs}}
+        seen = {"settings": {k: config.get(k) for k in s.settings}, "needs": {n: self.hashes.get(n) for n in s.needs}, "version": self.version, "inputs": {i: self.fingerprint(i) if self.fingerprint else None for i in s.inputs}}
         return hashlib.sha256(json.dumps(seen, sort_keys=True, default=str).encode()).hexdigest()
 
     def blocked(self, name: str, config: dict) -> list[str]:
@@ -77,7 +93,15 @@ class Workflow:
                 self.status[name] = "failed"
                 raise
             finally:
-                for later in self.steps:
-                    if name in self.steps[later].needs and later in self.hashes and self.status.get(later) in ("done", "unchanged"):
+                for later in self.below(name):
+                    if later in self.hashes and self.status.get(later) in ("done", "unchanged"):
                         self.status[later] = "stale"
         return self.status
+
+    def below(self, name: str) -> set[str]:
+        """All steps that need a step, directly or through others."""
+        out, front = set(), {name}
+        while front:
+            front = {later for later, s in self.steps.items() if front & set(s.needs)} - out
+            out |= front
+        return out

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -113,3 +114,65 @@ def difference(a: T.StructType, b: T.StructType) -> list[str]:
             if left[n].nullable != right[n].nullable:
                 out.append(f"{n}: nullable {left[n].nullable} and {right[n].nullable}")
     return out
+
+
+CHECKS = "layer string, kind string, what string, n long, severity string, ok boolean, run_id string"
+
+
+def check_records(results: DataFrame, run_id: str, severity: dict[str, str] | None = None) -> DataFrame:
+    """Results of run_checks() as records: each with its severity (error unless its kind says else) and whether it holds."""
+    kinds = severity or {}
+    said = F.coalesce(*[F.when(F.col("kind") == k, F.lit(v)) for k, v in kinds.items()], F.lit("error"))
+    return results.select(F.element_at(F.split("what", r"\."), 1).alias("layer"), "kind", "what", "n", said.alias("severity"), (F.col("n") == 0).alias("ok"), F.lit(run_id).alias("run_id"))
+
+
+def write_checks(records: DataFrame, path: str) -> int:
+    """Replace the records of their run and give the number of failed errors."""
+    records.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
+    return records.where("severity = 'error' and not ok").count()
+
+
+def gate(failed: int) -> None:
+    """No run goes on with failed errors."""
+    if failed:
+        raise Violations(f"{failed} checks failed")
+
+
+def summary(records: DataFrame) -> DataFrame:
+    """kind, checks, failed, rows of check records."""
+    return records.groupBy("kind").agg(F.count("*").alias("checks"), F.count_if(~F.col("ok")).alias("failed"), F.sum("n").alias("rows"))
+
+
+def same_result(name: str, stated: DataFrame, found: DataFrame) -> DataFrame:
+    """One check result: how many rows two ways of computing a result do not share, repeated rows counted."""
+    cols = sorted(stated.columns)
+    off = stated.select(*cols).exceptAll(found.select(*cols)).unionByName(found.select(*cols).exceptAll(stated.select(*cols)))
+    return off.agg(F.lit("signature").alias("kind"), F.lit(name).alias("what"), F.count("*").alias("n"))
+
+
+def register(spark: SparkSession, root: str, layer: Layer, run_id: str, rows: int) -> None:
+    """Note that a layer was written in a run; a layer is there only if some run noted it."""
+    row = spark.createDataFrame([(layer.name, run_id, rows, layer.struct().json())], "layer string, run_id string, rows long, struct string")
+    row.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("layer", "run_id").parquet(f"{root}/_layers")
+
+
+def written_layers(spark: SparkSession, root: str) -> dict[str, T.StructType]:
+    """Layers that were written, by the catalogue, each with its latest declared structure."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/_layers")
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return {}
+    rows = spark.read.parquet(f"{root}/_layers").groupBy("layer").agg(F.max_by("struct", "run_id").alias("struct")).collect()  # one row per declared layer
+    return {r.layer: T.StructType.fromJson(json.loads(r.struct)) for r in rows}
+
+
+def catalogue_difference(spark: SparkSession, root: str, layers: list[Layer]) -> list[str]:
+    """Every difference between the declared layers and those written."""
+    have = written_layers(spark, root)
+    declared = {x.name: x for x in layers}
+    out = [f"{n} was never written" for n in declared if n not in have] + [f"{n} is not declared" for n in have if n not in declared]
+    return out + [f"{n}: {d}" for n in declared if n in have for d in difference(declared[n].struct(), have[n])]
+
+
+def empty_layers(spark: SparkSession, layers: list[Layer]) -> dict[str, DataFrame]:
+    """An empty table of every declared layer."""
+    return {x.name: spark.createDataFrame([], x.struct()) for x in layers}

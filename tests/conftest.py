@@ -4,7 +4,7 @@ from pathlib import Path
 
 import pytest
 
-os.environ.setdefault("JAVA_TOOL_OPTIONS", "-XX:TieredStopAtLevel=1")  # small data: compile fast, not well
+os.environ.setdefault("JAVA_TOOL_OPTIONS", "-XX:TieredStopAtLevel=1 -XX:ReservedCodeCacheSize=256m")  # small data: compile fast, not well
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 
