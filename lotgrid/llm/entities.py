@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import functools
-import itertools
 import re
 from collections.abc import Iterator
 
@@ -152,12 +151,11 @@ def operator_state(op_s: Column, op_u: Column, words_s: Column, words_u: Column)
 
 
 def pair_features(pairs: DataFrame) -> DataFrame:
-    """pairs with x, the feature vector in the order of FEATURES, all in column expressions.
+    """pairs with bits, the BASE features that hold, the first one lowest, all in column expressions.
 
     pairs holds the columns of both sides (_s and _u) that samples(), supplies() and describe() give.
     """
     c = F.col
-    flag = lambda cond: F.coalesce(cond, F.lit(False)).cast("double")
     long_words = lambda name: F.filter(name, lambda w: F.length(w) > 4)
     several = (F.size("own_words_s") + F.size("own_words_u") > 2) & (F.size(long_words("own_words_s")) > 0) & (F.size(long_words("own_words_u")) > 0)
     best_word = F.array_max(F.transform(long_words("own_words_s"), lambda a: F.array_max(F.transform(long_words("own_words_u"), lambda b: closeness(a, b)))))
@@ -178,12 +176,26 @@ def pair_features(pairs: DataFrame) -> DataFrame:
     f |= {"side_same": named & (c("sides_s") == c("sides_u")), "side_other": named & split("sides") & (c("sides_s") != c("sides_u")), "kind_other": split("kinds") & ~met("kinds"), "place_same": met("places"), "place_other": split("places") & ~met("places")}
     f |= {"type_same": c("type_s") == c("type_u"), "type_other": (c("type_s") != c("type_u")) & (c("type_s") != "Mixed") & (c("type_u") != "Mixed"), "area_same": c("area_s") == c("area_u"), "area_other": c("area_s") != c("area_u")}
     f |= {"coarse": F.greatest("c_s", "c_u") > 0, "mirrored": c("turn_s") != c("turn_u"), "close": c("dist").isin("d30", "d60", "d100"), "far": c("dist").isin("d200", "dfar")}
-    base = measured.withColumn("lg_f", F.struct(*[flag(v).alias(k) for k, v in f.items()]))
-    twin = F.greatest("lg_f.side_other", "lg_f.kind_other") * F.greatest("lg_f.word_same", "lg_f.word_near")
-    at = {k: c(f"lg_f.{k}") for k in f} | {"twin": c("lg_twin")}
-    wide = base.withColumn("lg_twin", twin)
-    product = lambda name: functools.reduce(lambda p, q: p * q, [at[k] for k in name.split("*")])
-    return wide.withColumn("x", F.array(*[product(name) for name in FEATURES]))
+    f["twin"] = named & (f["side_other"] | f["kind_other"])
+    bit = lambda i, cond: F.when(cond, F.lit(1 << i)).otherwise(0).cast("long")
+    return measured.withColumn("bits", functools.reduce(lambda p, q: p + q, [bit(i, f[name]) for i, name in enumerate(BASE)]))
+
+
+#: The bits that a feature needs: one of BASE, or all that a product multiplies.
+MASKS = [sum(1 << BASE.index(k) for k in name.split("*")) for name in FEATURES]
+
+
+def unpacked(bits: np.ndarray) -> np.ndarray:
+    """Feature vectors, in the order of FEATURES, of packed ones."""
+    masks = np.array(MASKS, np.int64)
+    return ((bits[:, None] & masks) == masks).astype(float)
+
+
+def log_odds(weights: np.ndarray, scale: tuple[float, float]) -> Column:
+    """The calibrated log odds of the packed features in column bits, between -30 and 30."""
+    bits = F.col("bits")
+    z = functools.reduce(lambda p, q: p + q, [F.when(bits.bitwiseAND(F.lit(m)) == m, float(w) * scale[0]).otherwise(0.0) for m, w in zip(MASKS, weights[:-1])], F.lit(float(weights[-1]) * scale[0] + scale[1]))
+    return F.least(F.greatest(z, F.lit(-30.0)), F.lit(30.0))
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.3, rounds: int = 40) -> np.ndarray:
@@ -244,22 +256,39 @@ def supplies(df: DataFrame) -> DataFrame:
     return _sided(describe(one, "uid", "name_u", "oper_u"), "u")
 
 
-def near_names(a: DataFrame, b: DataFrame, edits: int = 2, longest: int | None = 12) -> DataFrame:
-    """own_s, own_u of every two names (of up to ``longest`` letters) at ``edits`` edits or less: they share a
-    string that is left after at most so many deletions from each. A swap of neighbours takes one
-    deletion from each. a: own_s; b: own_u."""
+def deletions(text: Column, most: int) -> Column:
+    """The strings that are left of a text after up to ``most`` (1 or 2) deletions, itself among them.
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [(own, left) for own in frame["own"] for left in {"".join(c) for k in range(edits + 1) for c in itertools.combinations(own, max(0, len(own) - k))}]
-            yield pd.DataFrame(rows, columns=["own", "left"])
-
-    def left(df: DataFrame, c: str) -> DataFrame:
-        some = df.select(F.col(c).alias("own")).where(F.length("own") > 0)
-        some = some.where(F.length("own") <= longest) if longest else some
-        return some.distinct().mapInPandas(run, "own string, left string").withColumnRenamed("own", c)
-
-    return salted_join(cut(left(a, "own_s"), "deleted"), cut(left(b, "own_u"), "deleted"), "left").select("own_s", "own_u").distinct().where(F.levenshtein("own_s", "own_u") <= 2)
+    Two texts at so many edits, a swap of neighbours counting as one, have one of these in common.
+    """
+    n = F.length(text)
+    without = lambda i: F.concat(F.substr(text, F.lit(1), i - 1), F.substr(text, i + 1))
+    one = F.transform(F.sequence(F.lit(1), n), without)
+    if most == 1:
+        return F.array_distinct(F.concat(F.array(text), one))
+    pair = lambda i: F.when(i < n, F.transform(F.sequence(i + 1, n), lambda j: F.concat(F.substr(text, F.lit(1), i - 1), F.substr(text, i + 1, j - i - 1), F.substr(text, j + 1)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(F.array(text), one, F.flatten(F.transform(F.sequence(F.lit(1), n), pair))))
+
+
+def blocks(df: DataFrame, side: str, ident: str, reach_m: float = 300.0, longest: int = 12) -> DataFrame:
+    """ident, own, rule, key: every key under which a facility looks for partners. See candidates()."""
+    own, op, area = F.col(f"own_{side}"), F.col(f"op_{side}"), F.col(f"area_{side}")
+    vague = F.col(f"y_{side}").isNull() | (F.col(f"c_{side}") > reach_m / 2)
+    none = F.array().cast("array<struct<rule:string,key:bigint>>")
+    key = lambda rule, *parts: F.struct(F.lit(rule).alias("rule"), F.xxhash64(F.lit(rule), *parts).alias("key"))
+    # a pair needs a side without a usable place: such samples meet all supplies, the others only such supplies
+    meets = F.array(vague) if side == "s" else F.when(vague, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))
+    lost = lambda rule, of: F.flatten(F.transform(of, lambda x: F.transform(meets, lambda m: key(rule, x, m))))
+    named = F.length(own) > 0
+    every = F.concat(
+        F.transform(f"ids_{side}", lambda k: key("id", k)),
+        F.when(op != "", F.transform(f"paired_{side}", lambda h: key("operator", h, F.substring(op, 1, 4)))).otherwise(none),
+        F.when(area.isNotNull(), F.transform(f"alone_{side}", lambda h: key("area", h, area))).otherwise(none),
+        lost("name", F.col(f"alone_{side}")),
+        F.when(named, F.transform(deletions(own, 1), lambda d: key("edit", d))).otherwise(none),
+        F.when(named & (F.length(own) <= longest), lost("edits", deletions(own, 2))).otherwise(none),
+    )
+    return df.select(ident, own, F.explode(every).alias("k")).select(ident, f"own_{side}", F.col("k.rule").alias(f"rule_{side}"), F.col("k.key").alias("key"))
 
 
 def candidates(s: DataFrame, u: DataFrame, reach_m: float = 300.0) -> DataFrame:
@@ -269,38 +298,16 @@ def candidates(s: DataFrame, u: DataFrame, reach_m: float = 300.0) -> DataFrame:
     two rows of the name a band; with the area, three rows); own words at one edit or swap whatever else is
     said; and, where a side has no place or one too coarse for the reach, bands of the name alone (three rows) and
     own words of up to twelve letters at two edits. Names that share a band must also be within about a
-    third of their letters, tested before the pair is formed. A band that many share is cut into stretches
-    by salted_join(), none is left out.
+    third of their letters, tested before the pair is formed. All keys go through one join, in which
+    one that many share is cut into stretches (salted_join()); none is left out.
     """
-    by_id = salted_join(s.select("sid", F.explode("ids_s").alias("k")), u.select("uid", F.explode("ids_u").alias("k")), "k").select("sid", "uid")
-    vague = lambda side: F.col(f"y_{side}").isNull() | (F.col(f"c_{side}") > reach_m / 2)
-    like = F.levenshtein("own_s", "own_u") <= F.greatest(F.lit(2), F.floor(F.greatest(F.length("own_s"), F.length("own_u")) * 0.3))
-    named_s, named_u = s.where("own_s <> ''").withColumn("vague", vague("s")), u.where("own_u <> ''").withColumn("vague", vague("u"))
-
-    def banded(df: DataFrame, side: str, ident: str) -> DataFrame:
-        op, area = F.col(f"op_{side}"), F.col(f"area_{side}")
-        both = F.concat(
-            F.when(op != "", F.transform(f"paired_{side}", lambda h: F.xxhash64(h, F.substring(op, 1, 4)))).otherwise(F.array().cast("array<long>")),
-            F.when(area.isNotNull(), F.transform(f"alone_{side}", lambda h: F.xxhash64(h, area))).otherwise(F.array().cast("array<long>")),
-        )
-        return df.select(ident, f"own_{side}", F.explode(both).alias("band"))
-
-    across = salted_join(banded(named_s, "s", "sid"), banded(named_u, "u", "uid"), "band").where(like).select("sid", "uid")
-    alone = lambda df, side, ident: df.select(ident, f"own_{side}", F.explode(f"alone_{side}").alias("band"))
-    lost_s, lost_u = named_s.where("vague"), named_u.where("vague")
-    by_band = [salted_join(alone(a, "s", "sid"), alone(b, "u", "uid"), "band").where(like).select("sid", "uid") for a, b in ((lost_s, named_u), (named_s.where("not vague"), lost_u))]
-
-    def by_edits(a: DataFrame, b: DataFrame, **bound: int | None) -> DataFrame:
-        near = cut(near_names(a, b, **bound), "names")
-        return salted_join(salted_join(a.select("sid", "own_s"), near, "own_s"), b.select("uid", "own_u"), "own_u").select("sid", "uid")
-
-    names = [by_edits(named_s, named_u, edits=1, longest=None), by_edits(lost_s, named_u), by_edits(named_s.where("not vague"), lost_u)]
+    lev, longer = F.levenshtein("own_s", "own_u"), F.greatest(F.length("own_s"), F.length("own_u"))
+    alike = F.when(F.col("rule_s") == "id", True).when(F.col("rule_s").isin("edit", "edits"), lev <= 2).otherwise(lev <= F.greatest(F.lit(2), F.floor(longer * 0.3)))
+    by_key = salted_join(blocks(s, "s", "sid", reach_m), blocks(u, "u", "uid", reach_m), "key", probe=("sid", "uid", 16)).where((F.col("rule_s") == F.col("rule_u")) & alike).select("sid", "uid")
     left = u.where("y_u is not null").select(F.col("uid").alias("id_l"), F.col("y_u").alias("lat"), F.col("x_u").alias("lon"))
     right = s.where("y_s is not null").select(F.col("sid").alias("id_r"), F.col("y_s").alias("lat"), F.col("x_s").alias("lon"))
-    out = near_pairs(left, right, reach_m).select(F.col("id_r").alias("sid"), F.col("id_l").alias("uid"))
-    for more in (by_id, across, *by_band, *names):
-        out = out.unionByName(more)
-    return out.distinct()
+    by_place = near_pairs(left, right, reach_m).select(F.col("id_r").alias("sid"), F.col("id_l").alias("uid"))
+    return cut(by_key.unionByName(by_place).distinct(), "candidates")
 
 
 def score(s: DataFrame, u: DataFrame, train_rows: int = 40_000, seed: int = 11) -> tuple[DataFrame, list[tuple[float, float, int]]]:
@@ -319,11 +326,11 @@ def score(s: DataFrame, u: DataFrame, train_rows: int = 40_000, seed: int = 11)
     """
     kinds = {"sid": dict(s.dtypes)["sid"], "uid": dict(u.dtypes)["uid"]}
     pairs = candidates(s, u).join(s, "sid").join(u, "uid").withColumns({"shared": F.arrays_overlap("ids_s", "ids_u"), "has_ids": F.size("ids_u") > 0, "both_ids": (F.size("ids_u") > 0) & (F.size("ids_s") > 0)})
-    scored = cut(pair_features(pairs).select(F.col("sid").cast(kinds["sid"]), F.col("uid").cast(kinds["uid"]), "shared", "has_ids", "both_ids", "x"), "pairs")
-    drawn = scored.where("has_ids").orderBy(F.xxhash64("sid", "uid", F.lit(seed))).limit(train_rows).select("x", F.col("shared").cast("int").alias("y")).toPandas()  # at most train_rows rows
+    scored = cut(pair_features(pairs).select(F.col("sid").cast(kinds["sid"]), F.col("uid").cast(kinds["uid"]), "shared", "has_ids", "both_ids", "bits"), "pairs")
+    drawn = scored.where("has_ids").orderBy(F.xxhash64("sid", "uid", F.lit(seed))).limit(train_rows).select("bits", F.col("shared").cast("int").alias("y")).toPandas()  # at most train_rows rows of two numbers
     weights, scale, table = prior_weights(), (1.0, 0.0), []
     if len(drawn) > 50 and drawn["y"].nunique() == 2:
-        x, y = np.array(drawn["x"].tolist()), drawn["y"].to_numpy(float)
+        x, y = unpacked(drawn["bits"].to_numpy(np.int64)), drawn["y"].to_numpy(float)
         held = np.arange(len(y)) % 3 == 2
         weights = fit_logistic(x[~held], y[~held])
         z = x[held] @ weights[:-1] + weights[-1]
@@ -333,8 +340,7 @@ def score(s: DataFrame, u: DataFrame, train_rows: int = 40_000, seed: int = 11)
         p = 1 / (1 + np.exp(-np.clip(z * scale[0] + scale[1], -30, 30)))
         tenth = np.minimum((p * 10).astype(int), 9)
         table = [(float(p[tenth == k].mean()), float(y[held][tenth == k].mean()), int((tenth == k).sum())) for k in range(10) if (tenth == k).any()]
-    z = sum((F.col("x")[i] * (float(w) * scale[0]) for i, w in enumerate(weights[:-1])), F.lit(float(weights[-1]) * scale[0] + scale[1]))
-    rated = scored.select("sid", "uid", "shared", "both_ids", F.least(F.greatest(z, F.lit(-30.0)), F.lit(30.0)).alias("z"))
+    rated = scored.select("sid", "uid", "shared", "both_ids", log_odds(weights, scale).alias("z"))
     bins = rated.where("both_ids").groupBy(F.round(F.col("z") * 4).alias("b"), "shared").agg(F.count("*").alias("n")).toPandas()  # at most 482 rows
     has, lacks = id_evidence(bins["b"].to_numpy(float) / 4, bins["shared"].to_numpy(bool), bins["n"].to_numpy(float))
     z = F.col("z") + F.when(F.col("shared"), has).when(F.col("both_ids"), lacks).otherwise(0.0)

@@ -1,8 +1,9 @@
+import itertools
 from datetime import datetime
 
 import numpy as np
 
-from lotgrid.llm.entities import candidates, closeness, describe, fit_logistic, id_evidence, links, near_names, operator_state, osm_ids, samples, supplies, words
+from lotgrid.llm.entities import candidates, closeness, deletions, describe, fit_logistic, id_evidence, links, operator_state, osm_ids, samples, supplies, words
 from pyspark.sql import functions as F
 
 T = datetime(2025, 1, 1)
@@ -43,9 +44,11 @@ def test_ids(spark):
 
 
 def test_short_names_with_a_swap_meet(spark):
-    a = spark.createDataFrame([("cigcik",), ("reedrane",), ("ab",), ("zzzzzz",)], "own_s string")
-    b = spark.createDataFrame([("cigick",), ("reerdane",), ("a",), ("reedxxxx",)], "own_u string")
-    assert {tuple(r) for r in near_names(a, b).collect()} == {("cigcik", "cigick"), ("reedrane", "reerdane"), ("ab", "a")}
+    rows = [("cigcik", "cigick"), ("reedrane", "reerdane"), ("ab", "a"), ("zzzzzz", "reedxxxx"), ("a", "a")]
+    df = spark.createDataFrame(rows, "a string, b string")
+    got = [tuple(r) for r in df.select(*[F.arrays_overlap(deletions(F.col("a"), k), deletions(F.col("b"), k)) for k in (1, 2)], F.size(deletions(F.col("a"), 2))).collect()]
+    assert [g[:2] for g in got] == [(True, True), (True, True), (True, True), (False, False), (True, True)]
+    assert got[1][2] == len({"".join(c) for k in range(3) for c in itertools.combinations("reedrane", 8 - k)})
 
 
 def test_logistic_recovers_weights():
