@@ -81,17 +81,18 @@ def numbers(c: Column) -> Column:
 
 
 def _ratio(a: str, b: str) -> float:
-    """Twice the longest common subsequence over both lengths."""
+    """Twice the longest common subsequence over both lengths; the subsequence's table is one bit row per letter."""
     if not a and not b:
         return 1.0
-    row = [0] * (len(b) + 1)
-    for c in a:
-        last = 0
-        for j, e in enumerate(b, 1):
-            keep = row[j]
-            row[j] = last + 1 if c == e else max(row[j], row[j - 1])
-            last = keep
-    return 2 * row[-1] / (len(a) + len(b))
+    places: dict[str, int] = {}
+    for i, c in enumerate(a):
+        places[c] = places.get(c, 0) | 1 << i
+    whole = (1 << len(a)) - 1
+    row = whole
+    for c in b:
+        hit = row & places.get(c, 0)
+        row = (row + hit | row - hit) & whole
+    return 2 * (len(a) - row.bit_count()) / (len(a) + len(b))
 
 
 def token_set_ratio(a: str, b: str) -> float:

@@ -228,3 +228,12 @@ def tiling(cells: DataFrame, study_area: float, cell_area: float) -> DataFrame:
     rows = n.join(inner, F.lit(True)).join(corners, F.lit(True))  # three single rows
     euler = F.col("corners") - (6 * F.col("once") - F.col("shared")) + F.col("once")  # parts minus holes
     return rows.select("n", (F.col("n") - F.col("once")).alias("doubles"), (1 - euler).cast("long").alias("holes"), (F.col("once") * cell_area / F.lit(float(study_area))).alias("cover"))
+
+
+def shape_report(shapes: DataFrame, study: DataFrame, size: float) -> DataFrame:
+    """n, empty, repaired, outside, doubles of a layer (id, shape): what has no shape, what repair changes, what does not touch the study area, and ids listed again; one row."""
+    fixed = repaired(F.col("shape"))
+    counts = shapes.agg(F.count("*").alias("n"), F.count_if(F.coalesce(F.size("shape"), F.lit(0)) < 1).alias("empty"), F.count_if(F.col("shape").isNotNull() & (F.size("shape") > 0) & ~fixed.eqNullSafe(F.col("shape"))).alias("repaired"), (F.count("id") - F.count_distinct("id")).alias("doubles"))
+    known = shapes.where("size(shape) > 0").select("id").distinct().agg(F.count("*").alias("known"))
+    inside = kept_in_area(shapes, study, size).select("id").distinct().agg(F.count("*").alias("inside"))
+    return counts.join(known, F.lit(True)).join(inside, F.lit(True)).select("n", "empty", "repaired", (F.col("known") - F.col("inside")).alias("outside"), "doubles")  # three single rows

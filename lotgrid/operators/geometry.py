@@ -292,3 +292,34 @@ def hex_grid(area: DataFrame, size: float) -> DataFrame:
     cells = rows.withColumn("q", F.explode(F.sequence(F.ceil(q("b.x0")).cast("int"), F.floor(q("b.x1")).cast("int"))))
     c = hex_centre(F.col("q"), F.col("r"), size)
     return cells.where(contains(F.col("ring"), c["x"], c["y"])).select("q", "r").distinct()
+
+
+def without_holes(cells: DataFrame) -> DataFrame:
+    """q, r of a grid and of the cells that it encloses: empty ones that no way over empty cells leads out of its box."""
+    from lotgrid.operators.graph import components
+
+    held = cells.select("q", "r").distinct()
+    b = held.agg(*[f(c).alias(n) for f, c, n in ((F.min, "q", "q0"), (F.max, "q", "q1"), (F.min, "r", "r0"), (F.max, "r", "r1"))])
+    box_ = b.where("q0 is not null").select(F.explode(F.sequence(F.col("r0") - 1, F.col("r1") + 1)).alias("r"), "q0", "q1", "r0", "r1").select(F.explode(F.sequence(F.col("q0") - 1, F.col("q1") + 1)).alias("q"), "r", ((F.col("r") < F.col("r0")) | (F.col("r") > F.col("r1"))).alias("edge"), "q0", "q1")
+    empty = cut(box_.join(held, ["q", "r"], "left_anti").select("q", "r", (F.col("edge") | (F.col("q") < F.col("q0")) | (F.col("q") > F.col("q1"))).alias("out"), F.struct("q", "r").alias("id")), "empty")
+    pairs = hex_neighbours(empty).select(F.struct("q", "r").alias("a"), F.struct(F.col("q2").alias("q"), F.col("r2").alias("r")).alias("b"))
+    labels = components(empty.select("id"), pairs)
+    outside = labels.join(empty.where("out").select("id"), "id", "left_semi").select("component").distinct()
+    return held.unionByName(labels.join(outside, "component", "left_anti").select("id.q", "id.r"))
+
+
+def weighted_by_distance(points: DataFrame, known: DataFrame, radius: float, power: float = 2.0) -> DataFrame:
+    """id_a, value: the mean of the known values within a radius by 1 / distance ** power; places in one spot take no part.
+
+    points: id_a, x, y; known: id_b, x, y, value.
+    """
+    near = within_radius(points, known.select("id_b", "x", "y"), radius).where("dist > 0").join(known.select("id_b", "value"), "id_b")
+    w = F.pow(F.col("dist"), -power)
+    return near.groupBy("id_a").agg((F.sum(F.col("value") * w) / F.sum(w)).alias("value"))
+
+
+def hold_out_error(known: DataFrame, radius: float, power: float = 2.0) -> DataFrame:
+    """n, mae, rmse of weighted_by_distance() at every known place from all others; one row."""
+    guess = weighted_by_distance(known.select(F.col("id_b").alias("id_a"), "x", "y"), known, radius, power)
+    e = F.col("value") - F.col("stated")
+    return guess.join(known.select(F.col("id_b").alias("id_a"), F.col("value").alias("stated")), "id_a").agg(F.count("*").alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"))

@@ -188,3 +188,29 @@ def greedy_spaced(df: DataFrame, stratum: str, ident: str, x: str, y: str, order
     near = within_radius(a, a.withColumnRenamed("id_a", "id_b"), spacing).where((F.col("id_a.id") < F.col("id_b.id")) & F.col("id_a.lg_st").eqNullSafe(F.col("id_b.lg_st")) & (F.col("dist") < spacing))
     kept = resolve_conflicts(placed.select("id", "rank"), near.select(F.col("id_a.id").alias("a"), F.col("id_b.id").alias("b"))).where("lost_to is null").select(F.col("id").alias(ident))
     return top_per_group(df.join(kept, ident, "left_semi"), [stratum], order, ident, quota)
+
+
+def survey_sample(places: DataFrame, strata: DataFrame, manual: DataFrame, spacing: float, backups: int) -> DataFrame:
+    """stratum, id, role (sample or backup), rank of what is surveyed in each stratum, at least ``spacing`` apart.
+
+    places: id, stratum, garage, score, x, y; strata: stratum, n, garages (a short list); manual: stratum, id. Manual picks come
+    first and count toward n; then the best garages up to their quota, then others up to n, then backups of any
+    kind, each after what came before it. Ties go to the smaller id. A stratum may be any size.
+    """
+    c = F.col
+    picked = cut(manual.join(places.drop("stratum"), "id").select("stratum", "id", "x", "y", F.row_number().over(Window.partitionBy("stratum").orderBy(F.desc("score"), "id")).alias("turn"), F.lit(0).alias("stage")).join(F.broadcast(strata.select("stratum")), "stratum", "left_semi"), "picked")
+    quotas = [(1, c("garage"), c("garages")), (2, ~c("garage"), c("n")), (3, F.lit(True), c("n") + backups)]
+    for stage, wanted, upto in quotas:
+        open_ = places.where(wanted).join(picked.select("stratum", "id"), ["stratum", "id"], "left_anti")
+        at = lambda df, name: df.where("x is not null and y is not null").select(F.struct("stratum", "id").alias(name), "x", "y")
+        close = within_radius(at(open_, "id_a"), at(picked, "id_b"), spacing).where((c("id_a.stratum") == c("id_b.stratum")) & (c("dist") < spacing)).select("id_a.stratum", "id_a.id").distinct()
+        free = cut(open_.join(close, ["stratum", "id"], "left_anti").select("stratum", "id", "x", "y", (-c("score")).alias("rank")), "free")
+        pairs = within_radius(at(free, "id_a"), at(free, "id_b"), spacing).where((c("id_a.stratum") == c("id_b.stratum")) & (c("id_a.id") < c("id_b.id")) & (c("dist") < spacing))
+        key = F.struct("stratum", "id")
+        kept = resolve_conflicts(free.select(key.alias("id"), "rank"), pairs.select(c("id_a").alias("a"), c("id_b").alias("b"))).where("lost_to is null").select("id.stratum", "id.id")
+        left = F.broadcast(strata.join(picked.groupBy("stratum").agg(F.count("*").alias("had")), "stratum", "left").select("stratum", (upto - F.coalesce("had", F.lit(0))).alias("room")))
+        turn = F.row_number().over(Window.partitionBy("stratum").orderBy("rank", "id"))
+        more = free.join(kept, ["stratum", "id"], "left_semi").join(left, "stratum").withColumn("turn", turn).where(c("turn") <= c("room")).select("stratum", "id", "x", "y", "turn", F.lit(stage).alias("stage"))
+        picked = cut(picked.unionByName(more), "picked")
+    place = F.row_number().over(Window.partitionBy("stratum").orderBy("stage", "turn"))
+    return picked.join(F.broadcast(strata.select("stratum", "n")), "stratum").withColumn("k", place).select("stratum", "id", F.when(c("k") <= c("n"), "sample").otherwise("backup").alias("role"), F.when(c("k") <= c("n"), c("k")).otherwise(c("k") - c("n")).alias("rank"))

@@ -298,9 +298,14 @@ def nearest_join(s: SparkSession, d: str) -> DataFrame:
 
 @query(PLACES + "SELECT id_a, round(sum(id_b / (dist * dist)) / sum(1 / (dist * dist)), 3) AS rate FROM dd WHERE dist <= 40 AND dist > 0 GROUP BY 1")
 def distance_weighted_rate(s: SparkSession, d: str) -> DataFrame:
-    near = geometry.within_radius(anchors(s, d), sites(s, d, "id_b"), 40.0).where("dist > 0")
-    w = 1.0 / (F.col("dist") * F.col("dist"))
-    return near.groupBy("id_a").agg(F.round(F.sum(F.col("id_b") * w) / F.sum(w), 3).alias("rate"))
+    known = sites(s, d, "id_b").withColumn("value", F.col("id_b").cast("double"))
+    return geometry.weighted_by_distance(anchors(s, d), known, 40.0).select("id_a", F.round("value", 3).alias("rate"))
+
+
+@query(PLACES + ", h AS (SELECT a.id_b, sum(b.id_b / ((a.x - b.x) ** 2 + (a.y - b.y) ** 2)) / sum(1 / ((a.x - b.x) ** 2 + (a.y - b.y) ** 2)) AS v FROM st a, st b WHERE (a.x - b.x) ** 2 + (a.y - b.y) ** 2 BETWEEN 0.5 AND 1600 GROUP BY 1) SELECT count(*) AS n, round(avg(abs(v - id_b)), 3) AS mae, round(sqrt(avg((v - id_b) ** 2)), 3) AS rmse FROM h")
+def hold_out(s: SparkSession, d: str) -> DataFrame:
+    known = sites(s, d, "id_b").withColumn("value", F.col("id_b").cast("double"))
+    return geometry.hold_out_error(known, 40.0).select("n", F.round("mae", 3).alias("mae"), F.round("rmse", 3).alias("rmse"))
 
 
 @query("SELECT x, y, round(100 * sqrt(gx * gx + gy * gy), 9) AS slope FROM (SELECT p_partkey % 50 AS x, p_partkey // 50 AS y, 0.02 * (p_partkey % 50) + 0.01 * (p_partkey // 50) AS gx, 0.5 + 0.01 * (p_partkey % 50) AS gy FROM part) WHERE x BETWEEN 1 AND 48 AND y BETWEEN 1 AND (SELECT max(p_partkey) // 50 - 2 FROM part)")
@@ -386,3 +391,27 @@ def run_comparison(s: SparkSession, d: str) -> DataFrame:
 def observed_occupancy(s: SparkSession, d: str) -> DataFrame:
     n = F.sum("l_quantity")
     return table(s, d, "lineitem").groupBy("l_orderkey").agg((n > 150).alias("impossible"), F.when(n <= 150, F.round(n / 150, 6)).alias("occupancy"))
+
+
+@query(PLACES + ", sg AS (SELECT id_b AS id_s, x AS x1, y AS y1, x + 10 + id_b % 7 AS x2, y + id_b % 11 AS y2 FROM st), t AS (SELECT id_a, id_s, an.x, an.y, x1, y1, x2, y2, greatest(0, least(1, ((an.x - x1) * (x2 - x1) + (an.y - y1) * (y2 - y1)) / ((x2 - x1) ** 2 + (y2 - y1) ** 2))) AS t FROM an, sg) SELECT id_a AS id_p, id_s, round(sqrt((x - x1 - t * (x2 - x1)) ** 2 + (y - y1 - t * (y2 - y1)) ** 2), 6) AS dist FROM t WHERE sqrt((x - x1 - t * (x2 - x1)) ** 2 + (y - y1 - t * (y2 - y1)) ** 2) <= 5.05")
+def near_street(s: SparkSession, d: str) -> DataFrame:
+    """Points within a distance of line segments."""
+    k = F.col("id_s")
+    streets = sites(s, d, "id_s").select("id_s", F.col("x").alias("x1"), F.col("y").alias("y1"), (F.col("x") + 10 + k % 7).alias("x2"), (F.col("y") + k % 11).cast("double").alias("y2"))
+    return geometry.near_segments(anchors(s, d).withColumnRenamed("id_a", "id_p"), streets, 5.05, 12.0).select("id_p", "id_s", F.round("dist", 6).alias("dist"))
+
+
+@query("WITH b AS (SELECT n_nationkey % 5 * 100.0 AS x0, n_nationkey // 5 * 100.0 AS y0 FROM nation), c AS (SELECT q.q, r.r, 7 * sqrt(3) * (q.q + r.r / 2.0) AS x, 10.5 * r.r AS y FROM range(-40, 50) q(q), range(-2, 50) r(r)) SELECT DISTINCT q::INT AS q, r::INT AS r FROM c, b WHERE x > x0 + 1 AND x < x0 + 91 AND y > y0 + 1 AND y < y0 + 81")
+def grid_of_area(s: SparkSession, d: str) -> DataFrame:
+    """Hexagons whose centre lies in any of the areas."""
+    n = F.col("n_nationkey")
+    area = table(s, d, "nation").select(geometry.box(n % 5 * 100.0 + 1, F.floor(n / 5) * 100.0 + 1, F.lit(90.0), F.lit(80.0)).alias("ring"))
+    return geometry.hex_grid(area, 7.0)
+
+
+@query("SELECT event_id, round((hour(ts) + 20) * 60 + minute(ts) + second(ts) / 60.0, 6) AS minutes FROM events")
+def clock_minutes(s: SparkSession, d: str) -> DataFrame:
+    """Times of day of a timetable, whose hours may pass 24."""
+    ts = F.col("ts")
+    clock = F.format_string("%02d:%02d:%02d", F.hour(ts) + 20, F.minute(ts), F.second(ts))
+    return table(s, d, "events").select("event_id", F.round(text.to_minutes(clock), 6).alias("minutes"))

@@ -13,10 +13,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lotgrid.operators.ranking import keep_first
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV file with a header, every column a text; quoted line breaks are kept."""
-    return spark.read.csv(path, header=True, inferSchema=False, multiLine=True, escape='"')
+
+def read_csv(spark: SparkSession, path: str, breaks: bool = True, x: str | None = None, y: str | None = None) -> DataFrame:
+    """A CSV file with a header, every column a text.
+
+    With ``breaks`` quoted line breaks are kept, which makes a file one task; without, files are split. Where x and
+    y are named they must be columns (else ValueError) and become numbers, and rows without both are dropped.
+    """
+    df = spark.read.csv(path, header=True, inferSchema=False, multiLine=breaks, escape='"')
+    missing = [c for c in (x, y) if c and c not in df.columns]
+    if missing or bool(x) != bool(y):
+        raise ValueError(f"no such columns: {missing or [x, y]}")
+    return points_from(df, x, y) if x else df
 
 
 def read_zipped(spark: SparkSession, path: str, member: str | None, columns: list[str]) -> DataFrame:
@@ -41,15 +51,34 @@ def read_zipped(spark: SparkSession, path: str, member: str | None, columns: lis
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, schema)
 
 
-def read_geojson(spark: SparkSession, path: str) -> DataFrame:
-    """properties (map of texts), geometry_type, x, y for points, rings for polygons, of a feature collection."""
-    kind = T.StructType([T.StructField("features", T.ArrayType(T.StructType([T.StructField("properties", T.MapType(T.StringType(), T.StringType())), T.StructField("geometry", T.StructType([T.StructField("type", T.StringType()), T.StructField("coordinates", T.StringType())]))])))])
-    rows = spark.read.schema(kind).json(path, multiLine=True).select(F.explode("features").alias("f")).select("f.properties", F.col("f.geometry.type").alias("geometry_type"), F.col("f.geometry.coordinates").alias("c"))
-    point = F.from_json("c", "array<double>")
-    polygon = F.when(F.col("geometry_type") == "MultiPolygon", F.flatten(F.from_json("c", "array<array<array<array<double>>>>"))).when(F.col("geometry_type") == "Polygon", F.from_json("c", "array<array<array<double>>>"))
-    as_ring = lambda ring: F.transform(ring, lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
-    is_point = F.col("geometry_type") == "Point"
-    return rows.select("properties", "geometry_type", F.when(is_point, point[0]).alias("x"), F.when(is_point, point[1]).alias("y"), F.transform(polygon, as_ring).alias("rings"))
+def read_geojson(spark: SparkSession, path: str, per_line: bool = False) -> DataFrame:
+    """properties (map of texts), geometry_type, x, y for points, rings for polygons, lines for lines, of features.
+
+    A collection is one document and so one task; with ``per_line`` every line is a feature and files are split.
+    """
+    feature = T.StructType([T.StructField("properties", T.MapType(T.StringType(), T.StringType())), T.StructField("geometry", T.StructType([T.StructField("type", T.StringType()), T.StructField("coordinates", T.StringType())]))])
+    if per_line:
+        features = spark.read.schema(feature).json(path)
+    else:
+        features = spark.read.schema(T.StructType([T.StructField("features", T.ArrayType(feature))])).json(path, multiLine=True).select(F.explode("features").alias("f")).select("f.*")
+    rows = features.select("properties", F.col("geometry.type").alias("geometry_type"), F.col("geometry.coordinates").alias("c"))
+    kind, c = F.col("geometry_type"), F.col("c")
+    read = lambda depth: F.from_json(c, "array<" * depth + "double" + ">" * depth)
+    polygon = F.when(kind == "MultiPolygon", F.flatten(read(4))).when(kind == "Polygon", read(3))
+    line = F.when(kind == "MultiLineString", read(3)).when(kind == "LineString", F.array(read(2)))
+    as_points = lambda part: F.transform(part, lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
+    point = F.when(kind == "Point", read(1))
+    return rows.select("properties", "geometry_type", point[0].alias("x"), point[1].alias("y"), F.transform(polygon, as_points).alias("rings"), F.transform(line, as_points).alias("lines"))
+
+
+def read_layer(spark: SparkSession, path: str, schema: T.StructType, columns: list[str] | None = None, where: Column | None = None, box: tuple[float, float, float, float] | None = None) -> DataFrame:
+    """A layer, or an empty one where nothing was written yet: chosen columns of rows that hold and whose bbox meets a box."""
+    df = read_or_empty(spark, path, schema)
+    if box is not None:
+        b = F.col
+        df = df.where((b("bbox.xmin") <= box[2]) & (b("bbox.xmax") >= box[0]) & (b("bbox.ymin") <= box[3]) & (b("bbox.ymax") >= box[1]))
+    df = df if where is None else df.where(where)
+    return df.select(*columns) if columns else df
 
 
 def read_box(spark: SparkSession, path: str, box: tuple[float, float, float, float], columns: list[str]) -> DataFrame:
@@ -92,18 +121,18 @@ class Source:
     enabled: bool = True
     shape: Callable[[DataFrame], DataFrame] = field(default=lambda df: df)
     keep: Column | None = None
+    order: tuple[str, ...] = ()  # which row of a key comes first; by all columns that can be compared if none
 
     def state(self) -> str:
         """ready, disabled or not configured: a source without a path never gives made-up rows."""
         return "disabled" if not self.enabled else "ready" if self.path else "not configured"
 
     def standard(self, df: DataFrame) -> DataFrame:
-        """Mapped, filtered to the area, shaped, one row per key (the first by all its columns)."""
+        """Mapped, filtered to the area, shaped, one row per key: the first by ``order``, then by its other columns."""
         out = map_fields(df, self.fields, self.required).select(*self.fields)
         out = self.shape(out.where(self.keep) if self.keep is not None else out)
-        rest = [c for c in out.columns if c != self.key]
-        one = out.groupBy(self.key).agg(F.min(F.struct(*rest)).alias("lg")) if rest else out.distinct()
-        return one.select(self.key, "lg.*").withColumn("source_id", F.lit(self.ident)) if rest else one.withColumn("source_id", F.lit(self.ident))
+        compared = [f.name for f in out.schema if f.dataType.typeName() not in ("map", "variant") and f.name not in self.order]
+        return keep_first(out, [self.key], [F.col(c) for c in (*self.order, *compared)]).withColumn("source_id", F.lit(self.ident))
 
 
 def local_file(path: str | None, cached: str | None) -> str:

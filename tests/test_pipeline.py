@@ -11,7 +11,7 @@ from lotgrid.functions import rules, text
 from lotgrid.operators import areas, codes, geometry, graph, ranking
 from lotgrid.plans import pipeline
 from lotgrid.session import cut
-from lotgrid.sources import adapters, schema
+from lotgrid.sources import adapters, readers, schema
 
 # fixed values: how codes are written and which row of the table they mean
 LADDER = [("C4", "C-4", False), ("LC4", "C-4", True), ("UCR-R", "UCR-R", False), ("UCR", "UCR", False), ("LRR", "LRR", False), ("LRRR", "RRR", True), ("LR", "R", True), ("RURAL", "R", False), ("PUD8", "PUD", False), ("LUCRPD", "UCRPD", True), ("ARO", "AR-O", False), ("R2F", "R-2F", False)]
@@ -264,3 +264,53 @@ def test_steps_of_other_types_are_no_rows(spark):
     e = spark.createDataFrame([], T.StructType.fromDDL("id long, p_size int"))
     assert pipeline.screen_step(e, [(F.col("p_size") < 1, "x")], []).count() == 0
     assert geometry.hex_neighbours(spark.createDataFrame([], "q int, r int")).count() == 0
+
+
+def test_grid_without_holes(spark):
+    ring_ = [(q, r) for q in range(-2, 3) for r in range(-2, 3) if max(abs(q), abs(r), abs(q + r)) == 2]
+    df = spark.createDataFrame([*ring_, (9, 9)], "q int, r int")
+    got = {tuple(r) for r in geometry.without_holes(df).collect()}
+    assert got == {*ring_, (9, 9)} | {(q, r) for q in range(-1, 2) for r in range(-1, 2) if abs(q + r) <= 1}
+    assert geometry.without_holes(df.limit(0)).count() == 0
+
+
+def test_survey_sample(spark):
+    rows = [(i, "s" if i < 12 else "t", i % 4 == 0, float(100 - i), float(i), 0.0) for i in range(16)] + [(90, "s", False, 500.0, None, None)]
+    p = spark.createDataFrame(rows, "id long, stratum string, garage boolean, score double, x double, y double")
+    strata = spark.createDataFrame([("s", 4, 1), ("t", 1, 1)], "stratum string, n int, garages int")
+    manual = spark.createDataFrame([("s", 15)], "stratum string, id long")
+    got = {(r.stratum, r.id): (r.role, r["rank"]) for r in ranking.survey_sample(p, strata, manual, 2.0, 2).collect()}
+    want = {}
+    for s_, n, g in (("s", 4, 1), ("t", 1, 1)):
+        chosen = [next(r for r in rows if r[0] == 15)] if s_ == "s" else []
+        pool = sorted([r for r in rows if r[1] == s_], key=lambda r: (-r[3], r[0]))
+        for cands, limit in (([r for r in pool if r[2]], g), ([r for r in pool if not r[2]], n), (pool, n + 2)):
+            for r in cands:
+                if len(chosen) < limit and r not in chosen and all(r[4] is None or c[4] is None or abs(r[4] - c[4]) >= 2 for c in chosen):
+                    chosen.append(r)
+        want |= {(s_, r[0]): ("sample", k + 1) if k < n else ("backup", k + 1 - n) for k, r in enumerate(chosen)}
+    assert got == want
+
+
+def test_readers_split_and_lines(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,x,y\n1,2,3\n2,,3\n")
+    assert readers.read_csv(spark, str(tmp_path / "a.csv"), False, "x", "y").first().x == 2.0 and readers.read_csv(spark, str(tmp_path / "a.csv"), False, "x", "y").count() == 1
+    with pytest.raises(ValueError, match="no such columns"):
+        readers.read_csv(spark, str(tmp_path / "a.csv"), False, "x", "z")
+    one = {"type": "Feature", "properties": {"k": "v"}, "geometry": {"type": "LineString", "coordinates": [[0, 0], [1, 2]]}}
+    (tmp_path / "l.json").write_text(json.dumps(one) + "\n" + json.dumps(one | {"geometry": {"type": "Point", "coordinates": [5, 6]}}) + "\n")
+    got = {r.geometry_type: r for r in readers.read_geojson(spark, str(tmp_path / "l.json"), per_line=True).collect()}
+    assert [(p.x, p.y) for p in got["LineString"].lines[0]] == [(0.0, 0.0), (1.0, 2.0)] and got["Point"].x == 5.0 and got["Point"].lines is None
+    df = spark.createDataFrame([(1, "b", {"m": 1}), (1, "a", {"m": 2}), (2, None, None)], "id long, v string, m map<string,int>")
+    src = readers.Source("S", "p", {"id": "id", "v": "v", "m": "m"}, "id", order=("v",))
+    assert {(r.id, r.v) for r in src.standard(df).collect()} == {(1, "a"), (2, None)}
+    layer = spark.createDataFrame([(1, (0.0, 0.0, 1.0, 1.0)), (2, (5.0, 5.0, 6.0, 6.0))], "id long, bbox struct<xmin:double,ymin:double,xmax:double,ymax:double>")
+    layer.write.parquet(str(tmp_path / "layer"))
+    assert [r.id for r in readers.read_layer(spark, str(tmp_path / "layer"), layer.schema, ["id"], F.col("id") > 0, (4.0, 4.0, 9.0, 9.0)).collect()] == [2]
+    assert readers.read_layer(spark, str(tmp_path / "none"), layer.schema, ["id"]).count() == 0
+
+
+def test_shape_report(spark):
+    df = spark.createDataFrame([(1, [square(0, 0, 1)]), (1, [square(0, 0, 1)]), (2, None), (3, [ring((9, 9), (9, 9), (10, 9), (10, 10))])], f"id long, shape {areas.SHAPE}")
+    study = spark.createDataFrame([([square(0, 0, 2)],)], f"shape {areas.SHAPE}")
+    assert tuple(areas.shape_report(df, study, 5.0).first()) == (4, 1, 1, 1, 1)
