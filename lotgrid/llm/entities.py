@@ -256,21 +256,37 @@ def supplies(df: DataFrame) -> DataFrame:
     return _sided(describe(one, "uid", "name_u", "oper_u"), "u")
 
 
-def deletions(text: Column, most: int) -> Column:
-    """The strings that are left of a text after up to ``most`` (1 or 2) deletions, itself among them.
+def deletions(text: Column) -> Column:
+    """A text and the strings that one deletion leaves of it: texts at one edit or swap have one of them in common."""
+    return F.array_distinct(F.concat(F.array(text), F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.concat(F.substr(text, F.lit(1), i - 1), F.substr(text, i + 1)))))
 
-    Two texts at so many edits, a swap of neighbours counting as one, have one of these in common.
-    """
+
+def _third(n: Column, i: Column) -> Column:
+    return F.floor(n * i / 3).cast("int")
+
+
+def thirds(text: Column) -> Column:
+    """The three parts of a text, each with the text's length and its number: what probes() looks for."""
     n = F.length(text)
-    without = lambda i: F.concat(F.substr(text, F.lit(1), i - 1), F.substr(text, i + 1))
-    one = F.transform(F.sequence(F.lit(1), n), without)
-    if most == 1:
-        return F.array_distinct(F.concat(F.array(text), one))
-    pair = lambda i: F.when(i < n, F.transform(F.sequence(i + 1, n), lambda j: F.concat(F.substr(text, F.lit(1), i - 1), F.substr(text, i + 1, j - i - 1), F.substr(text, j + 1)))).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(F.array(text), one, F.flatten(F.transform(F.sequence(F.lit(1), n), pair))))
+    return F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.concat_ws("|", n.cast("string"), i.cast("string"), F.substr(text, _third(n, i) + 1, _third(n, i + 1) - _third(n, i))))
+
+
+def probes(text: Column) -> Column:
+    """The parts that a text at two edits or less can have: of two such edits one of three parts is free, and it
+    stands at most two places off. So a text whose thirds() have none of these in common is farther off, and
+    only the others need to be measured."""
+    n = F.length(text)
+    span = lambda a, b: F.sequence(F.lit(a) if isinstance(a, int) else a, F.lit(b) if isinstance(b, int) else b)
+
+    def at(length: Column, i: Column, shift: Column) -> Column:
+        start, size = _third(length, i) + shift, _third(length, i + 1) - _third(length, i)
+        return F.when((start >= 0) & (start + size <= n), F.concat_ws("|", length.cast("string"), i.cast("string"), F.substr(text, start + 1, size)))
+
+    every = F.transform(span(F.greatest(n - 2, F.lit(1)), n + 2), lambda length: F.flatten(F.transform(span(0, 2), lambda i: F.transform(span(-2, 2), lambda shift: at(length, i, shift)))))
+    return F.array_distinct(F.array_compact(F.flatten(every)))
 
 
-def blocks(df: DataFrame, side: str, ident: str, reach_m: float = 300.0, longest: int = 12) -> DataFrame:
+def blocks(df: DataFrame, side: str, ident: str, reach_m: float = 300.0) -> DataFrame:
     """ident, own, rule, key: every key under which a facility looks for partners. See candidates()."""
     own, op, area = F.col(f"own_{side}"), F.col(f"op_{side}"), F.col(f"area_{side}")
     vague = F.col(f"y_{side}").isNull() | (F.col(f"c_{side}") > reach_m / 2)
@@ -285,8 +301,9 @@ def blocks(df: DataFrame, side: str, ident: str, reach_m: float = 300.0, longest
         F.when(op != "", F.transform(f"paired_{side}", lambda h: key("operator", h, F.substring(op, 1, 4)))).otherwise(none),
         F.when(area.isNotNull(), F.transform(f"alone_{side}", lambda h: key("area", h, area))).otherwise(none),
         lost("name", F.col(f"alone_{side}")),
-        F.when(named, F.transform(deletions(own, 1), lambda d: key("edit", d))).otherwise(none),
-        F.when(named & (F.length(own) <= longest), lost("edits", deletions(own, 2))).otherwise(none),
+        F.when(named, F.transform(deletions(own), lambda d: key("edit", d))).otherwise(none),
+        F.when(named & (vague if side == "s" else F.lit(True)), F.transform(probes(own) if side == "s" else thirds(own), lambda x: key("edits", x, F.lit("s")))).otherwise(none),
+        F.when(named & (~vague if side == "s" else vague), F.transform(thirds(own) if side == "s" else probes(own), lambda x: key("edits", x, F.lit("u")))).otherwise(none),
     )
     return df.select(ident, own, F.explode(every).alias("k")).select(ident, f"own_{side}", F.col("k.rule").alias(f"rule_{side}"), F.col("k.key").alias("key"))
 
@@ -297,7 +314,7 @@ def candidates(s: DataFrame, u: DataFrame, reach_m: float = 300.0) -> DataFrame:
     Blocks: a shared map id; a place within reach; MinHash bands across attributes (the name with the operator,
     two rows of the name a band; with the area, three rows); own words at one edit or swap whatever else is
     said; and, where a side has no place or one too coarse for the reach, bands of the name alone (three rows) and
-    own words of up to twelve letters at two edits. Names that share a band must also be within about a
+    own words at two edits. Names that share a band must also be within about a
     third of their letters, tested before the pair is formed. All keys go through one join, in which
     one that many share is cut into stretches (salted_join()); none is left out.
     """

@@ -1,9 +1,9 @@
-import itertools
+import random
 from datetime import datetime
 
 import numpy as np
 
-from lotgrid.llm.entities import candidates, closeness, deletions, describe, fit_logistic, id_evidence, links, operator_state, osm_ids, samples, supplies, words
+from lotgrid.llm.entities import candidates, closeness, deletions, describe, fit_logistic, id_evidence, links, operator_state, osm_ids, probes, samples, supplies, thirds, words
 from pyspark.sql import functions as F
 
 T = datetime(2025, 1, 1)
@@ -43,12 +43,23 @@ def test_ids(spark):
     assert got == [["r12", "w3"], ["w4", "n5"], [], [], []]
 
 
-def test_short_names_with_a_swap_meet(spark):
-    rows = [("cigcik", "cigick"), ("reedrane", "reerdane"), ("ab", "a"), ("zzzzzz", "reedxxxx"), ("a", "a")]
-    df = spark.createDataFrame(rows, "a string, b string")
-    got = [tuple(r) for r in df.select(*[F.arrays_overlap(deletions(F.col("a"), k), deletions(F.col("b"), k)) for k in (1, 2)], F.size(deletions(F.col("a"), 2))).collect()]
-    assert [g[:2] for g in got] == [(True, True), (True, True), (True, True), (False, False), (True, True)]
-    assert got[1][2] == len({"".join(c) for k in range(3) for c in itertools.combinations("reedrane", 8 - k)})
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, c in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, e in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (c != e))
+    return row[-1]
+
+
+def test_names_at_few_edits_meet(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abc") for _ in range(rng.randrange(1, 9)))
+    rows = [("cigcik", "cigick"), ("reedrane", "reerdane"), ("ab", "a"), ("a", "b")] + [(word(), word()) for _ in range(3000)]
+    meet = spark.createDataFrame(rows, "a string, b string").select("a", "b", F.arrays_overlap(deletions(F.col("a")), deletions(F.col("b"))).alias("one"), F.arrays_overlap(probes(F.col("a")), thirds(F.col("b"))).alias("two")).collect()
+    near = [r for r in meet if edits(r.a, r.b) <= 2]
+    assert len(near) > 300 and all(r.two for r in near) and all(r.one for r in meet if edits(r.a, r.b) <= 1)
+    assert [r.one for r in meet[:2]] == [True, True]
 
 
 def test_logistic_recovers_weights():
