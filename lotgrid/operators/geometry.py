@@ -76,12 +76,20 @@ def _clip(subject: list, clip: list) -> float:
     return abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(out, [*out[1:], out[0]]))) / 2
 
 
+def _convex(ring: list) -> bool:
+    p = [(q["x"], q["y"]) for q in ring]
+    turns = {math.copysign(1, t) for a, b, c in zip(p, [*p[1:], p[0]], [*p[2:], *p[:2]]) if (t := (b[0] - a[0]) * (c[1] - b[1]) - (b[1] - a[1]) * (c[0] - b[0]))}
+    return len(turns) < 2
+
+
 def shared_area(a: Column, b: Column) -> Column:
-    """Area that two rings share, where the second is convex."""
+    """Area that two rings share: by clipping where the second is convex, by slabs where it is not."""
 
     @F.pandas_udf("double")
     def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([_clip(list(p), list(q)) for p, q in zip(x, y)], dtype=float)
+        from lotgrid.operators.areas import areas
+
+        return pd.Series([_clip(list(p), list(q)) if _convex(list(q)) else areas([list(p)], [list(q)])[2] for p, q in zip(x, y)], dtype=float)
 
     return run(a, b)
 
@@ -115,7 +123,7 @@ def with_bins(df: DataFrame, ring: str, size: float) -> DataFrame:
 
 
 def overlaps(left: DataFrame, right: DataFrame, size: float) -> DataFrame:
-    """id_a, id_b, shared of every two rings that share area. left: id_a, ring_a; right: id_b, ring_b (convex).
+    """id_a, id_b, shared of every two rings that share area. left: id_a, ring_a; right: id_b, ring_b.
 
     Bounding boxes meet in bins; a pair is kept only in the bin that holds the lower left corner of
     the common box, so no pair is tested twice and no distinct is needed.

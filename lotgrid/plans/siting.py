@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lotgrid.functions import text, units
-from lotgrid.operators import aggregates, geometry, graph, ranking
+from lotgrid.operators import aggregates, areas, geometry, graph, ranking
 from lotgrid.session import table
 
 QUERIES: dict = {}
@@ -150,10 +150,14 @@ def largest_component_share(s: SparkSession, d: str) -> DataFrame:
 
 @query(None)
 def dedupe_components(s: SparkSession, d: str) -> DataFrame:
-    """Rows only: an order-dependent merge; tests hold it against a plain union-find."""
-    p = table(s, d, "supplier").select("s_suppkey", (F.col("s_nationkey") % 5).alias("g"), F.when(F.col("s_suppkey") % 3 > 0, F.col("s_suppkey") % 3).alias("kind"))
-    pairs = p.select("g", F.col("s_suppkey").alias("a")).withColumn("b", F.lead("a").over(Window.partitionBy("g").orderBy("a"))).where("b is not null")
-    return graph.constrained_merge(p, pairs, "g", "s_suppkey", ["kind"])
+    """Rows only: an order-dependent merge of places close to each other; tests hold it against a plain union-find."""
+    k = F.col("s_suppkey")
+    p = table(s, d, "supplier").select("s_suppkey", F.when(k % 3 > 0, k % 3).alias("kind"))
+    near = geometry.within_radius(sites(s, d, "id_a"), sites(s, d, "id_b"), 9.0).where("id_a < id_b").select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+    labels = graph.components(p.select(k.alias("id")), near)
+    group = labels.select(F.col("id").alias("s_suppkey"), "component")
+    pairs = near.join(group.select(F.col("s_suppkey").alias("a"), F.col("component").alias("g")), "a").select("g", "a", "b")
+    return graph.constrained_merge(p.join(group, "s_suppkey").select("s_suppkey", "kind", F.col("component").alias("g")), pairs, "g", "s_suppkey", ["kind"])
 
 
 # scores
@@ -331,9 +335,10 @@ def curb_by_hex(s: SparkSession, d: str) -> DataFrame:
     return geometry.curb_by_cell(seg, met, F.col("x")).select("cell", F.col("feet").cast("long").alias("feet"))
 
 
-@query(None)
+@query("""WITH p AS (SELECT c_custkey * 17 % 211 AS x, c_custkey * 29 % 197 AS y FROM customer), f AS (SELECT (x * sqrt(3) / 3 - y / 3.0) / 12 AS q, y * 2 / 3.0 / 12 AS r FROM p), g AS (SELECT *, -q - r AS s, round_even(q, 0) AS rq, round_even(r, 0) AS rr, round_even(-q - r, 0) AS rs FROM f),
+h AS (SELECT *, abs(rq - q) AS dq, abs(rr - r) AS dr, abs(rs - s) AS ds FROM g) SELECT CASE WHEN dq > dr AND dq > ds THEN -rr - rs ELSE rq END::INT AS q, CASE WHEN dq > dr AND dq > ds THEN rr WHEN dr > ds THEN -rq - rs ELSE rr END::INT AS r, count(*) AS n FROM h GROUP BY 1, 2""")
 def hex_counts(s: SparkSession, d: str) -> DataFrame:
-    """Rows only: hexagon rounding; tests check that every point lies in its own cell."""
+    """Points per hexagon; tests check besides that every point lies in its own cell."""
     p = anchors(s, d)
     h = geometry.hex_cell(F.col("x"), F.col("y"), 12.0)
     return p.select(h.alias("h")).groupBy("h.q", "h.r").agg(F.count("*").alias("n"))
@@ -356,14 +361,14 @@ def conservation_check(s: SparkSession, d: str) -> DataFrame:
 
 @query(BOXES + "SELECT a.id AS a, b.id AS b FROM bx a JOIN bx b ON a.id < b.id AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1")
 def touching_parcels(s: SparkSession, d: str) -> DataFrame:
-    return geometry.touching(boxes(s, d).select("id", "ring"), 20.0)
+    return areas.close_shapes(boxes(s, d).select("id", F.array("ring").alias("shape")), 20.0)
 
 
-@query(None)
+@query(BOXES.replace("WITH bx", "WITH RECURSIVE bx") + ", e AS (SELECT a.id AS a, b.id AS b FROM bx a JOIN bx b ON a.id <> b.id AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1 JOIN part p ON p.p_partkey = a.id JOIN part q ON q.p_partkey = b.id AND p.p_brand = q.p_brand), r AS (SELECT id AS root, id FROM bx UNION SELECT r.root, e.b FROM r JOIN e ON r.id = e.a), m AS (SELECT id, min(root) AS site FROM r GROUP BY 1) SELECT site, count(*) AS n FROM m GROUP BY 1 HAVING count(*) > 1")
 def same_owner_sites(s: SparkSession, d: str) -> DataFrame:
-    """Rows only: touching parcels of one owner, joined to sites; the parts are tested one by one."""
+    """Touching parcels of one owner, joined to sites."""
     own = table(s, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("owner"))
-    pairs = geometry.touching(boxes(s, d).select("id", "ring"), 20.0)
+    pairs = areas.close_shapes(boxes(s, d).select("id", F.array("ring").alias("shape")), 20.0)
     same = pairs.join(own.select(F.col("id").alias("a"), F.col("owner").alias("oa")), "a").join(own.select(F.col("id").alias("b"), F.col("owner").alias("ob")), "b").where("oa = ob and oa <> ''").select("a", "b")
     return graph.components(own.select("id"), same).groupBy(F.col("component").alias("site")).agg(F.count("*").alias("n")).where("n > 1")
 

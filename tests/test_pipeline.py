@@ -104,6 +104,12 @@ def test_repair_and_points(spark):
     assert (line.x, line.y) == (2.0, 2.0)
 
 
+def test_shared_area_of_a_ring_that_is_not_convex(spark):
+    ell = ring((0, 0), (4, 0), (4, 2), (2, 2), (2, 4), (0, 4))
+    df = spark.createDataFrame([(square(1, 1, 2), ell), (square(2, 2, 2), ell), (square(1, 1, 2), square(0, 0, 2))], "a array<struct<x:double,y:double>>, b array<struct<x:double,y:double>>")
+    assert [round(r.s, 9) for r in df.select(geometry.shared_area(F.col("a"), F.col("b")).alias("s")).collect()] == [3.0, 0.0, 1.0]
+
+
 def test_grid_tiles(spark):
     full = [(q, r) for q in range(5) for r in range(5)]
     one = lambda cells: areas.tiling(spark.createDataFrame(cells, "q int, r int"), 30.0, 1.0).first()
