@@ -34,8 +34,8 @@ def _columns(row: Column, height: float) -> Column:
     return F.greatest(F.floor(F.lit(360.0 / height) * F.cos(F.radians(F.least(edge, F.lit(90.0))))), F.lit(1))
 
 
-def near_pairs(left: DataFrame, right: DataFrame, radius_m: float, rows: int = 4_000) -> DataFrame:
-    """id_l, id_r, dist_m of all pairs at most ``radius_m`` apart on the sphere.
+def near_pairs(left: DataFrame, right: DataFrame, radius_m: float, rows: int = 4_000, group: str | None = None) -> DataFrame:
+    """id_l, id_r, dist_m (and ``group``, where both sides have such a column and only equal ones meet) of all pairs at most ``radius_m`` apart on the sphere.
 
     left: id_l, lat, lon; right: id_r, lat, lon (both from positions()). Points on the right are hashed
     to one cell of a grid as high as the radius; each point on the left looks into the cells that its
@@ -46,17 +46,20 @@ def near_pairs(left: DataFrame, right: DataFrame, radius_m: float, rows: int = 4
     height = reach * 1.000001
     row_r = F.floor(F.col("lat") / F.lit(height))
     wide = lambda row: F.lit(360.0) / _columns(row, height)
-    cell = lambda row, col: F.xxhash64(row.cast("long"), col.cast("long"))
-    b = right.select("id_r", F.col("lat").alias("lat_r"), F.col("lon").alias("lon_r"), cell(row_r, F.floor((F.pmod(F.col("lon"), F.lit(360.0))) / wide(row_r))).alias("cell"))
-    around = left.select("id_l", F.col("lat").alias("lat_l"), F.col("lon").alias("lon_l"), F.explode(F.sequence(F.floor((F.col("lat") - reach) / F.lit(height)), F.floor((F.col("lat") + reach) / F.lit(height)))).alias("row"))
+    kept = [group] if group else []
+    cell = lambda row, col: F.xxhash64(row.cast("long"), col.cast("long"), *[F.col(g) for g in kept])
+    b = right.select("id_r", *[F.col(g).alias("lg_group") for g in kept], F.col("lat").alias("lat_r"), F.col("lon").alias("lon_r"), cell(row_r, F.floor((F.pmod(F.col("lon"), F.lit(360.0))) / wide(row_r))).alias("cell"))
+    around = left.select("id_l", *kept, F.col("lat").alias("lat_l"), F.col("lon").alias("lon_l"), F.explode(F.sequence(F.floor((F.col("lat") - reach) / F.lit(height)), F.floor((F.col("lat") + reach) / F.lit(height)))).alias("row"))
     ratio = F.lit(math.sin(radius_m / EARTH_M)) / F.cos(F.radians("lat_l"))
     dlon = F.when(ratio < 1, F.degrees(F.asin(ratio)) * 1.000001).otherwise(180.0)
     n = _columns(F.col("row"), height).cast("long")
     first = F.floor((F.col("lon_l") - dlon) / (F.lit(360.0) / n))
     last = F.least(F.floor((F.col("lon_l") + dlon) / (F.lit(360.0) / n)), first + n - 1)
-    a = around.select("id_l", "lat_l", "lon_l", "row", n.alias("n"), F.explode(F.sequence(first, last)).alias("col")).select("id_l", "lat_l", "lon_l", cell(F.col("row"), F.pmod(F.col("col"), F.col("n"))).alias("cell"))
+    a = around.select("id_l", *kept, "lat_l", "lon_l", "row", n.alias("n"), F.explode(F.sequence(first, last)).alias("col")).select("id_l", *kept, "lat_l", "lon_l", cell(F.col("row"), F.pmod(F.col("col"), F.col("n"))).alias("cell"))
     d = great_circle_m(F.col("lat_l"), F.col("lon_l"), F.col("lat_r"), F.col("lon_r"))
-    return salted_join(a, b, "cell", rows).withColumn("dist_m", d).where(F.col("dist_m") <= radius_m).select("id_l", "id_r", "dist_m")
+    met = salted_join(a, b, "cell", rows)
+    met = met.where(F.col(group) == F.col("lg_group")) if group else met
+    return met.withColumn("dist_m", d).where(F.col("dist_m") <= radius_m).select("id_l", "id_r", "dist_m", *kept)
 
 
 def rings(wkt: Column) -> Column:

@@ -26,14 +26,13 @@ def p2_snapshots(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, d: str, radius_m: float = 400.0) -> DataFrame:
     sample, venues, hospitals = (nearby.positions(table(spark, d, t), {"id": "rec_id"}) for t in ("round1_sample", "venues", "hospitals_cms"))
-
-    def pairs(kind: str, a: DataFrame, b: DataFrame) -> DataFrame:
-        found = nearby.near_pairs(a.withColumnRenamed("id", "id_l"), b.withColumnRenamed("id", "id_r"), radius_m)
-        return found.select(F.lit(kind).alias("kind"), F.least("id_l", "id_r").alias("id_a"), F.greatest("id_l", "id_r").alias("id_b"))
-
+    as_side = lambda df, name, *kinds: df.select(F.col("id").alias(name), "lat", "lon", F.explode(F.array(*map(F.lit, kinds))).alias("kind"))
+    left = as_side(sample, "id_l", "sample_venue", "sample_hospital").unionByName(as_side(venues, "id_l", "venue_hospital"))
+    right = as_side(venues, "id_r", "sample_venue").unionByName(as_side(hospitals, "id_r", "sample_hospital", "venue_hospital"))
+    near = nearby.near_pairs(left, right, radius_m, group="kind").select("kind", F.least("id_l", "id_r").alias("id_a"), F.greatest("id_l", "id_r").alias("id_b"))
     within = nearby.inside_regions(sample.withColumnRenamed("id", "id_p"), table(spark, d, "submarkets").select(F.col("submarket_id").alias("id_g"), "wkt"))
     within = within.select(F.lit("sample_submarket").alias("kind"), F.least("id_p", "id_g").alias("id_a"), F.greatest("id_p", "id_g").alias("id_b"))
-    return pairs("sample_venue", sample, venues).unionByName(pairs("sample_hospital", sample, hospitals)).unionByName(pairs("venue_hospital", venues, hospitals)).unionByName(within)
+    return near.unionByName(within)
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
