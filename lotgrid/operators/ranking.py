@@ -79,15 +79,16 @@ def spearman(df: DataFrame, by: str, a: str, b: str, least: int = 3) -> DataFram
     return ranked.groupBy(by).agg(F.count("*").alias("n"), F.when(varied, F.corr("lg_rx", "lg_ry")).alias("rho"))
 
 
-def bounds(df: DataFrame, value: str, low: float = 0.05, high: float = 0.95) -> DataFrame:
-    """lo, hi: the exact linear-interpolation percentiles between which values are winsorised; one row.
+def all_bounds(long: DataFrame, name: str, value: str, low: float = 0.05, high: float = 0.95) -> DataFrame:
+    """name, lo, hi: per name the exact linear-interpolation percentiles between which its values are winsorised.
 
     The order statistics are found among running counts over ranges of the distinct values: no task
-    holds more than its range.
+    holds more than its range. Names are few. Null and NaN values do not count; a name without others gets no row.
     """
-    known = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
-    upto = in_order(known.groupBy(value).agg(F.count("*").alias("lg_n")), [], [(value, False)], "lg_upto", "lg_n")
-    at = upto.join(F.broadcast(known.agg(F.count("*").alias("lg_all"))), F.lit(True))
+    known = long.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    counts = cut(known.groupBy(name, value).agg(F.count("*").alias("lg_n")), "counts")
+    upto = in_order(counts, [name], [(value, False)], "lg_upto", "lg_n")
+    at = upto.join(F.broadcast(counts.groupBy(name).agg(F.sum("lg_n").alias("lg_all"))), name)  # one row per name
     v = F.col(value).cast("double")
 
     def quantile(p: float) -> Column:
@@ -96,15 +97,33 @@ def bounds(df: DataFrame, value: str, low: float = 0.05, high: float = 0.95) ->
         below, above, part = held(F.floor(place)), held(F.ceil(place)), F.max(place - F.floor(place))
         return below + (above - below) * part
 
-    return at.agg(quantile(low).alias("lo"), quantile(high).alias("hi"))
+    return at.groupBy(name).agg(quantile(low).alias("lo"), quantile(high).alias("hi"))
+
+
+def bounds(df: DataFrame, value: str, low: float = 0.05, high: float = 0.95) -> DataFrame:
+    """lo, hi of all_bounds() for one column; one row, null without values."""
+    return all_bounds(df.select(F.lit("v").alias("name"), value), "name", value, low, high).agg(F.max("lo").alias("lo"), F.max("hi").alias("hi"))
+
+
+def normalise_all(df: DataFrame, columns: dict[str, tuple[str, bool]], low: float = 0.05, high: float = 0.95, constant: float = 50.0) -> DataFrame:
+    """df with each column ({out: (column, whether a cost)}) as 0 to 100 between its percentiles, inverted for costs.
+
+    Missing values and constant columns are ``constant``. The percentiles of all columns are found in one pass over df.
+    """
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(out).alias("name"), F.col(c).cast("double").alias("v")) for out, (c, _) in columns.items()])).alias("s")).select("s.*")
+    q = all_bounds(long, "name", "v", low, high)
+    one = F.broadcast(q.agg(*[F.max(F.when(F.col("name") == out, F.col(side))).alias(f"lg_{side}_{i}") for i, out in enumerate(columns) for side in ("lo", "hi")]))  # one row
+    got = df.join(one, F.lit(True), "left")
+    for i, (out, (c, cost)) in enumerate(columns.items()):
+        lo, hi = F.col(f"lg_lo_{i}"), F.col(f"lg_hi_{i}")
+        x = (F.least(F.greatest(F.col(c), lo), hi) - lo) / F.nullif(hi - lo, F.lit(0.0)) * 100.0
+        got = got.withColumn(out, F.coalesce(F.when(F.col(c).isNotNull(), 100.0 - x if cost else x), F.lit(constant)))
+    return got.drop(*[f"lg_{side}_{i}" for i in range(len(columns)) for side in ("lo", "hi")])
 
 
 def normalise(df: DataFrame, value: str, out: str, cost: bool = False, low: float = 0.05, high: float = 0.95, constant: float = 50.0) -> DataFrame:
-    """0 to 100 between the percentiles, inverted for costs; missing or constant is ``constant``."""
-    q = F.broadcast(bounds(df, value, low, high))  # one row
-    x = (F.least(F.greatest(F.col(value), F.col("lo")), F.col("hi")) - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)) * 100.0
-    x = 100.0 - x if cost else x
-    return df.join(q, F.lit(True), "left").withColumn(out, F.coalesce(F.when(F.col(value).isNotNull(), x), F.lit(constant))).drop("lo", "hi")
+    """normalise_all() of one column."""
+    return normalise_all(df, {out: (value, cost)}, low, high, constant)
 
 
 def composite(scores: DataFrame, weights: DataFrame) -> DataFrame:

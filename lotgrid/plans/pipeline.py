@@ -92,9 +92,7 @@ def screen_step(sites: DataFrame, hard: list[tuple[Column, str]], soft: list[tup
 
 def criteria_step(sites: DataFrame, criteria: dict[str, bool]) -> DataFrame:
     """id, criterion, score: every criterion of every site between 0 and 100, costs turned over. criteria: column, whether a cost."""
-    out = sites
-    for c, cost in criteria.items():
-        out = ranking.normalise(out, c, f"lg_{c}", cost)
+    out = ranking.normalise_all(sites, {f"lg_{c}": (c, cost) for c, cost in criteria.items()})
     return out.select("id", F.explode(F.array(*[F.struct(F.lit(c).alias("criterion"), F.col(f"lg_{c}").alias("score")) for c in criteria])).alias("s")).select("id", "s.*")
 
 

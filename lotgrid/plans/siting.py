@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lotgrid.functions import text, units
 from lotgrid.operators import aggregates, areas, geometry, graph, ranking
-from lotgrid.session import table
+from lotgrid.session import cut, table
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -167,9 +167,7 @@ def scores(s: SparkSession, d: str) -> DataFrame:
     p = table(s, d, "part").select("p_partkey", "p_retailprice", F.col("p_size").cast("double").alias("p_size"))
     use = table(s, d, "lineitem").groupBy("l_partkey").agg(F.sum("l_quantity").alias("q"))
     p = p.join(use, F.col("p_partkey") == F.col("l_partkey"), "left").select("p_partkey", "p_retailprice", "p_size", F.coalesce("q", F.lit(0.0)).alias("q"))
-    p = ranking.normalise(p, "p_retailprice", "price", cost=True)
-    p = ranking.normalise(p, "p_size", "size")
-    p = ranking.normalise(p, "q", "use")
+    p = ranking.normalise_all(cut(p, "parts"), {"price": ("p_retailprice", True), "size": ("p_size", False), "use": ("q", False)})
     return p.select(F.col("p_partkey").alias("id"), "price", "size", "use").unpivot(["id"], ["price", "size", "use"], "criterion", "score")
 
 
