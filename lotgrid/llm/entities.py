@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -94,17 +95,14 @@ def _signature(own: str, seeds: np.ndarray) -> np.ndarray:
     return ((h[None, :] ^ (h[None, :] >> np.uint64(29))) * seeds[:, None]).min(axis=1)
 
 
-DESCRIBED = "own string, own_words array<string>, sides array<string>, places array<string>, kinds array<string>, op string, op_words array<string>, alone array<long>, paired array<long>"
+DESCRIBED = "own string, own_words array<string>, sides array<string>, places array<string>, kinds array<string>, op string, op_words array<string>"
 
 
-def describe(df: DataFrame, ident: str, name: str, operator: str, seed: int = 17) -> DataFrame:
+def describe(df: DataFrame, ident: str, name: str, operator: str) -> DataFrame:
     """df with the parts of its names and operators (DESCRIBED), one pass over the facilities.
 
-    A name "operator - place" also names the operator. alone and paired are hashes of the MinHash bands of the
-    own words: empty without own words.
+    A name "operator - place" also names the operator.
     """
-    n = ALONE * 3 + WITH * 2
-    seeds = np.random.default_rng(seed).integers(1, 2**61 - 1, n, dtype=np.uint64) | np.uint64(1)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -115,13 +113,7 @@ def describe(df: DataFrame, ident: str, name: str, operator: str, seed: int = 17
                     op = op or head
                 own, sides, places, kinds = words(title)
                 key = (operator_key(op) or re.sub(r"[^a-z]", "", op.lower())) if op else ""
-                joined = own.replace(" ", "")
-                alone, paired = [], []
-                if joined:
-                    low = _signature(joined, seeds)
-                    alone = [hash((k, *row)) for k, row in enumerate(low[: ALONE * 3].reshape(ALONE, 3).tolist())]
-                    paired = [hash((k, *row)) for k, row in enumerate(low[ALONE * 3 :].reshape(WITH, 2).tolist())]
-                rows.append((i, joined, own.split(), sorted(sides), sorted(places), sorted(kinds), key, sorted(set(re.findall(r"[a-z]{4,}", (op or "").lower()))), alone, paired))
+                rows.append((i, own.replace(" ", ""), own.split(), sorted(sides), sorted(places), sorted(kinds), key, sorted(set(re.findall(r"[a-z]{4,}", (op or "").lower())))))
             yield pd.DataFrame(rows, columns=["i", *(c.split()[0] for c in DESCRIBED.split(", "))])
 
     kind = dict(df.dtypes)[ident]
@@ -129,6 +121,24 @@ def describe(df: DataFrame, ident: str, name: str, operator: str, seed: int = 17
     return df.join(parts.withColumnRenamed("i", ident), ident)
 
 
+def banded(df: DataFrame, side: str, least: int = 1, seed: int = 17) -> DataFrame:
+    """df with alone and paired: hashes of the MinHash bands of own words of ``least`` letters or more, empty for all others."""
+    n = ALONE * 3 + WITH * 2
+    seeds = np.random.default_rng(seed).integers(1, 2**61 - 1, n, dtype=np.uint64) | np.uint64(1)
+
+    @F.pandas_udf("alone array<long>, paired array<long>")
+    def bands(own: pd.Series) -> pd.DataFrame:
+        alone, paired = [], []
+        for x in own:
+            low = _signature(x, seeds) if len(x) >= max(least, 1) else None
+            alone.append([] if low is None else [hash((k, *row)) for k, row in enumerate(low[: ALONE * 3].reshape(ALONE, 3).tolist())])
+            paired.append([] if low is None else [hash((k, *row)) for k, row in enumerate(low[ALONE * 3 :].reshape(WITH, 2).tolist())])
+        return pd.DataFrame({"alone": alone, "paired": paired})
+
+    both = df.withColumn("lg_bands", bands(F.col(f"own_{side}")))
+    return both.select(*df.columns, F.col("lg_bands.alone").alias(f"alone_{side}"), F.col("lg_bands.paired").alias(f"paired_{side}"))
+
+
 def edits(a: Column, b: Column, sorted_a: Column, sorted_b: Column) -> Column:
     """Edits between two short texts; a swap of two letters counts once, as the sorted letters show."""
     lev = F.levenshtein(a, b)
@@ -198,16 +208,17 @@ def log_odds(weights: np.ndarray, scale: tuple[float, float]) -> Column:
     return F.least(F.greatest(z, F.lit(-30.0)), F.lit(30.0))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.3, rounds: int = 40) -> np.ndarray:
-    """Weights (the last one is the intercept) of a ridge logistic regression, by Newton's method."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.3, rounds: int = 40, counts: np.ndarray | None = None) -> np.ndarray:
+    """Weights (the last one is the intercept) of a ridge logistic regression of rows that count so many times, by Newton's method."""
     x = np.hstack([x, np.ones((len(x), 1))])
+    counts = np.ones(len(x)) if counts is None else counts
     w = np.zeros(x.shape[1])
     ridge = np.full(x.shape[1], l2)
     ridge[-1] = 1e-6
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (p - y) + ridge * w
-        h = (x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge)
+        g = x.T @ (counts * (p - y)) + ridge * w
+        h = (x * (counts * p * (1 - p))[:, None]).T @ x + np.diag(ridge)
         step = np.linalg.solve(h, g)
         w = w - step * min(1.0, 5.0 / (np.abs(step).max() + 1e-12))
         if np.abs(step).max() < 1e-6:
@@ -308,6 +319,18 @@ def blocks(df: DataFrame, side: str, ident: str, reach_m: float = 300.0) -> Data
     return df.select(ident, own, F.explode(every).alias("k")).select(ident, f"own_{side}", F.col("k.rule").alias(f"rule_{side}"), F.col("k.key").alias("key"))
 
 
+def alike() -> Column:
+    """Whether two own words are within two edits or about a third of their letters: what any pair by name must be."""
+    return (F.length("own_s") > 0) & (F.length("own_u") > 0) & (F.levenshtein("own_s", "own_u") <= F.greatest(F.lit(2), F.floor(F.greatest(F.length("own_s"), F.length("own_u")) * 0.3)))
+
+
+def by_place(s: DataFrame, u: DataFrame, reach_m: float, *group: str) -> DataFrame:
+    """sid, uid of facilities whose places, as written, are within reach (and of one group)."""
+    left = u.where("y_u is not null").select(F.col("uid").alias("id_l"), F.col("y_u").alias("lat"), F.col("x_u").alias("lon"), *group)
+    right = s.where("y_s is not null").select(F.col("sid").alias("id_r"), F.col("y_s").alias("lat"), F.col("x_s").alias("lon"), *group)
+    return near_pairs(left, right, reach_m, group=group[0] if group else None).select(F.col("id_r").alias("sid"), F.col("id_l").alias("uid"))
+
+
 def candidates(s: DataFrame, u: DataFrame, reach_m: float = 300.0) -> DataFrame:
     """sid, uid of every pair worth comparing: every facility enters every block that its fields allow.
 
@@ -317,49 +340,218 @@ def candidates(s: DataFrame, u: DataFrame, reach_m: float = 300.0) -> DataFrame:
     own words at two edits. Names that share a band must also be within about a
     third of their letters, tested before the pair is formed. All keys go through one join, in which
     one that many share is cut into stretches (salted_join()); none is left out.
+
+    Names repeat, so these pairs grow with the product of both tables. score() therefore forms them of a
+    part of the facilities only, to learn from, and of all facilities those alone that can be a link.
+    """
+    s, u = banded(s, "s"), banded(u, "u")
+    near = F.when(F.col("rule_s") == "id", True).when(F.col("rule_s").isin("edit", "edits"), F.levenshtein("own_s", "own_u") <= 2).otherwise(alike())
+    by_key = salted_join(blocks(s, "s", "sid", reach_m), blocks(u, "u", "uid", reach_m), "key", probe=("sid", "uid", 16)).where((F.col("rule_s") == F.col("rule_u")) & near).select("sid", "uid")
+    return cut(by_key.unionByName(by_place(s, u, reach_m)).distinct(), "candidates")
+
+
+#: Metres from which on a place of two decimals is not just coarse but far, and how coarse it is.
+COARSE_M, FAR_M = 790.0, 200.0
+
+
+def close_pairs(s: DataFrame, u: DataFrame, reach_m: float = 300.0) -> DataFrame:
+    """sid, uid of the pairs that share a map id, are within reach, or may be so as one place is coarse and their names are alike.
+
+    Every pair of candidates() that is not among them is far off, or has a side without a place.
+    """
+    ids = lambda df, i, x: df.select(i, F.explode(f"ids_{x}").alias("key"))
+    by_id = salted_join(ids(s, "sid", "s"), ids(u, "uid", "u"), "key").select("sid", "uid")
+    right = s.withColumn("met", F.lit("u")).unionByName(s.where(F.col("c_s") > reach_m / 2).withColumn("met", F.lit("s")))  # which side is coarse
+    rough = by_place(right, u.withColumn("met", F.when(F.col("c_u") > reach_m / 2, "u").otherwise("s")), COARSE_M + FAR_M, "met")
+    rough = rough.join(s.select("sid", "own_s"), "sid").join(u.select("uid", "own_u"), "uid").where(alike()).select("sid", "uid")
+    return cut(by_id.unionByName(by_place(s, u, reach_m)).unionByName(rough).distinct(), "close")
+
+
+#: What the features say about a pair, one value of each line: all that pair_features() can give.
+STATES = {
+    "word": ("same", "near", "other", "none"), "side": ("same", "other", ""), "place": ("same", "other", ""), "kind": ("other", ""), "op": ("same", "other", "none"),
+    "dist": ("d30", "d60", "d100", "d200", "dfar", "dnone"), "type": ("same", "other", ""), "area": ("same", "other", ""), "coarse": (True, False), "mirrored": (True, False),
+}
+
+
+@functools.cache
+def states() -> tuple[pd.DataFrame, np.ndarray]:
+    """Every combination of STATES, and its packed features."""
+    rows, bits = [], []
+    for values in itertools.product(*STATES.values()):
+        x = dict(zip(STATES, values))
+        named = x["word"] in ("same", "near")
+        if x["side"] and not named:
+            continue
+        held = {f"{k}_{x[k]}" for k in ("word", "side", "place", "kind", "op", "type", "area") if x[k]} | {x["dist"]} | {k for k in ("coarse", "mirrored") if x[k]}
+        held |= {"close"} if x["dist"] in ("d30", "d60", "d100") else {"far"} if x["dist"] in ("d200", "dfar") else set()
+        held |= {"twin"} if named and (x["side"] == "other" or x["kind"]) else set()
+        rows.append(values)
+        bits.append(sum(1 << BASE.index(k) for k in held))
+    return pd.DataFrame(rows, columns=[*STATES]), np.array(bits, np.int64)
+
+
+def demands(weights: np.ndarray, scale: tuple[float, float], dist: str, word: tuple[str, ...]) -> set[str] | None:
+    """The features that are "same" in all pairs at this distance, with such names and without a shared map id, whose log odds
+    reach 0; None if no such pair does.
     """
-    lev, longer = F.levenshtein("own_s", "own_u"), F.greatest(F.length("own_s"), F.length("own_u"))
-    alike = F.when(F.col("rule_s") == "id", True).when(F.col("rule_s").isin("edit", "edits"), lev <= 2).otherwise(lev <= F.greatest(F.lit(2), F.floor(longer * 0.3)))
-    by_key = salted_join(blocks(s, "s", "sid", reach_m), blocks(u, "u", "uid", reach_m), "key", probe=("sid", "uid", 16)).where((F.col("rule_s") == F.col("rule_u")) & alike).select("sid", "uid")
-    left = u.where("y_u is not null").select(F.col("uid").alias("id_l"), F.col("y_u").alias("lat"), F.col("x_u").alias("lon"))
-    right = s.where("y_s is not null").select(F.col("sid").alias("id_r"), F.col("y_s").alias("lat"), F.col("x_s").alias("lon"))
-    by_place = near_pairs(left, right, reach_m).select(F.col("id_r").alias("sid"), F.col("id_l").alias("uid"))
-    return cut(by_key.unionByName(by_place).distinct(), "candidates")
+    every, bits = states()
+    z = (unpacked(bits) @ weights[:-1] + weights[-1]) * scale[0] + scale[1]
+    some = every[(z >= -1e-6) & (every["dist"] == dist).to_numpy() & every["word"].isin(word).to_numpy()]
+    return {k for k in ("side", "place", "op", "type", "area") if set(some[k]) == {"same"}} if len(some) else None
+
+
+def same_operators(s: DataFrame, u: DataFrame, most: int = 500) -> dict[str, list[str]] | None:
+    """The operators of s that are the same as one of u; None where a table names more than ``most``.
+
+    That shapes the plan and never the result: operators are compared in pair_features() in any case.
+    """
+    named = [df.where(f"op_{x} <> ''").select(f"op_{x}", f"op_words_{x}").distinct().limit(most + 1).collect() for df, x in ((s, "s"), (u, "u"))]
+    if max(map(len, named)) > most:
+        return None
+    a, b = (s.sparkSession.createDataFrame(rows, f"op_{x} string, op_words_{x} array<string>").coalesce(1) for rows, x in zip(named, "su"))
+    like: dict[str, list[str]] = {}
+    for r in a.crossJoin(b).where(operator_state(F.col("op_s"), F.col("op_u"), F.col("op_words_s"), F.col("op_words_u")) == "same").select("op_s", "op_u").distinct().collect():
+        like.setdefault(r.op_u, []).append(r.op_s)
+    return like
+
+
+def _parts(text: str) -> list[str]:
+    n = len(text)
+    return [f"{n}|{i}|{text[n * i // 3 : n * (i + 1) // 3]}" for i in range(3)]
+
+
+def _probed(text: str) -> set[str]:
+    n, out = len(text), set()
+    for length in range(max(n - 2, 1), n + 3):
+        for i in range(3):
+            start, size = length * i // 3, length * (i + 1) // 3 - length * i // 3
+            out |= {f"{length}|{i}|{text[start + k : start + k + size]}" for k in range(-2, 3) if start + k >= 0 and start + k + size <= n}
+    return out
+
+
+def far_keys(df: DataFrame, side: str, ident: str, plans: list[tuple[str, int, set[str]]], like: dict[str, list[str]] | None, reach_m: float = 300.0, seed: int = 17) -> DataFrame:
+    """ident, own, key: the keys of candidates() under which a facility meets those that are far off (dist dfar) or without a place (dnone).
+
+    plans: dist, least and what must be the "same" in a link and so is part of each key. Names of ``least`` letters or more
+    have all keys of candidates() (see deletions(), thirds() and probes()); shorter ones those of one edit or of the
+    same letters, which is all that word_same leaves them, also in one of several words.
+    """
+    seeds = np.random.default_rng(seed).integers(1, 2**61 - 1, ALONE * 3 + WITH * 2, dtype=np.uint64) | np.uint64(1)
+    shortest = min(least for _, least, _ in plans)
+
+    def keys_of(own: str, several: list[str], sides: list[str], places: list[str], op: str, kind: str | None, area: str | None, lost: bool, rough: bool) -> set[str]:
+        texts = {own} | {w for w in several if len(several) > 1 and len(w) > 4}
+        short = {t[:i] + t[i + 1 :] for t in texts for i in range(len(t))} | texts | {f"={''.join(sorted(t))}" for t in texts}
+        banded, out = [], set()
+        if len(own) >= shortest:
+            low = _signature(own, seeds)
+            alone = [f"{k}:{row}" for k, row in enumerate(low[: ALONE * 3].reshape(ALONE, 3).tolist())]
+            banded = [f"o{k}:{row}{op[:4]}" for k, row in enumerate(low[ALONE * 3 :].reshape(WITH, 2).tolist())] if op else []
+            banded += [f"a{b}{area}" for b in alone] if area is not None else []
+        for at, (dist, least, same) in enumerate(plans):
+            if dist == "dfar" and lost or "type" in same and kind is None or "area" in same and area is None:
+                continue
+            vague = lost if dist == "dnone" else rough
+            by_vague = ("TF" if vague else "T") if side == "u" else "T" if vague else "F"  # a vague sample meets all supplies, the others only vague ones
+            found = short
+            if len(own) >= least:
+                if (side == "u") or vague:
+                    found = found | {f"s{x}" for x in (_probed(own) if side == "s" else _parts(own))}
+                if (side == "s") != vague:
+                    found = found | {f"u{x}" for x in (_parts(own) if side == "s" else _probed(own))}
+                found = found | set(banded)
+            met = {f"{m}{x}" for x in found for m in (by_vague if dist == "dnone" else "-")} | {f"{m}n{b}" for b in (alone if len(own) >= least else ()) for m in by_vague}
+            fixed = [str(at), kind if "type" in same else "", area if "area" in same else "", " ".join(sides) if "side" in same else ""]
+            ops = [""] if "op" not in same else [op] if side == "s" else like.get(op, [])
+            out |= {"\t".join((*fixed, place, o, x)) for place in (places if "place" in same else [""]) for o in ops if o or "op" not in same for x in met}
+        return out
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            i, own, key = [], [], []
+            for ident_, *about in frame.itertuples(index=False, name=None):
+                for k in keys_of(*about):
+                    i.append(ident_), own.append(about[0]), key.append(k)
+            yield pd.DataFrame({"i": i, "own": own, "key": key})
+
+    some = df.where(F.length(f"own_{side}") > 0).select(ident, *(f"{c}_{side}" for c in ("own", "own_words", "sides", "places", "op", "type", "area")), F.col(f"y_{side}").isNull().alias("lost"), (F.col(f"c_{side}") > reach_m / 2).alias("rough"))
+    return some.mapInPandas(run, f"i {dict(df.dtypes)[ident]}, own string, key string").select(F.col("i").alias(ident), F.col("own").alias(f"own_{side}"), F.xxhash64("key").alias("key"))
+
+
+def far_pairs(s: DataFrame, u: DataFrame, weights: np.ndarray, scale: tuple[float, float]) -> DataFrame | None:
+    """sid, uid of every pair by name that is far off or has a side without a place, and can be a link under these weights.
+
+    demands() says what all such pairs have in common. That narrows the keys, so the work follows the pairs that
+    agree in all of it and not those whose names are alike; no possible link is left out.
+    """
+    like, plans = same_operators(s, u), []
+    for dist in ("dfar", "dnone"):
+        for word, least in ((("same",), 10), (("near", "other"), 1)):  # of names of up to 11 letters, word_same allows one edit
+            same = demands(weights, scale, dist, word)
+            if same is not None:
+                plans.append((dist, least, same - {"op"} if like is None else same))
+    if not plans:
+        return None
+    a, b = far_keys(s, "s", "sid", plans, like), far_keys(u, "u", "uid", plans, like)
+    return salted_join(cut(a, "keys"), cut(b, "keys"), "key").where(alike()).select("sid", "uid").distinct()
+
+
+def _told(pairs: DataFrame, s: DataFrame, u: DataFrame) -> DataFrame:
+    """What score() needs of each pair, written."""
+    kinds = {"sid": dict(s.dtypes)["sid"], "uid": dict(u.dtypes)["uid"]}
+    both = pairs.join(s, "sid").join(u, "uid").withColumns({"shared": F.arrays_overlap("ids_s", "ids_u"), "has_ids": F.size("ids_u") > 0, "both_ids": (F.size("ids_u") > 0) & (F.size("ids_s") > 0)})
+    return pair_features(both).select(F.col("sid").cast(kinds["sid"]), F.col("uid").cast(kinds["uid"]), *(c for c in ("far",) if c in pairs.columns), "shared", "has_ids", "both_ids", "bits")
 
 
 def score(s: DataFrame, u: DataFrame, train_rows: int = 40_000, seed: int = 11) -> tuple[DataFrame, list[tuple[float, float, int]]]:
-    """sid, uid, confidence of every candidate pair, and a calibration table of the held-out labels.
+    """sid, uid, confidence of every candidate pair that is close, and of the others that reach 0.5; and a calibration table of the held-out labels.
 
     Weak labels come from map ids, which the classifier never sees: pairs that share one are positive,
     the other candidates of the same supply facility negative, and so are all candidates of supply
     facilities whose ids no sample has. A ridge logistic regression is fitted on two thirds of at
     most ``train_rows`` labelled pairs (a documented bound; everything else covers all rows), and its
-    scores are calibrated on the rest by a second, one-dimensional regression. The ids then count as
+    scores are calibrated on the rest by a second, one-dimensional regression. Half of them are drawn from
+    close_pairs(), half from the other candidates() of train_rows / 5 facilities a side, and each
+    counts as many times as there are such pairs for one drawn. The ids then count as
     one more piece of evidence: how much more often matches share an id than other pairs is estimated
     from the scores themselves (expectation maximisation over a histogram of them), and the odds are
     multiplied by that ratio, or by that of not sharing one. Without labels of both kinds prior weights
-    are used. The table has, per tenth of the held-out probabilities: their mean, the share of
-    true labels, and how many.
+    are used. Which pairs far_pairs() has to form follows from the weights. The table has, per tenth of the
+    held-out probabilities: their mean, the share of true labels, and how many were drawn.
     """
-    kinds = {"sid": dict(s.dtypes)["sid"], "uid": dict(u.dtypes)["uid"]}
-    pairs = candidates(s, u).join(s, "sid").join(u, "uid").withColumns({"shared": F.arrays_overlap("ids_s", "ids_u"), "has_ids": F.size("ids_u") > 0, "both_ids": (F.size("ids_u") > 0) & (F.size("ids_s") > 0)})
-    scored = cut(pair_features(pairs).select(F.col("sid").cast(kinds["sid"]), F.col("uid").cast(kinds["uid"]), "shared", "has_ids", "both_ids", "bits"), "pairs")
-    drawn = scored.where("has_ids").orderBy(F.xxhash64("sid", "uid", F.lit(seed))).limit(train_rows).select("bits", F.col("shared").cast("int").alias("y")).toPandas()  # at most train_rows rows of two numbers
+    close, labelled = close_pairs(s, u), u.where(F.size("ids_u") > 0)
+    some = lambda df, i: cut(df.orderBy(F.xxhash64(i, F.lit(seed)), i).limit(train_rows // 5), "drawn")
+    part_s, part_u = some(s, "sid"), some(labelled, "uid")
+    of_all = s.count() / max(part_s.count(), 1) * labelled.count() / max(part_u.count(), 1)
+    far = candidates(part_s, part_u).join(close, ["sid", "uid"], "left_anti")
+    told = cut(_told(close.withColumn("far", F.lit(False)).unionByName(far.withColumn("far", F.lit(True))), s, u), "pairs")
+    near, draws = told.where("not far"), []
+    for df, each in ((near.where("has_ids"), 1.0), (told.where("far"), of_all)):
+        drawn = df.select(F.xxhash64("sid", "uid", F.lit(seed)).alias("h"), "bits", "both_ids", F.col("shared").cast("int").alias("y")).orderBy("h").limit(train_rows // 2).toPandas()  # at most train_rows / 2 rows of four numbers
+        draws.append(drawn.assign(n=each * df.count() / max(len(drawn), 1)))
+    drawn = pd.concat(draws, ignore_index=True).sort_values("h")
     weights, scale, table = prior_weights(), (1.0, 0.0), []
     if len(drawn) > 50 and drawn["y"].nunique() == 2:
-        x, y = unpacked(drawn["bits"].to_numpy(np.int64)), drawn["y"].to_numpy(float)
+        x, y, n = unpacked(drawn["bits"].to_numpy(np.int64)), drawn["y"].to_numpy(float), drawn["n"].to_numpy(float)
         held = np.arange(len(y)) % 3 == 2
-        weights = fit_logistic(x[~held], y[~held])
+        weights = fit_logistic(x[~held], y[~held], counts=n[~held])
         z = x[held] @ weights[:-1] + weights[-1]
         if len(set(y[held])) == 2:
-            platt = fit_logistic(z[:, None], y[held], l2=1e-3)
+            platt = fit_logistic(z[:, None], y[held], l2=1e-3, counts=n[held])
             scale = (float(platt[0]), float(platt[1]))
         p = 1 / (1 + np.exp(-np.clip(z * scale[0] + scale[1], -30, 30)))
         tenth = np.minimum((p * 10).astype(int), 9)
-        table = [(float(p[tenth == k].mean()), float(y[held][tenth == k].mean()), int((tenth == k).sum())) for k in range(10) if (tenth == k).any()]
-    rated = scored.select("sid", "uid", "shared", "both_ids", log_odds(weights, scale).alias("z"))
+        table = [(float(np.average(p[tenth == k], weights=n[held][tenth == k])), float(np.average(y[held][tenth == k], weights=n[held][tenth == k])), int((tenth == k).sum())) for k in range(10) if (tenth == k).any()]
+    rest = far_pairs(s, u, weights, scale)
+    rated = near.select("sid", "uid", "shared", "both_ids", log_odds(weights, scale).alias("z"))
     bins = rated.where("both_ids").groupBy(F.round(F.col("z") * 4).alias("b"), "shared").agg(F.count("*").alias("n")).toPandas()  # at most 482 rows
-    has, lacks = id_evidence(bins["b"].to_numpy(float) / 4, bins["shared"].to_numpy(bool), bins["n"].to_numpy(float))
+    others = draws[1][draws[1]["both_ids"].astype(bool)]
+    z_far = np.clip((unpacked(others["bits"].to_numpy(np.int64)) @ weights[:-1] + weights[-1]) * scale[0] + scale[1], -30, 30)
+    has, lacks = id_evidence(np.concatenate([bins["b"].to_numpy(float) / 4, z_far]), np.concatenate([bins["shared"].to_numpy(bool), np.zeros(len(z_far), bool)]), np.concatenate([bins["n"].to_numpy(float), others["n"].to_numpy(float)]))
+    if rest is not None:
+        told = cut(_told(rest.join(close, ["sid", "uid"], "left_anti"), s, u).drop("has_ids"), "pairs")
+        rated = rated.unionByName(told.select("sid", "uid", "shared", "both_ids", log_odds(weights, scale).alias("z")).where("z >= -1e-6"))
     z = F.col("z") + F.when(F.col("shared"), has).when(F.col("both_ids"), lacks).otherwise(0.0)
     return rated.select("sid", "uid", (1 / (1 + F.exp(-z))).alias("confidence")), table
 

@@ -1,9 +1,10 @@
+import itertools
 import random
 from datetime import datetime
 
 import numpy as np
 
-from lotgrid.llm.entities import candidates, closeness, deletions, describe, fit_logistic, id_evidence, links, operator_state, osm_ids, probes, samples, supplies, thirds, words
+from lotgrid.llm.entities import BASE, _told, candidates, closeness, deletions, demands, describe, far_pairs, fit_logistic, id_evidence, links, log_odds, operator_state, osm_ids, prior_weights, probes, samples, states, supplies, thirds, words
 from pyspark.sql import functions as F
 
 T = datetime(2025, 1, 1)
@@ -85,3 +86,33 @@ def test_held_out_accuracy_on_weak_labels(spark):
     got = {(r.sid, r.uid) for r in hidden.collect()}
     found = len(known & got) / len(known)
     assert found > 0.9
+
+
+def _named(n, seed):
+    """Facilities a kilometre and more apart whose names are all alike, with few operators, types and areas."""
+    rng = random.Random(seed)
+    own = [f"Kober{a}{b}ane" for a, b in itertools.product("adeimost", "lmnr")] + ["Quorvaxleymere Tonn", "Quorvaxleymare", "Kober", "Kobre"]
+    pick = lambda *x: rng.choice(x)
+    for i in range(n):
+        name = f"{pick('', 'Upper ', 'Lower ')}{rng.choice(own)} {pick('Street ', 'Plaza ', '')}{pick('Lot', 'Garage', 'Parking')}"
+        yield i, name, pick(None, "Tessel Garages", "TESSEL", "Marrow Street Trust"), pick("Surface", "Garage", "Mixed", None), pick("A", "B", None), *pick((None, None), (26.0 + i / 50 + seed / 90, -123.0), (round(26.0 + i / 50, 2), -123.01))
+
+
+def test_pairs_far_apart_grow_with_the_possible_links_and_none_is_lost(spark):
+    s = samples(spark.createDataFrame([(i, f"F{i:03}", n, o, t, a, y, x, None, T, "x") for i, n, o, t, a, y, x in _named(150, 1)], SAMPLE)).cache()
+    u = supplies(spark.createDataFrame([(f"U{i:03}", n, o, t, a, y, x, None, "x") for i, n, o, t, a, y, x in _named(150, 2)], SUPPLY)).cache()
+    every = candidates(s, u)
+    for intercept in (-2.6, 3.0, 5.0):
+        weights = prior_weights()
+        weights[-1] += intercept
+        told = _told(every, s, u).select("sid", "uid", log_odds(weights, (1.0, 0.0)).alias("z"), F.col("bits").bitwiseAND(F.lit(sum(1 << BASE.index(k) for k in ("dfar", "dnone")))).alias("far")).collect()
+        possible = {(r.sid, r.uid) for r in told if r.z >= 0 and r.far}
+        formed = {tuple(r) for r in far_pairs(s, u, weights, (1.0, 0.0)).collect()}
+        assert possible <= formed and (len(possible) > 10 or intercept < 0)
+        assert len(formed) < len(told) / 10 or intercept > 0
+
+
+def test_demands_hold_for_all_that_can_be_a_link():
+    every, bits = states()
+    assert len(every) == len(set(bits.tolist())) and demands(prior_weights(), (1.0, 0.0), "dfar", ("same", "near", "other")) is None
+    assert demands(prior_weights(), (1.0, -2.6), "dnone", ("same",)) == {"op", "area"} and demands(prior_weights(), (1.0, 9.0), "dfar", ("same",)) == set()
