@@ -271,17 +271,63 @@ def _one(word: str) -> dict:
     return root
 
 
+def _variants(word: str, edits: int, long: int = 20) -> set[str]:
+    """A word and what up to ``edits`` deletions leave of it: words at so many edits have one of them in common. Words of more
+    than ``long`` letters, and those that can be at two edits from one, share a mark instead.
+    """
+    found = {"*"} if len(word) >= long - 1 else set()
+    if len(word) <= long:
+        last = {word}
+        found |= last
+        for _ in range(edits):
+            last = {w[:i] + w[i + 1 :] for w in last for i in range(len(w))}
+            found |= last
+    return found
+
+
+def meeting_keys(kind: str, key: str, core: str, extra: str, surname: str, first: str) -> set[str]:
+    """What a key has in common with every key of its kind that context_typos() or context_completions() can link it to.
+
+    A typing error leaves all tokens but one, which is at two edits or less, or all but two, which are at one.
+    """
+    tokens = key.split()
+    found = set()
+    for i, one in enumerate(tokens):
+        rest = " ".join(sorted(tokens[:i] + tokens[i + 1 :]))
+        found |= {f"1 {v}|{rest}" for v in _variants(one, 2)}
+        for j in range(i):
+            rest = " ".join(sorted(tokens[:j] + tokens[j + 1 : i] + tokens[i + 1 :]))
+            found |= {f"2 {'/'.join(sorted((v, w)))}|{rest}" for v in _variants(one, 1) for w in _variants(tokens[j], 1)}
+    if kind in ("person", "firm"):
+        found.add(f"c {core}|{extra}")
+    if kind == "person" and first:
+        found.add(f"i {surname}|{first[0]}|{extra}")
+    return found
+
+
 def together(contexts: DataFrame, keys: DataFrame, crowd: int = 50) -> DataFrame:
     """key_a, key_b (both orders) of keys of one kind that were written about the same thing.
 
-    contexts: key, context. What more than ``crowd`` owners are said to own says nothing about any two of
-    them and is no context: a definition of evidence, which also bounds the pairs of a context.
+    contexts: key, context; keys as in spellings(). Up to ``crowd`` keys of a context are all paired off. Of more, those are paired
+    that share one of meeting_keys(), so every pair that context_typos() or context_completions() can
+    link is there whatever the crowd; others, which neither would take, are not formed.
     """
     one = contexts.where("context is not null").select("key", "context").distinct()
-    rare = one.groupBy("context").agg(F.count("*").alias("n")).where((F.col("n") > 1) & (F.col("n") <= crowd)).select("context")
-    some = cut(one.join(rare, "context", "left_semi").join(keys.select("key", "kind"), "key"), "contexts")
-    other = some.select("context", "kind", F.col("key").alias("key_b"))
-    return some.select("context", "kind", F.col("key").alias("key_a")).join(other, ["context", "kind"]).where("key_a <> key_b").select("key_a", "key_b").distinct()
+    counted = one.groupBy("context").agg(F.count("*").alias("n")).where("n > 1")
+    some = cut(one.join(counted, "context").join(keys.select("key", "kind", "core", "extra", "surname", "first"), "key"), "contexts")
+    rare = some.where(F.col("n") <= crowd).select("context", "kind", "key")
+    pairs = rare.withColumnRenamed("key", "key_a").join(rare.withColumnRenamed("key", "key_b"), ["context", "kind"]).where("key_a <> key_b").select("key_a", "key_b")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for at in range(0, len(frame), 500):  # a key has hundreds of them
+                rows = [(context, kind, key, m) for context, kind, key, *rest in frame.iloc[at : at + 500].itertuples(index=False, name=None) for m in meeting_keys(kind, key, *rest)]
+                yield pd.DataFrame(rows, columns=["context", "kind", "key", "m"])
+
+    crowded = some.where(F.col("n") > crowd).select("context", "kind", "key", "core", "extra", "surname", "first")
+    met = cut(crowded.mapInPandas(run, "context string, kind string, key string, m string").select("key", F.xxhash64("context", "kind", "m").alias("m")).distinct(), "meeting")
+    close = salted_join(met.withColumnRenamed("key", "key_a"), met.withColumnRenamed("key", "key_b"), "m").where("key_a <> key_b").select("key_a", "key_b")
+    return pairs.unionByName(close).distinct()
 
 
 def context_typos(pairs: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@ import random
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lotgrid.llm.names import _insert, agree, neighbours, parse, same_owner, trie_join
+from lotgrid.llm.names import _insert, agree, meeting_keys, neighbours, parse, same_owner, trie_join
 from pyspark.sql import functions as F
 
 
@@ -91,3 +91,33 @@ def test_context_tells_weak_likeness(spark):
     df = spark.createDataFrame(rows, "OWNER string, p string")
     got = {tuple(r) for r in same_owner(df, "OWNER", F.col("p")).collect()}
     assert got == {("JOHN LEA", "JOHN LEE"), ("OTTER SAMUEL", "OTTER SAMUEL B"), ("DRASATNE WLATER", "DRASTANE WALTER")}
+
+
+def test_a_crowded_context_is_one_too(spark):
+    crowd = [(f"{a}{b}ORD ROBERT {c}", "p1") for a in "BCDFGHKLM" for b in "AEIOU" for c in "JW"]
+    rows = [("JOHN LEE", "p1"), ("JOHN LEE", "p2"), ("JOHN LEA", "p1"), ("OTTER SAMUEL A", "q1"), ("OTTER SAMUEL B", "p1"), ("OTTER SAMUEL", "p1"), ("DRASTANE WALTER", "p1"), ("DRASATNE WLATER", "p1")]
+    few = {tuple(r) for r in same_owner(spark.createDataFrame(rows, "OWNER string, p string"), "OWNER", F.col("p")).collect()}
+    assert few == {("JOHN LEA", "JOHN LEE"), ("OTTER SAMUEL", "OTTER SAMUEL B"), ("DRASATNE WLATER", "DRASTANE WALTER")}
+    got = {tuple(r) for r in same_owner(spark.createDataFrame(rows + crowd, "OWNER string, p string"), "OWNER", F.col("p")).collect()}
+    assert few <= got
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text("ABC", min_size=1, max_size=5), min_size=1, max_size=4), st.lists(st.text("ABC", min_size=1, max_size=5), min_size=1, max_size=4))
+def test_keys_that_agree_meet(a, b):
+    a, b = " ".join(sorted(a)), " ".join(sorted(b))
+    meet = meeting_keys("public", a, a, "", "", "") & meeting_keys("public", b, b, "", "", "")
+    assert meet or not agree(a, b)
+
+
+def test_long_and_mistyped_keys_meet():
+    rng = random.Random(3)
+    for _ in range(400):
+        tokens = ["".join(rng.choice("ABCDE") for _ in range(rng.choice((3, 6, 18, 19, 20, 21, 22, 40)))) for _ in range(rng.randrange(1, 4))]
+        other = list(tokens)
+        for _ in range(2):
+            k = rng.randrange(len(other))
+            i, w = rng.randrange(len(other[k])), other[k]
+            other[k] = rng.choice((w[:i] + w[i + 1 :] or w, w[:i] + "X" + w[i:], w[:i] + "X" + w[i + 1 :], w[:i] + w[i : i + 2][::-1] + w[i + 2 :]))
+        a, b = " ".join(sorted(tokens)), " ".join(sorted(other))
+        assert a == b or not agree(a, b) or meeting_keys("public", a, a, "", "", "") & meeting_keys("public", b, b, "", "", "")
